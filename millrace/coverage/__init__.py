@@ -1,6 +1,6 @@
 """Coverage queries, one per operator, with their SQL twins."""
 
-from . import ingest_queries, relational_queries, window_queries  # noqa: F401
+from . import audit_queries, ingest_queries, relational_queries, scalar_queries, window_queries  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

@@ -81,8 +81,8 @@ def _by(divisor: int) -> Column:
     return F.col("event_id") % divisor == 0
 
 
-def event_messages(events: DataFrame) -> DataFrame:
-    """``value STRING`` from typed events, batch or streaming."""
+def event_text() -> Column:
+    """The message of a typed event, damaged where its key says so."""
     no_user = _by(23) & ~_by(29)
     quoted = _by(19) & ~_by(23) & ~_by(29)
     bogus = _by(17) & ~_by(19) & ~_by(23) & ~_by(29)
@@ -101,7 +101,12 @@ def event_messages(events: DataFrame) -> DataFrame:
         )
 
     whole = F.when(quoted, text(F.col("value").cast("string"))).otherwise(text(F.col("value")))
-    return events.select(F.when(_by(29), F.substring(whole, 1, 10)).otherwise(whole).alias("value"))
+    return F.when(_by(29), F.substring(whole, 1, 10)).otherwise(whole)
+
+
+def event_messages(events: DataFrame) -> DataFrame:
+    """``value STRING`` from typed events, batch or streaming."""
+    return events.select(event_text().alias("value"))
 
 
 def raw_events(spark: SparkSession, folder: str) -> DataFrame:

@@ -138,9 +138,10 @@ def events_from_counts(
         ]
     )
     note = F.lit(None).cast("string") if metadata is None else F.to_json(metadata)
-    return counts.select(
-        "run_id", "job_name", F.inline(stacked), ts.cast("timestamp").alias("ts"), note.alias("metadata")
-    ).select(*[c.split()[0] for c in EVENT_SCHEMA.split(", ")])
+    wide = counts.select(
+        "run_id", "job_name", stacked.alias("_stages"), ts.cast("timestamp").alias("ts"), note.alias("metadata")
+    )
+    return wide.select("*", F.inline("_stages")).select(*[c.split()[0] for c in EVENT_SCHEMA.split(", ")])
 
 
 def once_per_batch(events: DataFrame) -> DataFrame:
