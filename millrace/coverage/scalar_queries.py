@@ -91,13 +91,15 @@ sql_query(
     "fn_cast",
     "lineitem",
     """SELECT l_orderkey, l_linenumber, CAST(l_linenumber AS STRING) AS as_text, CAST(l_quantity AS BIGINT) AS as_long,
-              CAST(l_linenumber AS DOUBLE) AS as_double, coalesce(try_cast(l_returnflag AS INT), -1) AS not_a_number,
+              CAST(l_linenumber AS DOUBLE) AS as_double, coalesce(try_cast(concat(l_linenumber, CASE WHEN l_orderkey % 100 = 0 THEN 'x' ELSE '' END) AS INT), -1)
+                AS not_always,
               try_cast(CAST(l_partkey AS STRING) AS BIGINT) AS back,
               CAST(CAST(l_extendedprice AS DECIMAL(12,1)) AS DOUBLE) AS one_digit,
               CAST(l_linenumber % 2 AS BOOLEAN) AS odd, date_format(CAST(l_shipdate AS DATE), 'yyyy-MM-dd') AS ship_day
        FROM lineitem""",
     """SELECT l_orderkey, l_linenumber, CAST(l_linenumber AS VARCHAR) AS as_text, CAST(trunc(l_quantity) AS BIGINT) AS as_long,
-              CAST(l_linenumber AS DOUBLE) AS as_double, coalesce(try_cast(l_returnflag AS INT), -1) AS not_a_number,
+              CAST(l_linenumber AS DOUBLE) AS as_double, coalesce(try_cast(concat(l_linenumber, CASE WHEN l_orderkey % 100 = 0 THEN 'x' ELSE '' END) AS INT), -1)
+                AS not_always,
               try_cast(CAST(l_partkey AS VARCHAR) AS BIGINT) AS back,
               CAST(CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS DECIMAL(12,1)) AS DOUBLE) AS one_digit,
               CAST(l_linenumber % 2 AS BOOLEAN) AS odd, strftime(CAST(l_shipdate AS DATE), '%Y-%m-%d') AS ship_day

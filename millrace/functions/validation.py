@@ -25,16 +25,15 @@ ANNOTATIONS = frozenset(
     "format deprecated readOnly writeOnly contentEncoding contentMediaType".split()
 )
 
-_INTEGER = r"^(BIGINT|DECIMAL\(\d+,0\))$"
-_NUMBER = r"^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$"
-
 
 @dataclass(frozen=True)
 class Node:
-    """A JSON value in a plan: its VARIANT (NULL when absent) and its type name."""
+    """A JSON value in a plan: its VARIANT (NULL when absent), its type name, and the one
+    conversion of it that is already at hand, if any."""
 
     value: Column
     type: Column
+    at_hand: tuple[str, Column] | None = None
 
     @classmethod
     def of(cls, value: Column) -> "Node":
@@ -44,6 +43,8 @@ class Node:
         return Node.of(field_of(self.value, name))
 
     def get(self, ddl: str) -> Column:
+        if self.at_hand is not None and self.at_hand[0] == ddl:
+            return self.at_hand[1]
         return F.try_variant_get(self.value, "$", ddl)
 
     @property
@@ -52,9 +53,10 @@ class Node:
 
     def is_a(self, kind: str) -> Column:
         if kind == "integer":
-            return self.type.rlike(_INTEGER)
+            whole = self.type.startswith("DECIMAL") & self.type.endswith(",0)")
+            return (self.type == "BIGINT") | whole
         if kind == "number":
-            return self.type.rlike(_NUMBER)
+            return self.type.isin("BIGINT", "DOUBLE", "FLOAT") | self.type.startswith("DECIMAL")
         if kind == "object":
             return self.type.startswith("OBJECT")
         if kind == "array":

@@ -23,6 +23,9 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Split a skewed join even where that costs one more exchange.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # A generated method above 8000 bytes is never compiled by the JVM; wide schemas then
+    # run faster as separate operators than as one interpreted method.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     # Operator state off the heap, with incremental checkpoints.
     "spark.sql.streaming.stateStore.providerClass": _ROCKSDB,
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",

@@ -34,20 +34,13 @@ def raw_table(df: DataFrame, value: str = "value") -> DataFrame:
     return df.select(F.col(value).cast("string").alias("f0"))
 
 
-def _text(node: Node) -> Column:
-    """String columns: scalars as text, containers as JSON text, JSON null as NULL."""
-    return F.when(
-        node.type.startswith("OBJECT") | node.type.startswith("ARRAY"), F.to_json(node.value)
-    ).otherwise(node.get("string"))
+def _stored_as(ddl: str) -> str:
+    """The type a member is fetched as: INT goes through BIGINT to see values out of range."""
+    return "bigint" if ddl == "int" else ddl
 
 
-def _convert(node: Node, ddl: str) -> Column:
-    if ddl == "string":
-        return _text(node)
-    if ddl == "int":
-        wide = node.get("bigint")
-        return F.when(wide.between(*_INT_RANGE), wide.cast("int"))
-    return node.get(ddl)
+def _fits(value: Column, ddl: str) -> Column:
+    return F.when(value.between(*_INT_RANGE), value.cast("int")) if ddl == "int" else value
 
 
 # -- Avro in its JSON encoding ------------------------------------------------------
@@ -124,34 +117,40 @@ def classify(
     fields = schema.fields
     # One projection per step: Catalyst keeps a step apart when the next uses a costly
     # column more than once, so the text is parsed once and each member fetched once.
+    # Conversions are a step of their own as well, so that checks reuse them.
     parsed = df.select(
         F.struct(*[F.col(c) for c in df.columns]).alias("raw"),
         F.col(value).cast("string").alias("_text"),
         F.try_parse_json(F.col(value).cast("string")).alias("_doc"),
     )
     members = parsed.select(
-        "raw", "_text", "_doc", *[field_of(F.col("_doc"), f.name).alias(f"_v{i}") for i, f in enumerate(fields)]
+        "*", *[field_of(F.col("_doc"), f.name).alias(f"_v{i}") for i, f in enumerate(fields)]
     )
     typed = members.select(
         "*", *[F.schema_of_variant(f"_v{i}").alias(f"_t{i}") for i in range(len(fields))]
     )
-    nodes = {f.name: Node(F.col(f"_v{i}"), F.col(f"_t{i}")) for i, f in enumerate(fields)}
+    avro = schema.dialect == "AVRO"
+    plain = {f.name: Node(F.col(f"_v{i}"), F.col(f"_t{i}")) for i, f in enumerate(fields)}
+    stored = {f.name: _avro_value(f.schema, plain[f.name]) if avro else plain[f.name] for f in fields}
+    typed = typed.select(
+        "*", *[stored[f.name].get(_stored_as(f.type)).alias(f"_c{i}") for i, f in enumerate(fields)]
+    )
+    nodes = {
+        f.name: Node(plain[f.name].value, plain[f.name].type, None if avro else (_stored_as(f.type), F.col(f"_c{i}")))
+        for i, f in enumerate(fields)
+    }
 
     # A parsed text is an object exactly when its first visible character is a brace.
-    is_object = F.ltrim(F.col("_text")).rlike(r"^\s*\{")
-    if schema.dialect == "AVRO":
-        stored = {f.name: _avro_value(f.schema, nodes[f.name]) for f in fields}
-        broken = [(_avro_bad(f.schema, nodes[f.name]), f"$.{f.name}: not decodable") for f in fields]
-        malformed = first_message(
-            [(F.col("_doc").isNull(), "not JSON"), (~is_object, "not a record"), *broken]
-        )
-        invalid = F.lit(None).cast("string")
+    is_object = F.ltrim(F.col("_text"), F.lit(" \t\r\n")).startswith("{")
+    malformed = [(F.col("_doc").isNull(), "not JSON")]
+    invalid = []
+    if avro:
+        malformed.append((~is_object, "not a record"))
+        malformed += [(_avro_bad(f.schema, nodes[f.name]), f"$.{f.name}: not decodable") for f in fields]
     else:
-        stored = nodes
-        malformed = first_message([(F.col("_doc").isNull(), "not JSON")])
-        invalid = first_message([(~is_object, "$: expected type object"), *_json_checks(schema, nodes)])
+        invalid = [(~is_object, "$: expected type object"), *_json_checks(schema, nodes)]
 
-    values = {f.name: _convert(stored[f.name], f.type) for f in fields}
+    values = {f.name: _fits(F.col(f"_c{i}"), f.type) for i, f in enumerate(fields)}
     lost = [
         (
             _sure(stored[f.name].present & (stored[f.name].type != "VOID") & values[f.name].isNull()),
@@ -170,8 +169,8 @@ def classify(
     judged = typed.select(
         "raw",
         F.struct(*[values[f.name].alias(f.name) for f in fields]).alias("row"),
-        malformed.alias("_malformed"),
-        invalid.alias("_invalid"),
+        first_message(malformed).alias("_malformed"),
+        first_message(invalid).alias("_invalid"),
         first_message(lost).alias("_lost"),
     ).select(
         "raw",
@@ -184,8 +183,9 @@ def classify(
     )
     # Filters on error_type must not be pushed below the parse: Catalyst would copy the
     # whole expression tree into the filter and parse the text again for every check
-    # (measured 6x slower). A one-element generator stops that and stays in codegen.
-    return judged.select(F.inline(F.array(F.struct("raw", "row", "error_type", "error_message"))))
+    # (measured 6x slower). A one-element generator stops that and stays in codegen. The
+    # message itself stays outside, so that it is dropped where only rows are wanted.
+    return judged.select("raw", F.inline(F.array(F.struct("row", "error_type", "error_message"))))
 
 
 def _json_checks(schema: Declared, nodes: dict[str, Node]) -> list[tuple[Column, str]]:
