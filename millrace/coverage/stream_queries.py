@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import serialize
+from ..operators.joins import interval_join
 from ..plans import runner, spec
 from ..session import fresh_path
 from ..sources import ingest
@@ -75,20 +76,13 @@ def stream_enrich(spark, folder):
        WHERE c.event_type = 'click' AND p.event_type = 'purchase'""",
 )
 def stream_interval_join(spark, folder):
-    """Two streams, state bounded by both watermarks and the time range."""
+    """Two streams, state bounded by both watermarks and the time range, spread over time slots."""
 
-    def side(kind: str, prefix: str) -> DataFrame:
+    def side(kind: str) -> DataFrame:
         events = _timed_events(spark, folder).where(F.col("event_type") == kind)
-        return events.select(
-            F.col("user_id").alias(f"{prefix}_user"),
-            F.col("event_id").alias(f"{prefix}_id"),
-            F.col("ts").alias(f"{prefix}_ts"),
-        )
-
-    near = F.col("purchase_ts").between(F.col("click_ts"), F.col("click_ts") + F.expr("INTERVAL 1 HOUR"))
-    pairs = side("click", "click").join(
-        side("purchase", "purchase"), (F.col("click_user") == F.col("purchase_user")) & near
-    )
+        return events.select("user_id", F.col("event_id").alias(f"{kind}_id"), F.col("ts").alias(f"{kind}_ts"))
+
+    pairs = interval_join(side("click"), side("purchase"), ["user_id"], "click_ts", "purchase_ts", 3600)
     return _drain(pairs.select("click_id", "purchase_id"), "interval")
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from .groups import PART, Split, by_heat, hot_group_rows, join_on, names, ordering
+from .groups import Split, by_heat, hot_group_rows, join_on, names, ordering
 
 
 def _plain(keys: list[str], order: list[str]) -> WindowSpec:
@@ -22,8 +22,13 @@ def running(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Co
     """Running totals, rows frame. ``order`` must be unique within a group."""
     cold, hot, rows = by_heat(df, keys)
     out = cold.select("*", *[F.sum(c).over(_to_here(_plain(keys, order))).alias(n) for n, c in sums.items()])
-    if hot is None:
-        return out
+    return out if hot is None else out.unionByName(_running_split(hot, rows, keys, order, sums))
+
+
+def _running_split(
+    hot: DataFrame, rows: int, keys: list[str], order: list[str], sums: dict[str, Column]
+) -> DataFrame:
+    """Running totals of groups that are split: totals of the parts before, plus those here."""
     split = Split.of(hot, keys, order, rows)
     base = split.summary(
         [F.sum(c).alias(n) for n, c in sums.items()],
@@ -32,21 +37,20 @@ def running(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Co
     local = split.df.select(
         "*", *[F.sum(c).over(_to_here(split.local())).alias(n) for n, c in sums.items()]
     )
-    joined = split.attach(local, base)
-    # NULL only where no earlier row had a value: coalesce keeps that as SQL does.
+    # NULL only where no row so far had a value, as in SQL.
     totals = {
         n: F.when(F.col(n).isNull(), F.col(f"_before_{n}")).otherwise(
             F.col(n) + F.coalesce(F.col(f"_before_{n}"), F.lit(0))
         )
         for n in sums
     }
-    done = joined.select(*df.columns, *[totals[n].cast(out.schema[n].dataType).alias(n) for n in sums])
-    return out.unionByName(done)
+    return split.attach(local, base).select(
+        *hot.columns, *[totals[n].cast(local.schema[n].dataType).alias(n) for n in sums]
+    )
 
 
-def position(df: DataFrame, keys: list[str], order: list[str], name: str = "row_number") -> DataFrame:
-    """ROW_NUMBER as BIGINT. ``order`` must be unique within a group."""
-    return running(df, keys, order, {name: F.lit(1).cast("bigint")})
+def _position_split(hot: DataFrame, rows: int, keys: list[str], order: list[str], name: str) -> DataFrame:
+    return _running_split(hot, rows, keys, order, {name: F.lit(1).cast("bigint")})
 
 
 def ranked(df: DataFrame, keys: list[str], by: list[str], tie: list[str], tiles: int) -> DataFrame:
@@ -70,7 +74,7 @@ def ranked(df: DataFrame, keys: list[str], by: list[str], tie: list[str], tiles:
         *keys, *names(by), (F.col("_upto") - F.col("_ties") + 1).alias("rank"), "dense_rank"
     )
     totals = hot.groupBy(*keys).agg(F.count(F.lit(1)).alias("_total"))
-    numbered = position(hot, keys, [*by, *tie])
+    numbered = _position_split(hot, rows, keys, [*by, *tie], "row_number")
     joined = join_on(join_on(numbered, values, [*keys, *names(by)]), totals, keys)
     small, extra = F.expr(f"_total div {tiles}"), F.expr(f"_total % {tiles}")
     head = extra * (small + 1)
@@ -96,12 +100,12 @@ def neighbourhood(
     equal length by row position; each block also receives copies of the few rows its
     edges can see.
     """
-    cold, hot, _ = by_heat(df, keys)
+    cold, hot, rows = by_heat(df, keys)
     out = cold.select("*", *[c.alias(n) for n, c in build(_plain(keys, order)).items()])
     if hot is None:
         return out
     size = max(hot_group_rows(df.sparkSession), before + 1, after + 1)
-    placed = position(hot, keys, order, "_pos").withColumn("_home", F.expr(f"(_pos - 1) div {size}"))
+    placed = _position_split(hot, rows, keys, order, "_pos").withColumn("_home", F.expr(f"(_pos - 1) div {size}"))
     offset = F.expr(f"(_pos - 1) % {size}")
     copies = F.array_compact(
         F.array(
@@ -159,5 +163,3 @@ def newest_per_key(df: DataFrame, keys: list[str], order: list[str], keep: str =
     whole = F.struct(*df.columns)
     return df.groupBy(*keys).agg(pick(whole, F.struct(*names(order))).alias("_row")).select("_row.*")
 
-
-__all__ = ["PART", "edges", "neighbourhood", "newest_per_key", "position", "range_frame", "ranked", "running"]

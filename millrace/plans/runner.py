@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import audit, reconcile
-from ..session import fresh_path, prepare
+from ..session import fresh_path, materialize, prepare
 from ..sources import connectors, ingest
 from ..sources.schema import Declared, declared
 from ..streaming import event_time
@@ -202,8 +202,10 @@ class BatchRun:
 def _count_intake(taken: Intake, job: Job) -> tuple[int, int]:
     """(read, rejected) of a source. Rejects are written in the same single-stage job."""
     target = _dlq_target(job, taken.source) if taken.verdicts is not None else None
-    if target is None:
+    if target is None or target.type.upper() != "FILE":
         row = taken.counted_rows().agg(*taken.metrics()).first()
+        if target is not None:
+            connectors.write_outgoing(_envelopes(taken, job), target)
         return row["read"], row["rejected"]
     seen = Observation(f"intake.{taken.source.table_name}")
     observed = Intake(taken.source, taken.view, taken.verdicts.observe(seen, *ingest.intake_metrics()))
@@ -211,6 +213,25 @@ def _count_intake(taken: Intake, job: Job) -> tuple[int, int]:
     return seen.get["read"], seen.get["rejected"]
 
 
+def _deliver(result: DataFrame, target: Target) -> tuple[int, int]:
+    """Writes the result once; (rows the query gave, rows written).
+
+    Files and catalog tables are committed as a whole, and the rows are counted on their
+    way. A topic or a database takes rows one by one, so the result is staged first: it
+    is computed once however often a delivery task is repeated, and its size is known.
+    """
+    if target.type.upper() in ("KAFKA", "JDBC"):
+        staged = materialize(connectors.outgoing(result, target), "delivery")
+        connectors.write_outgoing(staged, target)
+        rows = staged.count()
+        return rows, rows
+    emitted, written = Observation("transform"), Observation("target")
+    rows = F.count(F.lit(1)).alias("rows")
+    outgoing = connectors.outgoing(result.observe(emitted, rows), target).observe(written, rows)
+    connectors.write_outgoing(outgoing, target)
+    return emitted.get["rows"], written.get["rows"]
+
+
 def run_batch(spark: SparkSession, job: Job) -> BatchRun:
     """Reads what the sources hold now, runs the query, writes the result, reconciles."""
     prepare(spark)
@@ -224,13 +245,10 @@ def run_batch(spark: SparkSession, job: Job) -> BatchRun:
             read, rejected = _count_intake(taken, job)
             stage = audit.source_stage(taken.source.topic)
             counts += [(audit.SOURCE_READ, stage, read, {}), (audit.SOURCE_REJECTED, stage, rejected, {})]
-        emitted, written = Observation("transform"), Observation("target")
-        rows = F.count(F.lit(1)).alias("rows")
-        outgoing = connectors.outgoing(result.observe(emitted, rows), job.target).observe(written, rows)
-        connectors.write_outgoing(outgoing, job.target)
+        emitted, written = _deliver(result, job.target)
         counts += [
-            (audit.TRANSFORM_OUTPUT, audit.TRANSFORM_STAGE, emitted.get["rows"], {}),
-            (audit.TARGET_WRITTEN, audit.target_stage(job.target.topic), written.get["rows"], {}),
+            (audit.TRANSFORM_OUTPUT, audit.TRANSFORM_STAGE, emitted, {}),
+            (audit.TARGET_WRITTEN, audit.target_stage(job.target.topic), written, {}),
         ]
         trail.add_all(counts)
         trail.add(audit.JOB_COMPLETED)

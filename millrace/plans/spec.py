@@ -49,7 +49,8 @@ class Kafka:
     startup_mode: str | None = None  # earliest-offset, latest-offset, group-offsets, timestamp
     format: str | None = None  # STRING, JSON, AVRO
     authentication: Auth | None = None
-    properties: dict[str, str] = field(default_factory=dict)
+    properties: dict[str, str] = field(default_factory=dict)  # of the Kafka client
+    options: dict[str, str] = field(default_factory=dict)  # of Spark's reader or writer
 
 
 @dataclass(frozen=True)
@@ -127,6 +128,7 @@ class Target:
     password: str | None = None
     mode: str = "append"
     partition_by: list[str] = field(default_factory=list)
+    options: dict[str, str] = field(default_factory=dict)  # of Spark's writer
 
     @property
     def topic(self) -> str:

@@ -26,6 +26,8 @@ SETTINGS = {
     # A generated method above 8000 bytes is never compiled by the JVM; wide schemas then
     # run faster as separate operators than as one interpreted method.
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    # Session windows of a stream merge in each task before the shuffle.
+    "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
     # Operator state off the heap, with incremental checkpoints.
     "spark.sql.streaming.stateStore.providerClass": _ROCKSDB,
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",

@@ -74,6 +74,7 @@ def common_options(kafka: Kafka) -> dict[str, str]:
         **passed,
         "kafka.bootstrap.servers": kafka.bootstrap_servers,
         **security_options(kafka.authentication),
+        **{k: str(v) for k, v in kafka.options.items()},
     }
 
 
@@ -105,7 +106,7 @@ def read_options(kafka: Kafka, streaming: bool, parallelism: int | None = None)
     options = {"subscribe": kafka.topic, **common_options(kafka), **start_options(kafka, streaming)}
     if kafka.group_id:
         options["kafka.group.id"] = kafka.group_id
-    if parallelism and parallelism > 1:
+    if parallelism and parallelism > 1 and "minPartitions" not in options:
         # More tasks than topic partitions, so that one long partition is read by several.
         options["minPartitions"] = str(parallelism)
     return options
@@ -182,6 +183,7 @@ def outgoing(df: DataFrame, target: Target) -> DataFrame:
 def _where(writer, target: Target):
     """Format and options shared by a batch and a stream writer."""
     kind = target.type.upper()
+    writer = writer.options(**target.options)
     if kind == "KAFKA":
         return writer.format("kafka").options(topic=target.kafka.topic, **common_options(target.kafka))
     if kind == "FILE":

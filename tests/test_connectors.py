@@ -58,6 +58,8 @@ def test_read_options():
     assert options["subscribe"] == "t" and options["kafka.bootstrap.servers"] == "b:9092"
     assert options["kafka.max.poll.records"] == "500" and options["kafka.group.id"] == "g"
     assert options["minPartitions"] == "4"
+    own = connectors.read_options(Kafka(**KAFKA, options={"minPartitions": 9, "maxOffsetsPerTrigger": 100}), True, 4)
+    assert own["minPartitions"] == "9" and own["maxOffsetsPerTrigger"] == "100"
     with pytest.raises(SpecError):
         connectors.read_options(Kafka(topic="t"), True)
 
