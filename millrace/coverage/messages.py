@@ -77,31 +77,25 @@ def orders_avro() -> Declared:
     return avro_schema(ORDERS_AVRO)
 
 
-def _by(divisor: int) -> Column:
-    return F.col("event_id") % divisor == 0
-
-
 def event_text() -> Column:
     """The message of a typed event, damaged where its key says so."""
-    no_user = _by(23) & ~_by(29)
-    quoted = _by(19) & ~_by(23) & ~_by(29)
-    bogus = _by(17) & ~_by(19) & ~_by(23) & ~_by(29)
-    no_props = _by(13) & ~_by(17) & ~_by(19) & ~_by(23) & ~_by(29)
-
-    def text(value: Column) -> Column:
-        return F.to_json(
-            F.struct(
-                "event_id",
-                F.when(~no_user, F.col("user_id")).alias("user_id"),
-                F.when(bogus, "bogus").otherwise(F.col("event_type")).alias("event_type"),
-                value.alias("value"),
-                F.unix_millis(F.col("ts").cast("timestamp")).alias("ts"),
-                F.when(~no_props, F.col("props")).alias("props"),
-            )
-        )
 
-    whole = F.when(quoted, text(F.col("value").cast("string"))).otherwise(text(F.col("value")))
-    return F.when(_by(29), F.substring(whole, 1, 10)).otherwise(whole)
+    def text(value: str) -> str:
+        return f"""to_json(named_struct(
+            'event_id', event_id,
+            'user_id', CASE WHEN event_id % 29 = 0 OR event_id % 23 <> 0 THEN user_id END,
+            'event_type', CASE WHEN event_id % 17 <> 0 OR event_id % 19 = 0 OR event_id % 23 = 0 OR event_id % 29 = 0
+                               THEN event_type ELSE 'bogus' END,
+            'value', {value},
+            'ts', unix_millis(CAST(ts AS TIMESTAMP)),
+            'props', CASE WHEN event_id % 13 <> 0 OR event_id % 17 = 0 OR event_id % 19 = 0 OR event_id % 23 = 0
+                            OR event_id % 29 = 0 THEN props END))"""
+
+    return F.expr(
+        f"""CASE WHEN event_id % 29 = 0 THEN substring({text("value")}, 1, 10)
+                 WHEN event_id % 19 = 0 AND event_id % 23 <> 0 THEN {text("CAST(value AS STRING)")}
+                 ELSE {text("value")} END"""
+    )
 
 
 def event_messages(events: DataFrame) -> DataFrame:

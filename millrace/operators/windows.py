@@ -138,23 +138,29 @@ def range_frame(df: DataFrame, keys: list[str], at: str, width: int, sums: dict[
     ``sums`` must be of an exact type (integer or decimal), for which that is lossless.
     """
     amounts = {n: F.coalesce(c, F.lit(0)) for n, c in sums.items()}
-    moves = df.select(
-        *keys,
-        *[a.alias(f"_m_{n}") for n, a in amounts.items()],
-        F.inline(
-            F.array(
-                F.struct(F.col(at).alias("_at"), F.lit(1).alias("_sign")),
-                F.struct((F.col(at) + width + 1).alias("_at"), F.lit(-1).alias("_sign")),
-            )
-        ),
-    )
-    # One row per key and moment, folded map-side; then plain running totals over those.
-    folded = moves.groupBy(*keys, "_at").agg(
-        *[F.sum(F.col(f"_m_{n}") * F.col("_sign")).alias(f"_d_{n}") for n in sums]
-    )
+    enters = F.struct(F.col(at).alias("_at"), F.lit(1).alias("_sign"))
+    leaves = F.struct((F.col(at) + width + 1).alias("_at"), F.lit(-1).alias("_sign"))
+    signed = {n: F.col(f"_m_{n}") * F.col("_sign") for n in sums}
+
+    def moves(rows: DataFrame, payload: list[str]) -> DataFrame:
+        marked = rows.select("*", *[a.alias(f"_m_{n}") for n, a in amounts.items()])
+        doubled = marked.select("*", F.inline(F.array(enters, leaves)))
+        # A leaving row only lowers the total: it carries no payload through the shuffle.
+        kept = [F.when(F.col("_sign") == 1, F.col(c)).alias(c) for c in payload if c not in keys]
+        return doubled.select(*keys, *kept, *[f"_m_{n}" for n in sums], "_at", "_sign")
+
+    cold, hot, rows = by_heat(df, keys)
+    upto = Window.partitionBy(*keys).orderBy("_at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    out = moves(cold, cold.columns).select("*", *[F.sum(signed[n]).over(upto).alias(n) for n in sums])
+    out = out.where(F.col("_sign") == 1).select(*df.columns, *sums)
+    if hot is None:
+        return out
+    # One row per key and moment, folded map-side; running totals over those; and back.
+    folded = moves(hot, []).groupBy(*keys, "_at").agg(*[F.sum(signed[n]).alias(f"_d_{n}") for n in sums])
     totals = running(folded, keys, ["_at"], {n: F.col(f"_d_{n}") for n in sums})
     totals = totals.select(*keys, F.col("_at").alias(at), *sums)
-    return join_on(df, totals, [*keys, at])
+    back = join_on(hot, totals, [*keys, at])
+    return out.unionByName(back.select(*df.columns, *[F.col(n).cast(out.schema[n].dataType).alias(n) for n in sums]))
 
 
 def newest_per_key(df: DataFrame, keys: list[str], order: list[str], keep: str = "last") -> DataFrame:
