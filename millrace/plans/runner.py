@@ -47,8 +47,12 @@ def _timed(df: DataFrame, source: Source) -> DataFrame:
     return df
 
 
-def intake(raw: DataFrame, source: Source) -> Intake:
-    """Raw rows of a source to its typed view: validated when a schema is declared."""
+def intake(raw: DataFrame, source: Source, stage: bool = False) -> Intake:
+    """Raw rows of a source to its typed view: validated when a schema is declared.
+
+    ``stage`` writes the classified rows once. A bounded read of a topic needs it: every
+    job over it would look up the latest offsets anew and see a different end.
+    """
     mark = source.watermark
     when = (
         event_time.EventTime(mark.timestamp_column, mark.timestamp_format)
@@ -62,9 +66,13 @@ def intake(raw: DataFrame, source: Source) -> Intake:
         if when is not None:
             column = event_time.to_timestamp(F.col(when.column), "string", when.pattern)
             table = table.withColumn(when.column, column)
-        return Intake(source, _timed(table, source))
+        return Intake(source, _timed(materialize(table, "intake") if stage else table, source))
     schema = declared(source.schema.definition, source.format)
     verdicts = ingest.classify(raw, schema, event_time=when)
+    if stage:
+        # Only rejects are asked for their message again.
+        message = F.when(F.col("error_type").isNotNull(), F.col("raw")).alias("raw")
+        verdicts = materialize(verdicts.select(message, "row", "error_type", "error_message"), "intake")
     return Intake(source, _timed(ingest.accepted(verdicts), source), verdicts, schema)
 
 
@@ -73,7 +81,7 @@ def plan(spark: SparkSession, job: Job, streaming: bool) -> tuple[list[Intake],
     intakes = []
     for source in job.sources:
         raw = connectors.read(spark, source, streaming, job.engine.parallelism)
-        intakes.append(intake(raw, source))
+        intakes.append(intake(raw, source, stage=not streaming and source.kafka is not None))
         transform.register(source, intakes[-1].view)
     return intakes, transform.run_sql(spark, job.transformation)
 
@@ -194,9 +202,27 @@ class Trail:
 
 @dataclass(frozen=True)
 class BatchRun:
+    """A finished run: its events, its report, and the records that differ, lazily."""
+
     run_id: str
     trail: Trail
     report: DataFrame | None
+    differing: DataFrame | None = None
+
+
+def _differing(job: Job, result: DataFrame) -> DataFrame | None:
+    """Result against what the target now holds, on the business keys of the job.
+
+    Only columnar files give back the rows as they were; rows of earlier runs in an
+    appended target show as unexpected.
+    """
+    config, target = job.reconciliation, job.target
+    if config is None or not config.business_key_fields or target.type.upper() != "FILE":
+        return None
+    if target.file_format not in ("parquet", "orc"):
+        return None
+    stored = result.sparkSession.read.schema(result.schema).format(target.file_format).load(target.path)
+    return reconcile.records(result, stored, list(config.business_key_fields))
 
 
 def _count_intake(taken: Intake, job: Job) -> tuple[int, int]:
@@ -255,7 +281,7 @@ def run_batch(spark: SparkSession, job: Job) -> BatchRun:
     except Exception as error:
         trail.add(audit.JOB_FAILED, error=str(error).splitlines()[0] if str(error) else type(error).__name__)
         raise
-    return BatchRun(trail.run_id, trail, trail.reconcile())
+    return BatchRun(trail.run_id, trail, trail.reconcile(), _differing(job, result))
 
 
 # -- streams ------------------------------------------------------------------------
