@@ -7,7 +7,7 @@ import re
 import time
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # The event types of the audit trail.
@@ -111,14 +111,15 @@ def event(
     }
 
 
-def events_frame(spark, events: list[dict]) -> DataFrame:
+def events_frame(spark: SparkSession, events: list[dict]) -> DataFrame:
     """Event records of one run (a handful per batch) as rows of the audit table."""
-    schema = EVENT_SCHEMA.replace("ts timestamp", "ts_ms bigint")
-    columns = [c.split()[0] for c in schema.split(", ")]
-    rows = spark.createDataFrame([tuple(e[c] for c in columns) for e in events], schema)
-    return rows.select(
-        *[F.timestamp_millis("ts_ms").alias("ts") if c == "ts_ms" else F.col(c) for c in columns]
+    shape = EVENT_SCHEMA.replace("ts timestamp", "ts_ms bigint")
+    rows = spark.sql(
+        f"SELECT inline(from_json(:events, 'array<struct<{shape.replace(' ', ':').replace(',:', ',')}>>'))",
+        args={"events": json.dumps(events)},
     )
+    columns = [c.split()[0] for c in EVENT_SCHEMA.split(", ")]
+    return rows.withColumn("ts", F.timestamp_millis("ts_ms")).select(*columns)
 
 
 def events_from_counts(

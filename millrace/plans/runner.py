@@ -276,8 +276,7 @@ def run_batch(spark: SparkSession, job: Job) -> BatchRun:
             (audit.TRANSFORM_OUTPUT, audit.TRANSFORM_STAGE, emitted, {}),
             (audit.TARGET_WRITTEN, audit.target_stage(job.target.topic), written, {}),
         ]
-        trail.add_all(counts)
-        trail.add(audit.JOB_COMPLETED)
+        trail.add_all([*counts, (audit.JOB_COMPLETED, audit.LIFECYCLE_STAGE, 0, {})])
     except Exception as error:
         trail.add(audit.JOB_FAILED, error=str(error).splitlines()[0] if str(error) else type(error).__name__)
         raise
@@ -354,8 +353,8 @@ class StreamRun:
 def _lasting_run_id(spark: SparkSession, checkpoint: str, job_name: str) -> str:
     """The run id kept beside a checkpoint, so a restarted stream goes on under its name."""
     path = f"{checkpoint}/run-id"
-    fresh = spark.createDataFrame([(audit.new_run_id(job_name),)], "value string")
-    fresh.coalesce(1).write.mode("ignore").text(path)
+    fresh = spark.sql("SELECT :run AS value", args={"run": audit.new_run_id(job_name)})
+    fresh.write.mode("ignore").text(path)
     return spark.read.text(path).first()[0]
 
 

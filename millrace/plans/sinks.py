@@ -62,7 +62,8 @@ def emit(rows: DataFrame, config: Audit | Reconciliation | None) -> bool:
         elif kind == "JDBC":
             rows.write.format("jdbc").options(**jdbc_options(config)).mode("append").save()
         elif kind == "FILE":
-            rows.write.mode("append").parquet(config.destination)
+            # A handful of rows per batch: one file, not one per core.
+            rows.coalesce(1).write.mode("append").parquet(config.destination)
         else:
             for line in keyed_messages(rows).toLocalIterator():
                 _log_line(line["value"])
