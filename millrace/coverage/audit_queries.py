@@ -122,6 +122,18 @@ def recon_counts(spark, folder):
     return reconcile.stage_totals(audit.once_per_batch(replayed), ["run_id", "job_name"])
 
 
+@query(
+    "audit_counters",
+    f"""WITH {_FLOW_SQL}
+        SELECT run_id, 'audit.source.events.read' AS counter, read AS value FROM counts
+        UNION ALL SELECT run_id, 'audit.source.events.rejected', rejected FROM counts
+        UNION ALL SELECT run_id, 'audit.transform.out', transformed FROM counts
+        UNION ALL SELECT run_id, 'audit.target.enriched.written', written FROM counts""",
+)
+def audit_counters(spark, folder):
+    return audit.counters(_events(spark, folder))
+
+
 @query(
     "recon_report",
     f"""WITH {_FLOW_SQL}, reported AS ({_report_sql("counts", 3.0)})

@@ -69,9 +69,10 @@ class Node:
 
 def field_of(value: Column, name: str) -> Column:
     """The named member of an object VARIANT, as a VARIANT; NULL when absent."""
-    if "'" in name or "\\" in name:
+    quote = "'" if "'" not in name else '"'
+    if quote in name or "\\" in name:
         raise SchemaError(f"field name {name!r} cannot be addressed")
-    return F.try_variant_get(value, f"$['{name}']", "variant")
+    return F.try_variant_get(value, f"$[{quote}{name}{quote}]", "variant")
 
 
 def _sure(condition: Column) -> Column:

@@ -51,11 +51,8 @@ EVENT_SCHEMA = (
     "count bigint, ts timestamp, metadata string"
 )
 
-# Counter names summed over all sources and over all targets.
+# Fixed value: the counter of rows the query gave.
 TRANSFORM_OUT = "audit.transform.out"
-SOURCE_READ_ALL = "audit.source.all.read"
-SOURCE_REJECTED_ALL = "audit.source.all.rejected"
-TARGET_WRITTEN_ALL = "audit.target.all.written"
 
 
 def _label(name: str | None) -> str:
@@ -157,6 +154,20 @@ def once_per_batch(events: DataFrame) -> DataFrame:
     return lifecycle.unionByName(folded.select(*keys[:-1], "_e.*").select(*events.columns))
 
 
+def counters(events: DataFrame) -> DataFrame:
+    """Counter values per run, under their names, from count events (each batch once)."""
+    label = F.regexp_replace(F.regexp_replace("stage", "^(source|target)/", ""), "[^a-zA-Z0-9_]", "_")
+    kind = F.col("event_type")
+    name = (
+        F.when(kind == SOURCE_READ, F.concat(F.lit("audit.source."), label, F.lit(".read")))
+        .when(kind == SOURCE_REJECTED, F.concat(F.lit("audit.source."), label, F.lit(".rejected")))
+        .when(kind == TRANSFORM_OUTPUT, F.lit(TRANSFORM_OUT))
+        .when(kind == TARGET_WRITTEN, F.concat(F.lit("audit.target."), label, F.lit(".written")))
+    )
+    named = events.withColumn("counter", name).where(F.col("counter").isNotNull())
+    return named.groupBy("run_id", "counter").agg(F.sum("count").alias("value"))
+
+
 def latest_status(events: DataFrame, tie: Column | None = None) -> DataFrame:
     """Per run: latest status, first and last event time, and the error of a failed run."""
     is_lifecycle = F.col("event_type").isin(list(STATUS))

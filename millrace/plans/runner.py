@@ -187,6 +187,11 @@ class Trail:
             config.tolerance_percent if config else 0.0,
         )
 
+    def windows(self) -> DataFrame:
+        """One report per window of the configured length, from the times of the counts."""
+        config = self.job.reconciliation
+        return reconcile.by_window(audit.once_per_batch(self.frame()), config.window, config.tolerance_percent)
+
     def reconcile(self) -> DataFrame | None:
         config = self.job.reconciliation
         if config is None or not config.enabled:

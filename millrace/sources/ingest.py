@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.validation import Compiler, Node, SchemaError, _any, _sure, field_of, first_message
 from ..streaming.event_time import EventTime, to_timestamp
-from .schema import Declared, avro_branches, avro_kind
+from .schema import Declared, avro_kind
 
 # The reject classes carried by a dead-letter record.
 MALFORMED = "MALFORMED"

@@ -96,3 +96,24 @@ def test_latest_status(spark, last, status, error):
     )
     row = audit.latest_status(events).withColumn("from", F.unix_millis("submitted_at")).first()
     assert (row["status"], row["error_message"], row["from"]) == (status, error, 1000)
+
+
+def test_counters_carry_the_same_names(spark):
+    events = audit.events_frame(
+        spark,
+        [
+            audit.event("r", "j", audit.SOURCE_READ, audit.source_stage("my/topic.v2"), 3),
+            audit.event("r", "j", audit.SOURCE_READ, audit.source_stage("my/topic.v2"), 4),
+            audit.event("r", "j", audit.TARGET_WRITTEN, audit.target_stage("out"), 5),
+            audit.event("r", "j", audit.JOB_COMPLETED),
+        ],
+    )
+    got = {r["counter"]: r["value"] for r in audit.counters(events).collect()}
+    assert got == {audit.source_read("my/topic.v2"): 7, audit.target_written("out"): 5}
+
+
+def test_texts_with_quotes_survive(spark):
+    record = audit.event("r'1", 'j"2', audit.JOB_FAILED, metadata={"error": "it's \\ \"bad\" \n\u00e9"})
+    row = audit.events_frame(spark, [record]).first()
+    assert (row["run_id"], row["job_name"]) == ("r'1", 'j"2')
+    assert json.loads(row["metadata"]) == {"error": "it's \\ \"bad\" \n\u00e9"}

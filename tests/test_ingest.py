@@ -86,6 +86,11 @@ def test_int64_keeps_large_integers(texts):
         ({"pattern": "^a.c$"}, ['"abc"', "5"], ['"abd"']),
         ({"type": ["string", "null"]}, ['"s"', "null"], ["1"]),
         ({"type": "array", "items": {"type": "integer"}}, ["[]", "[1,2]"], ['[1,"x"]', "{}"]),
+        (
+            {"items": {"type": "array", "items": {"properties": {"a": {"type": "integer"}}, "required": ["a"]}}},
+            ["[]", '[[{"a":1},{"a":2}],[]]', "5"],
+            ["[1]", '[[{"a":1},{"a":"x"}]]', "[[{}]]"],
+        ),
         ({"minItems": 1, "maxItems": 2, "uniqueItems": True}, ["[1]", "[1,2]", "{}"], ["[]", "[1,1]", "[1,2,3]"]),
         ({"contains": {"type": "string"}}, ['[1,"a"]', "5"], ["[1]", "[]"]),
         (
@@ -238,6 +243,14 @@ def test_declared_names_may_match_transport_columns(spark):
     assert tuple(ingest.accepted(ingest.classify(raw, schema)).first()) == ("v", "t")
 
 
+def test_awkward_names(texts):
+    schema = {"properties": {n: {"type": "integer"} for n in ("user-id", "a.b", "it's", "ünï", "select")}}
+    text = json.dumps({n: i for i, n in enumerate(schema["properties"])}, ensure_ascii=False)
+    assert verdict(texts(text), schema)[text] == (None, (0, 1, 2, 3, 4))
+    with pytest.raises(SchemaError):
+        verdict(texts("{}"), {"properties": {"both ' and \"": {}}})
+
+
 def test_raw_table_without_schema(texts):
     table = ingest.raw_table(texts("anything", None))
     assert table.columns == ["f0"] and {r[0] for r in table.collect()} == {"anything", None}

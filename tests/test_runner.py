@@ -227,6 +227,8 @@ def test_stream_run_equals_batch(spark, tmp_path, job):
     assert spark.read.text(str(tmp_path / "dlq/orders")).count() == 2
     row = report.first()
     assert [row[c] for c in ("source_read_count", "schema_rejected_count", "transformed_count", "target_written_count")] == [5, 2, 2, 2]
+    windows = run.trail.windows().agg(F.sum("source_read_count"), F.sum("target_written_count")).first()
+    assert tuple(windows) == (5, 2)
     names = [k for k, _, _ in kinds(spark, tmp_path)]
     assert names[:2] == ["JOB_SUBMITTED", "JOB_RUNNING"] and names[-2:] == ["JOB_COMPLETED", "RECONCILIATION_COMPLETE"]
 
@@ -381,3 +383,16 @@ def test_dead_letter_targets(job):
     with pytest.raises(SpecError):
         runner._dlq_target(job(dlq={"enabled": True}), job().sources[0])
     assert Dlq().enabled is False
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    from types import SimpleNamespace
+
+    from millrace.session import shared_dir
+
+    conf = SimpleNamespace(get=lambda name, default: default)
+    cluster = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://head:7077"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(cluster)
+    named = SimpleNamespace(conf=SimpleNamespace(get=lambda name, default: "s3a://shared/x/"))
+    assert shared_dir(named) == "s3a://shared/x"
