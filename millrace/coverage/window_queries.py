@@ -14,7 +14,7 @@ sql_query(
     "tumble_count",
     "events",
     f"""SELECT event_type, date_format(window(ts, '1 hour').start, '{_STAMP}') AS window_start, count(*) AS events,
-              CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total
+              CAST(sum(CAST(value AS DECIMAL(8,2))) AS DOUBLE) AS total
        FROM events GROUP BY event_type, window(ts, '1 hour')""",
     """SELECT event_type, strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS window_start,
               count(*) AS events, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total
@@ -53,7 +53,7 @@ def session_agg(spark, folder):
         ["user_id"],
         "ts",
         6 * 3600,
-        {"events": F.count(F.lit(1)), "total": F.sum(F.col("value").cast("decimal(18,2)"))},
+        {"events": F.count(F.lit(1)), "total": F.sum(F.col("value").cast("decimal(8,2)"))},
     )
     return found.select(
         "user_id",
@@ -114,7 +114,7 @@ def win_lag_lead(spark, folder):
        FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)""",
 )
 def win_running_sum(spark, folder):
-    amount = F.col("value").cast("decimal(18,2)")
+    amount = F.col("value").cast("decimal(8,2)")
     events = table(spark, folder, "events").select("event_type", "event_id", "ts", amount.alias("amount"))
     keys, order = ["event_type"], ["ts", "event_id"]
     totals = windows.running(
@@ -144,7 +144,7 @@ def win_range_frame(spark, folder):
         "user_id",
         "event_id",
         F.unix_micros(F.col("ts").cast("timestamp")).alias("at"),
-        F.col("value").cast("decimal(18,2)").alias("amount"),
+        F.col("value").cast("decimal(8,2)").alias("amount"),
     )
     framed = windows.range_frame(
         events,
