@@ -93,7 +93,7 @@ def preflight(spark: SparkSession, job: Job) -> list[str]:
     try:
         check_checkpoint(job.engine.checkpoint_dir)
         if not transform.resolve_sql(spark, job.transformation).strip():
-            raise SpecError("SQL Query cannot be empty")
+            raise SpecError("the SQL text is empty")
         for source in job.sources:
             if source.files is not None and source.files.format not in ("text", "json"):
                 raw = connectors.read(spark, source, streaming=False).limit(0)

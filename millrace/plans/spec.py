@@ -230,7 +230,7 @@ def _build(kind, value, where: str):
 def _named(job: Job) -> Job:
     """Defaults that depend on position, and the rules every job must meet."""
     if not job.sources:
-        raise SpecError("Job must have at least one source configured.")
+        raise SpecError("a job needs a source")
     if job.target.type.upper() not in TARGET_TYPES:
         raise SpecError(f"target type {job.target.type!r} is not one of {', '.join(TARGET_TYPES)}")
     sources = [

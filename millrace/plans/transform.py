@@ -16,14 +16,14 @@ def resolve_sql(spark: SparkSession, transformation: Transformation) -> str:
     """The query text: FILE reads its path; INLINE, or nothing, prefers the content given."""
     kind = (transformation.type or "INLINE").upper()
     if kind not in ("INLINE", "FILE"):
-        raise SpecError(f"Unknown transformation type: {transformation.type}. Must be INLINE or FILE")
+        raise SpecError(f"transformation type {transformation.type!r} is neither INLINE nor FILE")
     if kind == "INLINE" and transformation.sql_content:
         return transformation.sql_content
     if transformation.sql_file_path:
         return _from_file(spark, transformation.sql_file_path)
     if kind == "FILE":
-        raise SpecError("Transformation type is FILE but sqlFilePath is not set")
-    raise SpecError("No SQL provided: set type=INLINE with sqlContent, or type=FILE with sqlFilePath")
+        raise SpecError("a FILE transformation needs sqlFilePath")
+    raise SpecError("the job has no SQL: give sqlContent or sqlFilePath")
 
 
 def register(source: Source, df: DataFrame) -> None:

@@ -14,11 +14,12 @@ from .schema import avro_schema
 
 log = logging.getLogger(__name__)
 
-# Login modules of the two SASL mechanisms.
+# Login modules of the two SASL mechanisms, and the form of a login entry.
 LOGIN_MODULES = {
     "PLAIN": "org.apache.kafka.common.security.plain.PlainLoginModule",
     "SCRAM-SHA-256": "org.apache.kafka.common.security.scram.ScramLoginModule",
 }
+LOGIN_ENTRY = '{module} required username="{user}" password="{password}";'
 SASL_TYPES = ("SASL_SSL", "SASL_PLAINTEXT")
 
 # Start positions by either of their two spellings.
@@ -50,7 +51,7 @@ def security_options(auth: Auth | None) -> dict[str, str]:
     if not jaas:
         module = LOGIN_MODULES.get(mechanism.upper(), LOGIN_MODULES["PLAIN"])
         user, password = from_environment(auth.username), from_environment(auth.password)
-        jaas = f'{module} required username="{user}" password="{password}";'
+        jaas = LOGIN_ENTRY.format(module=module, user=user, password=password)
     options = {
         "kafka.security.protocol": auth.type,
         "kafka.sasl.mechanism": mechanism,
@@ -62,7 +63,7 @@ def security_options(auth: Auth | None) -> dict[str, str]:
             if auth.truststore_password is not None:
                 options["kafka.ssl.truststore.password"] = from_environment(auth.truststore_password)
         else:
-            log.warning("SASL_SSL configured but truststoreLocation is not set")
+            log.warning("SASL_SSL without a truststore: the JVM default store applies")
     return options
 
 

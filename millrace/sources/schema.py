@@ -25,6 +25,15 @@ AVRO_TYPES = {
 }
 
 
+SPARK_TYPES = {
+    "int": T.IntegerType(),
+    "bigint": T.LongType(),
+    "double": T.DoubleType(),
+    "boolean": T.BooleanType(),
+    "string": T.StringType(),
+}
+
+
 @dataclass(frozen=True)
 class Field:
     name: str
@@ -41,16 +50,16 @@ class Declared:
     fields: tuple[Field, ...]
 
     def struct(self) -> T.StructType:
-        return T.StructType([T.StructField(f.name, T._parse_datatype_string(f.type)) for f in self.fields])
+        return T.StructType([T.StructField(f.name, SPARK_TYPES[f.type]) for f in self.fields])
 
 
 def _load(text: str, what: str) -> dict:
     try:
         document = json.loads(text)
     except (TypeError, ValueError) as error:
-        raise SchemaError(f"Failed to parse {what}: {error}") from error
+        raise SchemaError(f"{what} is not JSON: {error}") from error
     if not isinstance(document, dict):
-        raise SchemaError(f"Failed to parse {what}: not an object")
+        raise SchemaError(f"{what} is not a JSON object")
     return document
 
 
@@ -58,7 +67,7 @@ def json_schema(text: str) -> Declared:
     document = _load(text, "JSON Schema")
     properties = document.get("properties")
     if not isinstance(properties, dict) or not properties:
-        raise SchemaError("Invalid JSON Schema: 'properties' field missing or invalid")
+        raise SchemaError("a JSON Schema must declare properties, for they are the columns")
     fields = []
     for name, part in properties.items():
         kind = part.get("type") if isinstance(part, dict) else None
@@ -86,11 +95,11 @@ def avro_kind(schema: object) -> str:
 def avro_schema(text: str) -> Declared:
     document = _load(text, "Avro Schema")
     if document.get("type") != "record" or not isinstance(document.get("fields"), list):
-        raise SchemaError("Failed to parse Avro Schema: a record with fields is needed")
+        raise SchemaError("an Avro schema must be a record with fields")
     fields = []
     for part in document["fields"]:
         if not isinstance(part, dict) or "name" not in part or "type" not in part:
-            raise SchemaError("Failed to parse Avro Schema: a field needs a name and a type")
+            raise SchemaError("every Avro field needs a name and a type")
         kinds = [avro_kind(b) for b in avro_branches(part["type"])]
         first = next((k for k in kinds if k != "null"), "null")
         fields.append(Field(part["name"], AVRO_TYPES.get(first, "string"), part["type"]))
