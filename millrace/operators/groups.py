@@ -21,8 +21,10 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 
-HOT_GROUP_ROWS = "millrace.hot.group.rows"
+HOT_GROUP_ROWS = "spark.millrace.hot.group.rows"
 DEFAULT_HOT_GROUP_ROWS = 5_000_000
+# A shuffle into more parts than this spends its time on bookkeeping; parts grow instead.
+MOST_PARTS = 20_000
 PART = "_part"
 
 
@@ -72,7 +74,7 @@ class Split:
 
     @classmethod
     def of(cls, df: DataFrame, keys: list[str], order: list[str], rows: int) -> "Split":
-        parts = max(2, -(-rows // hot_group_rows(df.sparkSession)))
+        parts = min(max(2, -(-rows // hot_group_rows(df.sparkSession))), MOST_PARTS)
         cut = df.repartitionByRange(parts, *[F.col(k) for k in keys], *ordering(order))
         return cls(materialize(cut.withColumn(PART, F.spark_partition_id()), "split"), keys, order)
 

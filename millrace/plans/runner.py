@@ -244,7 +244,21 @@ def _count_intake(taken: Intake, job: Job) -> tuple[int, int]:
     return seen.get["read"], seen.get["rejected"]
 
 
-def _deliver(result: DataFrame, target: Target) -> tuple[int, int]:
+def _reason(error: Exception) -> str:
+    return str(error).splitlines()[0] if str(error) else type(error).__name__
+
+
+def _deliver(trail: Trail, result: DataFrame) -> tuple[int, int]:
+    """``deliver``, with a failure put on record before it ends the run."""
+    target = trail.job.target
+    try:
+        return deliver(result, target)
+    except Exception as error:
+        trail.add(audit.TARGET_FAILED, audit.target_stage(target.topic), error=_reason(error))
+        raise
+
+
+def deliver(result: DataFrame, target: Target) -> tuple[int, int]:
     """Writes the result once; (rows the query gave, rows written).
 
     Files and catalog tables are committed as a whole, and the rows are counted on their
@@ -276,14 +290,14 @@ def run_batch(spark: SparkSession, job: Job) -> BatchRun:
             read, rejected = _count_intake(taken, job)
             stage = audit.source_stage(taken.source.topic)
             counts += [(audit.SOURCE_READ, stage, read, {}), (audit.SOURCE_REJECTED, stage, rejected, {})]
-        emitted, written = _deliver(result, job.target)
+        emitted, written = _deliver(trail, result)
         counts += [
             (audit.TRANSFORM_OUTPUT, audit.TRANSFORM_STAGE, emitted, {}),
             (audit.TARGET_WRITTEN, audit.target_stage(job.target.topic), written, {}),
         ]
         trail.add_all([*counts, (audit.JOB_COMPLETED, audit.LIFECYCLE_STAGE, 0, {})])
     except Exception as error:
-        trail.add(audit.JOB_FAILED, error=str(error).splitlines()[0] if str(error) else type(error).__name__)
+        trail.add(audit.JOB_FAILED, error=_reason(error))
         raise
     return BatchRun(trail.run_id, trail, trail.reconcile(), _differing(job, result))
 
@@ -329,17 +343,15 @@ class StreamRun:
         """Waits for all queries, counting as they go; then reconciles. Raises their errors."""
         deadline = None if timeout is None else time.monotonic() + timeout
         try:
-            while any(q.isActive for q in self.queries()):
+            while active := [q for q in self.queries() if q.isActive]:
                 self.poll()
                 if deadline is not None and time.monotonic() > deadline:
                     return None
-                next(q for q in self.queries() if q.isActive).awaitTermination(1)
+                active[0].awaitTermination(1)
             for query in self.queries():
                 query.awaitTermination()
-        except StopIteration:
-            pass
         except Exception as error:
-            self.trail.add(audit.JOB_FAILED, error=str(error).splitlines()[0])
+            self.trail.add(audit.JOB_FAILED, error=_reason(error))
             for query in self.queries():
                 query.stop()
             raise
@@ -408,7 +420,7 @@ def run_stream(spark: SparkSession, job: Job, available_now: bool = False) -> St
     except Exception as error:
         for query in started:
             query.stop()
-        trail.add(audit.JOB_FAILED, error=str(error).splitlines()[0])
+        trail.add(audit.JOB_FAILED, error=_reason(error))
         raise
 
 

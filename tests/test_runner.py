@@ -144,6 +144,16 @@ def test_a_failed_run_is_recorded_and_raised(spark, tmp_path, job):
     assert status["status"] == "FAILED" and "nowhere" in status["error_message"]
 
 
+def test_a_failed_target_is_recorded(spark, tmp_path, job):
+    write_lines(tmp_path / "in", "a", order(1, 50))
+    (tmp_path / "out").mkdir()
+    taken = {"type": "FILE", "path": str(tmp_path / "out"), "fileFormat": "json", "mode": "errorifexists"}
+    with pytest.raises(Exception, match="exists"):
+        runner.run_batch(spark, job(target=taken))
+    names = [k for k, _, _ in kinds(spark, tmp_path)]
+    assert sorted(names) == ["JOB_FAILED", "JOB_RUNNING", "JOB_SUBMITTED", "TARGET_FAILED"]
+
+
 def test_without_audit_nothing_is_kept_but_the_result(spark, tmp_path, job):
     write_lines(tmp_path / "in", "a", order(1, 50))
     run = runner.run_batch(spark, job(audit=None, reconciliation=None, dlq={}))
@@ -269,6 +279,15 @@ def test_unbounded_aggregate_is_refused_in_append(spark, tmp_path, job):
     assert not spark.streams.active
 
 
+def test_a_stream_that_breaks_is_recorded_and_raised(spark, tmp_path, job):
+    write_lines(tmp_path / "in", "a", order(1, 50), order(2, 60))
+    run = runner.run_stream(spark, job("SELECT 1 / (id - 2) AS x FROM orders"), available_now=True)
+    with pytest.raises(Exception, match="(?i)zero"):
+        run.await_end(timeout=120)
+    assert audit.latest_status(spark.read.parquet(str(tmp_path / "audit"))).first()["status"] == "FAILED"
+    assert not spark.streams.active
+
+
 def test_cancel(spark, tmp_path, job):
     write_lines(tmp_path / "in", "a", order(1, 50))
     run = runner.run_stream(spark, job(engine={"checkpointDir": str(tmp_path / "cp"), "checkpointInterval": 100}))
@@ -366,7 +385,7 @@ def test_rows_for_a_topic_or_database_are_staged_and_counted(spark, monkeypatch,
     sent = []
     monkeypatch.setattr(connectors, "write_outgoing", lambda rows, target: sent.append(rows))
     target = Target(type=kind, kafka=Kafka("t", "b:9092", format="JSON"))
-    assert runner._deliver(spark.range(5), target) == (5, 5)
+    assert runner.deliver(spark.range(5), target) == (5, 5)
     assert sent[0].columns == (["value"] if kind == "KAFKA" else ["id"])
     assert "delivery-" in sent[0].inputFiles()[0]
 
