@@ -10,6 +10,7 @@ sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(
 
 import __spark_entry__ as contract
 from check import compare
+from millrace.coverage import QUERIES
 from tests.conftest import SF
 
 
@@ -21,7 +22,7 @@ def base():
     return connection
 
 
-@pytest.mark.parametrize("name", list(contract.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, base, name):
     found = contract.queries()[name](spark, SF).toPandas()
     assert name in contract.oracle_sql()
