@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import chat, fingerprints, line_dedup, mixing, packing, secret_scan, simhash, toxicity, vector_search
 from .common import table
-from .packing import pack
+from .oracles import CHAT, LINES, MIXING, SEARCH
 from .registry import ORACLE, QUERIES, query
 from .token_counts import count_tokens
 
@@ -22,4 +24,51 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op2_packing")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
-    return pack(table(spark, folder, "documents"), public_tokenizers.path(VOCABULARY))
+    return packing.pack(table(spark, folder, "documents"), public_tokenizers.path(VOCABULARY))
+
+
+@query("op3_fingerprints")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints.fingerprint_versions(table(spark, folder, "documents"))
+
+
+@query("op4_simhash")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, folder, "documents"))
+
+
+@query("op5_secret_scan")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    found = secret_scan.scan_secrets(table(spark, folder, "documents"), public_tokenizers.path(VOCABULARY))
+    return found.where("secret").select("doc_id", "start", "length", "probability")
+
+
+@query("op6_line_dedup", LINES)
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages")
+    texts = pages.select(
+        "page_id", line_dedup.host(F.col("url")).alias("host"), line_dedup.page_text(F.col("html")).alias("text")
+    )
+    return line_dedup.drop_boilerplate(texts, "host", "text")
+
+
+@query("op7_chat_format", CHAT)
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return chat.chat_texts(table(spark, folder, "conversations"))
+
+
+@query("op8_mixing", MIXING)
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, folder, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op9_vector_search", SEARCH)
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_search.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@query("op10_toxicity")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return toxicity.score_toxicity(docs, toxicity.train(docs, table(spark, folder, "labels")))

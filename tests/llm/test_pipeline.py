@@ -1,0 +1,94 @@
+"""The pipeline's stages, each against a plain version over the rows it was given."""
+
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer as Library
+
+import __spark_entry__ as contract
+import corpus_pipeline
+from tests.conftest import SF
+from tests.llm.test_queries import filled
+from tests.llm.test_simhash import expected
+
+
+@pytest.fixture(scope="module")
+def stages(spark):
+    """What each stage was given, and the last one's result."""
+    docs, seen = spark.read.parquet(f"{SF}/documents.parquet"), []
+    for _, stage in corpus_pipeline.STAGES:
+        seen.append(docs.cache())
+        docs = stage(spark, docs, SF)
+    return [*seen, docs.cache()]
+
+
+def texts(df):
+    return [(r.doc_id, r.text, r.source) for r in df.collect()]
+
+
+def test_registered(stages):
+    assert contract.queries()["pipeline"] is corpus_pipeline.run
+    assert [df.columns for df in stages[:-1]] == [stages[0].columns] * 5
+    assert stages[0].dtypes == stages[4].dtypes
+    for df in stages[:-1]:
+        assert df.where("n_chars <> length(text)").count() == 0
+
+
+def test_toxic_documents_go(spark, stages):
+    toxic = {r.doc_id for r in spark.read.parquet(f"{SF}/labels.parquet").where("toxic = 1").collect()}
+    before, after = ({k for k, _, _ in texts(df)} for df in stages[:2])
+    gone = before - after
+    clean = {r.doc_id for r in spark.read.parquet(f"{SF}/labels.parquet").where("toxic = 0").collect()}
+    assert gone & toxic and not gone & clean
+
+
+def test_lines_go(stages):
+    before, after = texts(stages[1]), dict((k, t) for k, t, _ in texts(stages[2]))
+    pages, holding = Counter(s for _, _, s in before), Counter()
+    for _, text, source in before:
+        holding.update({(source, line.strip(" ")) for line in text.split("\n") if line.strip(" ")})
+    drop = {(s, line) for (s, line), n in holding.items() if n >= 5 and n > 0.1 * pages[s]}
+    for key, text, source in before:
+        assert after[key] == "\n".join(x for x in text.split("\n") if (source, x.strip(" ")) not in drop)
+
+
+def test_one_of_each_group_stays(stages):
+    before = [(k, t) for k, t, _ in texts(stages[2])]
+    wanted = {component for _, _, component in expected(before)}
+    assert sorted(k for k, _, _ in texts(stages[3])) == sorted(wanted)
+
+
+def test_sources_are_mixed(stages):
+    size, taken = Counter(), Counter()
+    whole = {}
+    for key, text, source in texts(stages[3]):
+        size[source] += len(text.split())
+        whole[key] = text.split()
+    for key, text, source in texts(stages[4]):
+        taken[source] += len(text.split())
+        assert text.split() == whole[key][: len(text.split())]
+    wanted = filled(size, (3, 1, 2))
+    assert all(abs(taken[s] - wanted[s]) <= 3 for s in size)
+
+
+def test_all_is_packed(stages):
+    library = Library.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    given = Counter()
+    for key, text, _ in texts(stages[4]):
+        ids = np.array([*library.encode(text, add_special_tokens=False).ids, 0], "<u4")
+        given[key, len(ids)] += len(ids)
+    packed, room = Counter(), Counter()
+    for r in stages[5].collect():
+        packed[r.doc_id, r.doc_tokens] += r.length
+        room[r.sequence_id] += r.length
+    assert packed == given and max(room.values()) <= 1024
+
+
+def test_run(spark, stages):
+    found = corpus_pipeline.run(spark, SF)
+    assert found.columns == stages[5].columns
+    assert found.agg({"length": "sum"}).first()[0] == stages[5].agg({"length": "sum"}).first()[0]
+    assert zlib.crc32(b"") == 0 and found.where("ids_crc32 < 0").count() == 0
