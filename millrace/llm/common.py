@@ -22,6 +22,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return ready(spark).read.parquet(f"{folder}/{name}.parquet")
 
 
+def free_prefix(*tables: DataFrame) -> str:
+    """A prefix that no column of ``tables`` has, for columns that an operator adds meanwhile."""
+    prefix, taken = "_", [c.lower() for t in tables for c in t.columns]
+    while any(c.startswith(prefix) for c in taken):
+        prefix += "_"
+    return prefix
+
+
 def by_size(texts: Iterable, chars: int) -> Iterator[list]:
     """Runs of (row, text) pairs of about ``chars`` characters in all."""
     run, size = [], 0

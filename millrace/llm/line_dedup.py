@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from .common import free_prefix
 
 #: A line on more than this share of a site's pages is boilerplate,
 RATIO = 0.1
@@ -63,11 +64,12 @@ def drop_boilerplate(
     pass unchanged. The lists of lines to drop are written first, so that the join can broadcast
     them if, and only if, their size is known to be small.
     """
-    lists = materialize(boilerplate(docs, site, text, ratio, least_pages), "boilerplate")
+    own = free_prefix(docs)
+    lists = materialize(boilerplate(docs, site, text, ratio, least_pages), "boilerplate").toDF(f"{own}site", f"{own}lines")
     columns = [F.col(c) for c in docs.columns if c != text]
     kept = F.array_join(
-        F.filter(_lines(F.col(text)), lambda x: ~F.array_contains(F.col("_lines"), _same(x))), "\n"
+        F.filter(_lines(F.col(text)), lambda x: ~F.array_contains(F.col(f"{own}lines"), _same(x))), "\n"
     )
-    cleaned = F.when(F.col("_lines").isNull(), F.col(text)).otherwise(kept).alias(text)
-    joined = docs.join(lists, F.col(site).eqNullSafe(F.col("_site")), "left")
+    cleaned = F.when(F.col(f"{own}lines").isNull(), F.col(text)).otherwise(kept).alias(text)
+    joined = docs.join(lists, F.col(site).eqNullSafe(F.col(f"{own}site")), "left")
     return joined.select(*columns, cleaned).select(*docs.columns)

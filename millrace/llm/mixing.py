@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from .common import free_prefix
 
 WEIGHTS = (3, 1, 2)
 BUDGET = 1.5
@@ -87,38 +88,36 @@ def mix(
     not shuffled. Reruns agree, however the rows are partitioned.
     """
     given = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken")]
-    sized = docs.select(
-        *[F.col(c) for c in given],
-        word_count(F.col(text)).alias("size"),
-        F.floor(_seeded(F.col(key), "order") / (2**32 // BINS)).alias("_bin"),
-    )
-    bins = materialize(
-        sized.groupBy(F.col(source).alias("source"), "_bin").agg(F.sum("size").alias("words")), "mix-bins"
-    )
+    own = free_prefix(docs)
+    bin_ = F.floor(_seeded(F.col(key), "order") / (2**32 // BINS)).alias(f"{own}bin")
+    sized = docs.select(*[F.col(c) for c in given], word_count(F.col(text)).alias("size"), bin_)
+    bins = sized.groupBy(F.col(source).alias("source"), F.col(f"{own}bin").alias("bin")).agg(F.sum("size").alias("words"))
+    bins = materialize(bins, "mix-bins")
     aims = targets(bins.groupBy("source").agg(F.sum("words").alias("source_size")), weights, budget, most_epochs)
     plan = materialize(_cuts(bins, aims), "mix-plan")
-    out = sized.join(plan, F.col(source).eqNullSafe(F.col("_source")), "left")
-    part = F.least(F.col("size"), F.floor(F.col("size") * F.col("_share") + _seeded(F.col(key), "round") / 2.0**32))
-    extra = F.when(F.col("_bin") < F.col("_cut"), F.col("size")).when(F.col("_bin") == F.col("_cut"), part).otherwise(0)
-    taken = (F.col("size") * F.col("_whole") + extra).cast("bigint")
+    plan = plan.withColumnsRenamed({c: f"{own}{c}" for c in ("source", "whole", "cut", "share")})
+    out = sized.join(plan, F.col(source).eqNullSafe(F.col(f"{own}source")), "left")
+    here, cut = F.col(f"{own}bin"), F.col(f"{own}cut")
+    rounded = F.floor(F.col("size") * F.col(f"{own}share") + _seeded(F.col(key), "round") / 2.0**32)
+    extra = F.when(here < cut, F.col("size")).when(here == cut, F.least(F.col("size"), rounded)).otherwise(0)
+    taken = (F.col("size") * F.col(f"{own}whole") + extra).cast("bigint")
     return out.select(*given, "size", "source_size", "target", taken.alias("taken"))
 
 
 def _cuts(bins: DataFrame, aims: DataFrame) -> DataFrame:
     """Per source: whole repetitions, the bin at the border, and the share taken of that bin."""
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
-    aims = aims.select(
-        F.col("source").alias("_source"), "source_size", "target", whole.cast("bigint").alias("_whole")
-    ).withColumn("_rest", F.col("target") - F.col("_whole") * F.col("source_size"))
-    upto = Window.partitionBy("_source").orderBy("_bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    filled = bins.join(aims, F.col("source").eqNullSafe(F.col("_source"))).withColumn("_upto", F.sum("words").over(upto))
-    border = F.min(F.when(F.col("_upto") > F.col("_rest"), F.struct("_bin", "_upto", "words")))
-    cut = filled.groupBy("_source", "source_size", "target", "_whole", "_rest").agg(border.alias("_border"))
-    share = (F.col("_rest") - (F.col("_border._upto") - F.col("_border.words"))) / F.col("_border.words")
+    aims = aims.select(F.col("source").alias("of"), "source_size", "target", whole.cast("bigint").alias("whole"))
+    aims = aims.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
+    upto = Window.partitionBy("of").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    filled = bins.join(aims, F.col("source").eqNullSafe(F.col("of"))).withColumn("upto", F.sum("words").over(upto))
+    border = F.min(F.when(F.col("upto") > F.col("rest"), F.struct("bin", "upto", "words")))
+    cut = filled.groupBy("of", "source_size", "target", "whole", "rest").agg(border.alias("border"))
+    share = (F.col("rest") - (F.col("border.upto") - F.col("border.words"))) / F.col("border.words")
     return cut.select(
-        "_source", "source_size", "target", "_whole",
-        F.coalesce(F.col("_border._bin"), F.lit(BINS)).alias("_cut"),
-        F.coalesce(share, F.lit(0.0)).alias("_share"),
+        F.col("of").alias("source"), "source_size", "target", "whole",
+        F.coalesce(F.col("border.bin"), F.lit(BINS)).alias("cut"),
+        F.coalesce(share, F.lit(0.0)).alias("share"),
     )
 
 
@@ -129,7 +128,8 @@ def repeated(mixed: DataFrame, text: str = "text") -> DataFrame:
     whole, part = F.expr("cast(taken div size as int)"), F.expr("cast(taken % size as int)")
     copies = F.array_repeat(F.lit(None).cast("int"), whole)
     copies = F.when(part > 0, F.concat(copies, F.array(part))).otherwise(copies)
-    out = mixed.where("taken > 0").withColumn("_words", F.explode(copies))
-    cut = F.array_join(F.slice(_words(F.col(text)), 1, F.col("_words")), " ")
-    shown = F.when(F.col("_words").isNull(), F.col(text)).otherwise(cut).alias(text)
+    left = f"{free_prefix(mixed)}words"
+    out = mixed.where("taken > 0").withColumn(left, F.explode(copies))
+    cut = F.array_join(F.slice(_words(F.col(text)), 1, F.col(left)), " ")
+    shown = F.when(F.col(left).isNull(), F.col(text)).otherwise(cut).alias(text)
     return out.select(*[shown if c == text else F.col(c) for c in mixed.columns])

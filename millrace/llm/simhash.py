@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from .common import free_prefix
 from .graph import components
 
 SHINGLE_WORDS = 3
@@ -171,10 +172,11 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
     Of rows that share that ``key``, the one with the smallest text stays. Null keys come last.
     """
+    own = free_prefix(docs)
     found = near_duplicates(docs, key, text)
-    kept = found.where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_kept")).distinct()
-    rows = docs.join(kept, docs[key].eqNullSafe(kept["_kept"]), "left_semi")
+    kept = found.where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias(f"{own}kept")).distinct()
+    rows = docs.join(kept, F.col(key).eqNullSafe(F.col(f"{own}kept")), "left_semi")
     if not docs.groupBy(key).count().where("count > 1").isEmpty():
-        whole = F.struct(*docs.columns)
-        rows = rows.groupBy(key).agg(F.min_by(whole, F.coalesce(F.col(text), F.lit(""))).alias("_row")).select("_row.*")
+        whole = F.min_by(F.struct(*docs.columns), F.coalesce(F.col(text), F.lit("")))
+        rows = rows.groupBy(F.col(key).alias(f"{own}key")).agg(whole.alias(f"{own}row")).select(f"{own}row.*")
     return rows

@@ -27,11 +27,13 @@ from ..session import materialize
 
 #: The fit sees at most so many confirmed toxic rows and so many other rows, the first by hash.
 MOST_POSITIVE, MOST_UNLABELLED = 4_000, 8_000
-#: Features in the model, and the positives that must hold one.
-MOST_FEATURES, LEAST_POSITIVES = 1024, 5
+#: Features in the model, and the positives that must hold one. A feature's share among positives must
+#: be so many standard errors above that among the unlabelled, and texts with it toxic more often than
+#: not: the prior times the ratio of the shares.
+MOST_FEATURES, LEAST_POSITIVES, LEAST_ERRORS, LEAST_TOXIC = 512, 5, 4.0, 0.6
 BEGINNINGS = (4, 5, 6)
 THRESHOLD = 0.7
-STEPS, RATE, DECAY, SLACK, BACK = 400, 0.05, 1e-4, 0.0, 0.5
+STEPS, RATE, DECAY, SLACK, BACK = 800, 0.05, 1e-4, 0.0, 0.5
 #: Words whose features a worker remembers.
 KNOWN_WORDS = 200_000
 
@@ -109,7 +111,7 @@ def _sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str,
     return materialize(texts.join(F.broadcast(chosen), "id"), "toxicity-sample")
 
 
-def _choose(sample: DataFrame, positives: int, unlabelled: int, most: int) -> list[int]:
+def _choose(sample: DataFrame, positives: int, unlabelled: int, prior: float, most: int) -> list[int]:
     """The features that tell positives from the unlabelled best."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,8 +128,9 @@ def _choose(sample: DataFrame, positives: int, unlabelled: int, most: int) -> li
     rows = sample.select("text", F.col("positive").cast("bigint"), F.col("unlabelled").cast("bigint"))
     counts = rows.mapInArrow(counted, "feature bigint, p bigint, u bigint").groupBy("feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
     share_p, share_u = F.col("p") / positives, (F.col("u") + 1) / (unlabelled + 2)
-    telling = (share_p - share_u) / F.sqrt(share_u * (1 - share_u))
-    best = counts.where(F.col("p") >= LEAST_POSITIVES).select("feature", telling.alias("z")).where("z > 0")
+    errors = (share_p - share_u) / F.sqrt(share_u * (1 - share_u) / positives)
+    often = (F.col("p") >= LEAST_POSITIVES) & (prior * share_p / share_u >= LEAST_TOXIC)
+    best = counts.where(often).select("feature", errors.alias("z")).where(F.col("z") >= LEAST_ERRORS)
     return [r["feature"] for r in best.orderBy(F.desc("z"), "feature").limit(most).collect()]
 
 
@@ -165,7 +168,7 @@ def train(
     if not size[0] or not size[1]:
         return Model({}, np.zeros(0), -40.0)
     prior = min(max(prior, 1e-4), 1 - 1e-4)
-    chosen = {f: i for i, f in enumerate(_choose(sample, size[0], size[1], most_features))}
+    chosen = {f: i for i, f in enumerate(_choose(sample, size[0], size[1], prior, most_features))}
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, tuple[int, ...]] = {}

@@ -76,10 +76,16 @@ def _grid(classes: DataFrame) -> DataFrame:
     each = classes.select(F.size("v").alias("n"), F.posexplode_outer("v").alias("d", "x"))
     ends = each.groupBy("n", "d").agg(F.min("x").alias("low"), F.max("x").alias("high"))
     width = F.expr(f"(high - low) div {CELLS} + 1")
-    listed = ends.groupBy("n").agg(F.sort_array(F.collect_list(F.struct("d", "low", width.alias("width")))).alias("g"))
+    # An empty vector has no dimension, and no cell.
+    dimension = F.when(F.col("d").isNotNull(), F.struct("d", "low", width.alias("width")))
+    listed = ends.groupBy("n").agg(F.sort_array(F.collect_list(dimension)).alias("g"))
     return listed.select("n", F.col("g.low").alias("low"), F.col("g.width").alias("width"))
 
 
+def _numbers(count: int) -> Column:
+    return F.sequence(F.lit(0).cast("bigint"), F.lit(count - 1).cast("bigint"))
+
+
 def _scan(classes: DataFrame, queries: DataFrame, k: int, query_block: int, vector_block: int) -> DataFrame:
     """(query_id, class, lower, upper): the classes that may hold one of a query's k best."""
     grid = materialize(_grid(classes), "grid")
@@ -90,12 +96,12 @@ def _scan(classes: DataFrame, queries: DataFrame, k: int, query_block: int, vect
     approximations = (
         classes.withColumn("n", F.size("v")).join(grid, "n")
         .select("n", "class", alone.alias("alone"), cells.alias("cells"), F.pmod(F.xxhash64("class"), F.lit(columns)).alias("column"))
-        .withColumn("line", F.explode(F.sequence(F.lit(0), F.lit(lines - 1))))
+        .withColumn("line", F.explode(_numbers(lines)))
     )
     asked = (
         queries.withColumn("n", F.size("q")).join(grid, "n")
-        .withColumn("line", F.pmod(F.xxhash64("query_id"), F.lit(lines)).cast("int"))
-        .withColumn("column", F.explode(F.sequence(F.lit(0), F.lit(columns - 1))).cast("bigint"))
+        .withColumn("line", F.pmod(F.xxhash64("query_id"), F.lit(lines)))
+        .withColumn("column", F.explode(_numbers(columns)))
     )
 
     def meet(block: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:

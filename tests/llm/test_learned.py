@@ -23,16 +23,17 @@ def labels(spark):
     return spark.read.parquet(f"{SF}/labels.parquet")
 
 
-def test_held_out_toxicity(docs, labels):
+def test_held_out_toxicity(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     model = toxicity.train(docs, labels)
     found = toxicity.score_toxicity(docs, model).join(labels, "doc_id").collect()
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in found)
     held = [r for r in found if r.held_out]
     toxic, clean = ([r for r in held if r.toxic == y] for y in (1, 0))
     assert toxic and clean
-    above = np.mean([[a.score > b.score for b in clean] for a in toxic])
-    assert above > 0.9
-    assert np.mean([r.predicted for r in clean]) < 0.02
+    above = np.mean([[(a.score > b.score) + (a.score == b.score) / 2 for b in clean] for a in toxic])
+    assert above > 0.93
+    assert np.mean([r.predicted for r in clean]) < 0.01
     kept = {r.doc_id for r in toxicity.not_toxic(docs, model).collect()}
     assert kept == {r.doc_id for r in toxicity.score_toxicity(docs, model).collect() if r.predicted == 0}
 
