@@ -29,25 +29,26 @@ sql_query(
          AND NOT event_type LIKE 'err%' AND props IS NOT NULL""",
 )
 
+# Outer joins meet a side with many rows of a key as one row per key: the engine cannot split
+# that side when the key is hot, an aggregate folds it first.
 sql_query(
     "join_left",
     "orders customer",
-    """SELECT c_custkey, c_mktsegment, count(o_orderkey) AS urgent
-       FROM customer LEFT JOIN orders
-         ON o_custkey = c_custkey AND o_orderpriority = '1-URGENT' AND o_orderstatus = 'P'
-       GROUP BY c_custkey, c_mktsegment""",
+    """SELECT c_custkey, c_mktsegment, coalesce(urgent, 0) AS urgent
+       FROM customer LEFT JOIN (
+         SELECT o_custkey, count(*) AS urgent FROM orders
+         WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'P' GROUP BY o_custkey) o
+       ON o_custkey = c_custkey""",
 )
 
 sql_query(
     "join_right",
     "customer nation",
-    """SELECT n_name, count(c_custkey) AS rich
-       FROM (SELECT * FROM customer WHERE c_acctbal > 9900) c RIGHT JOIN nation ON c_nationkey = n_nationkey
-       GROUP BY n_name""",
+    """SELECT n_name, coalesce(rich, 0) AS rich
+       FROM (SELECT c_nationkey, count(*) AS rich FROM customer WHERE c_acctbal > 9900 GROUP BY c_nationkey) c
+         RIGHT JOIN nation ON c_nationkey = n_nationkey""",
 )
 
-# Both sides hold one row per key before they meet: an outer join cannot be split by
-# the engine when one key is hot, an aggregate folds it first.
 sql_query(
     "join_full",
     "orders customer",
@@ -116,7 +117,7 @@ def join_range(spark, folder):
         (F.col("tier") * F.col("step")).alias("low"),
         ((F.col("tier") + 1) * F.col("step")).alias("high"),
     )
-    joined = joins.range_join(events, tiers, "value", "low", "high", width=10.0)
+    joined = joins.range_join(events, tiers, "value", "low", "high")
     return joined.groupBy("tier", "event_type").agg(F.count(F.lit(1)).alias("events"))
 
 
@@ -171,6 +172,32 @@ def join_asof(spark, folder):
     )
 
 
+@query(
+    "join_asof_nulls",
+    """WITH marked AS (
+         SELECT *, CASE WHEN event_id % 7 <> 0 THEN user_id END AS k, CASE WHEN event_id % 5 <> 0 THEN ts END AS at FROM events),
+       latest AS (
+         SELECT p.event_id AS purchase_id, max(c.at) AS at FROM marked p JOIN marked c
+           ON p.event_type = 'purchase' AND c.event_type = 'click' AND p.k = c.k AND c.at <= p.at
+         GROUP BY p.event_id)
+       SELECT p.event_id AS purchase_id, p.k, max(c.event_id) AS click_id
+       FROM marked p LEFT JOIN latest l ON l.purchase_id = p.event_id
+         LEFT JOIN marked c ON c.event_type = 'click' AND c.k = p.k AND c.at = l.at
+       WHERE p.event_type = 'purchase' GROUP BY p.event_id, p.k""",
+)
+def join_asof_nulls(spark, folder):
+    """Keys and times that are NULL on either side match nothing; ties go to the larger id."""
+    marked = table(spark, folder, "events").select(
+        "event_id",
+        "event_type",
+        F.when(F.col("event_id") % 7 != 0, F.col("user_id")).alias("k"),
+        F.when(F.col("event_id") % 5 != 0, F.col("ts")).alias("at"),
+    )
+    purchases = marked.where("event_type = 'purchase'").select(F.col("event_id").alias("purchase_id"), "k", "at")
+    clicks = marked.where("event_type = 'click'").select(F.col("event_id").alias("click_id"), "k", F.col("at").alias("click_at"))
+    return joins.asof_join(purchases, clicks, ["k"], "at", "click_at", ["click_id"]).drop("at")
+
+
 sql_query(
     "agg_basic",
     "lineitem",
@@ -276,7 +303,7 @@ sql_query(
 # DISTINCT first: rows fold map-side, so the comparison meets each value once.
 sql_query(
     "set_intersect",
-    "orders lineitem",
+    "orders",
     """SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus = 'F'
        INTERSECT SELECT DISTINCT o_custkey FROM orders WHERE o_orderstatus = 'P'""",
 )
@@ -290,14 +317,15 @@ sql_query(
 
 sql_query(
     "set_intersect_all",
-    "customer supplier",
-    "SELECT c_nationkey AS nation FROM customer INTERSECT ALL SELECT s_nationkey FROM supplier",
+    "orders",
+    """SELECT o_custkey AS k FROM orders WHERE o_orderstatus = 'F'
+       INTERSECT ALL SELECT o_custkey FROM orders WHERE o_orderstatus = 'O'""",
 )
 
 sql_query(
     "set_except_all",
-    "customer supplier",
-    "SELECT c_nationkey AS nation FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier",
+    "lineitem orders",
+    "SELECT l_orderkey AS k FROM lineitem EXCEPT ALL SELECT o_orderkey FROM orders",
 )
 
 sql_query(
@@ -356,9 +384,8 @@ sql_query(
 )
 def dedup_keep_last(spark, folder):
     events = table(spark, folder, "events")
-    return newest_per_key(events, ["user_id", "event_type"], ["ts", "event_id"]).select(
-        "user_id", "event_type", "event_id", "value"
-    )
+    wanted = ["user_id", "event_type", "event_id", "value"]
+    return newest_per_key(events, ["user_id", "event_type"], ["ts", "event_id"], columns=wanted)
 
 
 @query(
@@ -369,6 +396,5 @@ def dedup_keep_last(spark, folder):
 )
 def dedup_keep_first(spark, folder):
     events = table(spark, folder, "events")
-    return newest_per_key(events, ["user_id", "event_type"], ["ts", "event_id"], keep="first").select(
-        "user_id", "event_type", "event_id", "value"
-    )
+    wanted = ["user_id", "event_type", "event_id", "value"]
+    return newest_per_key(events, ["user_id", "event_type"], ["ts", "event_id"], keep="first", columns=wanted)

@@ -18,7 +18,7 @@ sql_query(
 
 sql_query(
     "fn_string",
-    "part documents",
+    "part",
     """SELECT p_partkey, upper(p_name) AS up, lower(p_brand) AS low, trim(concat('  ', p_type, ' ')) AS trimmed,
               substring(p_name, 2, 4) AS mid, concat_ws('-', p_brand, p_type) AS joined,
               CAST(length(p_name) AS BIGINT) AS chars, replace(p_type, ' ', '_') AS replaced,

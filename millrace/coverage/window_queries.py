@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import windows
+from ..operators.groups import Heat
 from ..operators.sessions import sessions
 from .registry import query, sql_query, table
 
@@ -117,11 +118,18 @@ def win_running_sum(spark, folder):
     amount = F.col("value").cast("decimal(8,2)")
     events = table(spark, folder, "events").select("event_type", "event_id", "ts", amount.alias("amount"))
     keys, order = ["event_type"], ["ts", "event_id"]
+    heat = Heat.found(events, keys)
     totals = windows.running(
-        events, keys, order, {"running": F.col("amount"), "seen": F.lit(1).cast("bigint")}
+        events, keys, order, {"running": F.col("amount"), "seen": F.lit(1).cast("bigint")}, heat
     )
     moving = windows.neighbourhood(
-        totals, keys, order, before=2, after=0, build=lambda w: {"last_three": F.sum("amount").over(w.rowsBetween(-2, 0))}
+        totals,
+        keys,
+        order,
+        before=2,
+        after=0,
+        build=lambda w: {"last_three": F.sum("amount").over(w.rowsBetween(-2, 0))},
+        heat=heat,
     )
     return moving.select(
         "event_type",
@@ -154,3 +162,46 @@ def win_range_frame(spark, folder):
         {"events_7d": F.lit(1).cast("bigint"), "value_7d": F.col("amount")},
     )
     return framed.select("user_id", "event_id", "events_7d", F.col("value_7d").cast("double").alias("value_7d"))
+
+
+@query(
+    "win_range_frame_nulls",
+    """WITH marked AS (
+         SELECT event_id, CASE WHEN event_id % 7 <> 0 THEN user_id END AS k,
+                CASE WHEN event_id % 5 <> 0 THEN epoch_us(ts) END AS at,
+                CASE WHEN event_id % 3 = 0 THEN CAST(value AS DECIMAL(18,2)) END AS amount FROM events),
+       timed AS (
+         SELECT *, CAST(sum(amount) OVER w AS DOUBLE) AS day, count(amount) OVER w AS seen FROM marked WHERE at IS NOT NULL
+         WINDOW w AS (PARTITION BY k ORDER BY at RANGE BETWEEN 86400000000 PRECEDING AND CURRENT ROW)),
+       untimed AS (
+         SELECT *, CAST(sum(amount) OVER w AS DOUBLE) AS day, count(amount) OVER w AS seen FROM marked WHERE at IS NULL
+         WINDOW w AS (PARTITION BY k))
+       SELECT event_id, day, CASE WHEN seen > 0 THEN seen END AS seen
+       FROM (SELECT * FROM timed UNION ALL SELECT * FROM untimed)""",
+)
+def win_range_frame_nulls(spark, folder):
+    """Keys, times and values that are NULL: a frame without a value sums to NULL."""
+    amount = F.when(F.col("event_id") % 3 == 0, F.col("value").cast("decimal(8,2)"))
+    marked = table(spark, folder, "events").select(
+        "event_id",
+        F.when(F.col("event_id") % 7 != 0, F.col("user_id")).alias("k"),
+        F.when(F.col("event_id") % 5 != 0, F.unix_micros(F.col("ts").cast("timestamp"))).alias("at"),
+        amount.alias("amount"),
+    )
+    seen = F.when(F.col("amount").isNotNull(), F.lit(1)).cast("bigint")
+    framed = windows.range_frame(marked, ["k"], "at", 86_400_000_000, {"day": F.col("amount"), "seen": seen})
+    return framed.select("event_id", F.col("day").cast("double").alias("day"), "seen")
+
+
+@query(
+    "win_first_last_desc",
+    """SELECT user_id, event_id, first_value(event_id) OVER w AS first_event, last_value(event_type) OVER w AS last_type
+       FROM events WINDOW w AS (PARTITION BY user_id ORDER BY value DESC, event_id
+                                ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)""",
+)
+def win_first_last_desc(spark, folder):
+    events = table(spark, folder, "events").select("user_id", "event_id", "event_type", "value")
+    whole = windows.edges(
+        events, ["user_id"], {"first_event": "event_id"}, {"last_type": "event_type"}, ["-value", "event_id"]
+    )
+    return whole.select("user_id", "event_id", "first_event", "last_type")

@@ -143,15 +143,20 @@ def events_from_counts(
 
 
 def once_per_batch(events: DataFrame) -> DataFrame:
-    """Count events with a replayed micro-batch folded: the same batch counts once."""
-    batch = F.get_json_object("metadata", "$.batch_id")
-    lifecycle = events.where(batch.isNull())
-    counted = events.where(batch.isNotNull()).withColumn("_batch", batch)
-    keys = ["run_id", "job_name", "event_type", "stage", "_batch"]
-    folded = counted.groupBy(*keys).agg(
-        F.max_by(F.struct("count", "ts", "metadata"), F.col("ts")).alias("_e")
+    """Count events with a replayed micro-batch folded: the same batch counts once.
+
+    A batch is told by its id and its source table, both in the metadata: two sources may
+    read one topic.
+    """
+    note = lambda name: F.get_json_object("metadata", f"$.{name}")
+    lifecycle = events.where(note("batch_id").isNull())
+    counted = events.where(note("batch_id").isNotNull())
+    counted = counted.withColumns({"_batch": note("batch_id"), "_source": note("source")})
+    keys = ["run_id", "job_name", "event_type", "stage"]
+    folded = counted.groupBy(*keys, "_batch", "_source").agg(
+        F.max_by(F.struct("count", "ts", "metadata"), F.struct("ts", "count")).alias("_e")
     )
-    return lifecycle.unionByName(folded.select(*keys[:-1], "_e.*").select(*events.columns))
+    return lifecycle.unionByName(folded.select(*keys, "_e.*").select(*events.columns))
 
 
 def counters(events: DataFrame) -> DataFrame:
@@ -164,7 +169,7 @@ def counters(events: DataFrame) -> DataFrame:
         .when(kind == TRANSFORM_OUTPUT, F.lit(TRANSFORM_OUT))
         .when(kind == TARGET_WRITTEN, F.concat(F.lit("audit.target."), label, F.lit(".written")))
     )
-    named = events.withColumn("counter", name).where(F.col("counter").isNotNull())
+    named = once_per_batch(events).withColumn("counter", name).where(F.col("counter").isNotNull())
     return named.groupBy("run_id", "counter").agg(F.sum("count").alias("value"))
 
 

@@ -23,8 +23,6 @@ from ..session import materialize
 
 HOT_GROUP_ROWS = "spark.millrace.hot.group.rows"
 DEFAULT_HOT_GROUP_ROWS = 5_000_000
-# A shuffle into more parts than this spends its time on bookkeeping; parts grow instead.
-MOST_PARTS = 20_000
 PART = "_part"
 
 
@@ -41,6 +39,11 @@ def names(order: list[str]) -> list[str]:
     return [o.lstrip("-") for o in order]
 
 
+def backwards(order: list[str]) -> list[str]:
+    """The opposite order: its first row is the other's last."""
+    return [o[1:] if o.startswith("-") else f"-{o}" for o in order]
+
+
 def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
     """Equi-join on same-named keys that also matches NULL with NULL; left keys are kept."""
     renamed = right.select(
@@ -50,18 +53,38 @@ def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left
     return left.join(renamed, same, how).drop(*[f"_r_{k}" for k in keys])
 
 
-def by_heat(df: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame | None, int]:
-    """(rows of ordinary groups, rows of hot groups or None, number of hot rows).
+@dataclass(frozen=True)
+class Heat:
+    """The hot groups of a table: their keys, and how many rows they hold together.
 
-    One partially aggregated count decides. It is exact, so both halves are whole.
+    Operators over the same rows and keys can share one. A caller who knows the hot keys
+    passes them; ``Heat(keys)`` says that there are none. With a Heat at hand an operator
+    only builds a plan; without one it counts the groups first.
     """
-    limit = hot_group_rows(df.sparkSession)
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > limit)
-    if sizes.isEmpty():
+
+    keys: list[str]
+    hot: DataFrame | None = None
+    rows: int = 0
+
+    @classmethod
+    def found(cls, df: DataFrame, keys: list[str]) -> "Heat":
+        """From one partially aggregated count. It is exact, so both halves are whole."""
+        limit = hot_group_rows(df.sparkSession)
+        sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > limit)
+        if sizes.isEmpty():
+            return cls(keys)
+        sizes = materialize(sizes, "hot-keys")
+        return cls(keys, sizes.select(*keys), sizes.agg(F.sum("_rows")).first()[0])
+
+
+def by_heat(df: DataFrame, keys: list[str], heat: Heat | None = None) -> tuple[DataFrame, DataFrame | None, int]:
+    """(rows of ordinary groups, rows of hot groups or None, number of hot rows)."""
+    heat = heat or Heat.found(df, keys)
+    if heat.keys != keys:
+        raise ValueError(f"hot groups of {heat.keys} are not those of {keys}")
+    if heat.hot is None:
         return df, None, 0
-    sizes = materialize(sizes, "hot-keys")
-    total = sizes.agg(F.sum("_rows")).first()[0]
-    return join_on(df, sizes, keys, "left_anti"), join_on(df, sizes, keys, "left_semi"), total
+    return join_on(df, heat.hot, keys, "left_anti"), join_on(df, heat.hot, keys, "left_semi"), heat.rows
 
 
 @dataclass(frozen=True)
@@ -74,7 +97,7 @@ class Split:
 
     @classmethod
     def of(cls, df: DataFrame, keys: list[str], order: list[str], rows: int) -> "Split":
-        parts = min(max(2, -(-rows // hot_group_rows(df.sparkSession))), MOST_PARTS)
+        parts = max(2, -(-rows // hot_group_rows(df.sparkSession)))
         cut = df.repartitionByRange(parts, *[F.col(k) for k in keys], *ordering(order))
         return cls(materialize(cut.withColumn(PART, F.spark_partition_id()), "split"), keys, order)
 

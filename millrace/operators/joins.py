@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .groups import Split, by_heat, ordering
+from .groups import Heat, Split, by_heat, ordering
 
 
 def interval_join(
@@ -41,14 +41,26 @@ def interval_join(
     return joined.drop("_slot", "_r_slot", *[f"_r_{k}" for k in keys])
 
 
-def range_join(points: DataFrame, ranges: DataFrame, at: str, low: str, high: str, width: float) -> DataFrame:
-    """Points with ``low <= at < high``: ranges are laid on bins of ``width`` and joined by bin."""
-    binned = points.withColumn("_bin", F.floor(F.col(at) / width))
-    laid = ranges.where(F.col(low) < F.col(high)).withColumn(
-        "_bin", F.explode(F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width)))
-    )
+def range_join(points: DataFrame, ranges: DataFrame, at: str, low: str, high: str) -> DataFrame:
+    """Points with ``low <= at < high``, joined by bins as wide as the ranges.
+
+    A range of length up to 2**n lies on at most two bins of width 2**n, whatever its length; a
+    point is looked up once for every n that occurs among the ranges. Ranges that are empty, NULL
+    or endless on a side that holds no bin match nothing.
+    """
+    level = F.ceil(F.log2(F.col(high) - F.col(low))).cast("int")
+    laid = ranges.where(F.col(low) < F.col(high)).withColumn("_level", level)
+    # Widths are powers of two, so there are never more than some two thousand.
+    levels = [r["_level"] for r in laid.select("_level").distinct().orderBy("_level").collect()]
+
+    def bin_of(value: Column) -> Column:
+        return F.floor(value / F.pow(F.lit(2.0), F.col("_level")))
+
+    laid = laid.withColumn("_bin", F.explode(F.sequence(bin_of(F.col(low)), bin_of(F.col(high)))))
+    looked = points.withColumn("_level", F.explode(F.array(*[F.lit(n) for n in levels]).cast("array<int>")))
+    looked = looked.withColumn("_bin", bin_of(F.col(at)))
     inside = (F.col(at) >= F.col(low)) & (F.col(at) < F.col(high))
-    return binned.join(laid, "_bin").where(inside).drop("_bin")
+    return looked.join(laid, ["_level", "_bin"]).where(inside).drop("_level", "_bin")
 
 
 def asof_join(
@@ -58,33 +70,44 @@ def asof_join(
     left_at: str,
     right_at: str,
     carry: list[str],
+    tie: list[str] | None = None,
+    heat: Heat | None = None,
 ) -> DataFrame:
     """Each left row with the latest right row of its key at or before it, NULL if none.
 
     Both sides are put on one time line and the last right row is carried forward: one
-    sort instead of a range join. Hot keys are split and the carried row crosses parts
-    through one summary row per part. ``carry`` names the right columns to bring over.
+    sort instead of a range join. Of right rows of a key at the same moment, the last by
+    ``tie`` (default: by ``carry``) counts; the others fold before the shuffle. As with any
+    equality, a NULL key or time matches nothing. Hot keys are split, at a moment shared by many left
+    rows too, and the carried row crosses parts through one summary row per part. ``carry`` names
+    the right columns to bring over; ``heat`` is that of both sides together.
     """
+    known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    nothing = [F.lit(None).cast(right.schema[c].dataType).alias(c) for c in carry]
+    unmatched = left.where(~(known & F.col(left_at).isNotNull())).select(*left.columns, *nothing)
+
+    latest = F.max_by(F.struct(*carry), F.struct(*(tie or carry)))
+    moments = right.where(known & F.col(right_at).isNotNull()).groupBy(*keys, F.col(right_at).alias("_at"))
+    moments = moments.agg(latest.alias("_carry"))
     empty_left = [F.lit(None).cast(left.schema[c].dataType).alias(c) for c in left.columns if c not in keys]
-    payload = F.struct(*carry)
-    line = left.select(
+    line = left.where(known & F.col(left_at).isNotNull()).select(
         *left.columns,
         F.col(left_at).alias("_at"),
         F.lit(1).alias("_side"),
-        F.lit(None).cast(right.select(payload.alias("p")).schema["p"].dataType).alias("_carry"),
-    ).unionByName(
-        right.select(*keys, *empty_left, F.col(right_at).alias("_at"), F.lit(0).alias("_side"), payload.alias("_carry"))
-    )
+        F.lit(None).cast(moments.schema["_carry"].dataType).alias("_carry"),
+    ).unionByName(moments.select(*keys, *empty_left, "_at", F.lit(0).alias("_side"), "_carry"))
     order = ["_at", "_side"]
 
     def upto(window):
         frame = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
         return F.last("_carry", ignorenulls=True).over(frame)
 
-    cold, hot, rows = by_heat(line, keys)
+    cold, hot, rows = by_heat(line, keys, heat)
     result = cold.withColumn("_carry", upto(Window.partitionBy(*keys).orderBy(*ordering(order))))
     if hot is not None:
-        split = Split.of(hot, keys, order, rows)
+        # Left rows of one moment are alike here: any number spreads them over parts.
+        spread = hot.withColumn("_spread", F.when(F.col("_side") == 1, F.monotonically_increasing_id()))
+        split = Split.of(spread, keys, [*order, "_spread"], rows)
         right_only = F.col("_side") == 0
         newest = F.max_by(F.when(right_only, F.col("_carry")), F.when(right_only, F.col("_at")))
         seen = split.summary(
@@ -93,4 +116,5 @@ def asof_join(
         local = split.df.withColumn("_carry", upto(split.local()))
         filled = split.attach(local, seen).withColumn("_carry", F.coalesce("_carry", "_prev"))
         result = result.unionByName(filled.select(*result.columns))
-    return result.where("_side = 1").select(*left.columns, "_carry.*")
+    matched = result.where("_side = 1").select(*left.columns, "_carry.*")
+    return matched.unionByName(unmatched)

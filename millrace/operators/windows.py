@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .groups import Split, by_heat, hot_group_rows, join_on, names, ordering
+from .groups import Heat, Split, backwards, by_heat, hot_group_rows, join_on, names, ordering
 
 
 def _plain(keys: list[str], order: list[str]) -> WindowSpec:
@@ -18,9 +19,19 @@ def _to_here(window: WindowSpec) -> WindowSpec:
     return window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
-def running(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column]) -> DataFrame:
-    """Running totals, rows frame. ``order`` must be unique within a group."""
-    cold, hot, rows = by_heat(df, keys)
+def _exact(df: DataFrame, sums: dict[str, Column]) -> None:
+    """Sums that are put together from parts must not depend on how the rows were cut."""
+    for field in df.select(*[c.alias(n) for n, c in sums.items()]).schema:
+        if not isinstance(field.dataType, (T.IntegralType, T.DecimalType)):
+            raise TypeError(f"{field.name}: sums need an integer or decimal, not {field.dataType.simpleString()}")
+
+
+def running(
+    df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column], heat: Heat | None = None
+) -> DataFrame:
+    """Running totals, rows frame. ``order`` must be unique within a group, sums of an exact type."""
+    _exact(df, sums)
+    cold, hot, rows = by_heat(df, keys, heat)
     out = cold.select("*", *[F.sum(c).over(_to_here(_plain(keys, order))).alias(n) for n, c in sums.items()])
     return out if hot is None else out.unionByName(_running_split(hot, rows, keys, order, sums))
 
@@ -53,9 +64,11 @@ def _position_split(hot: DataFrame, rows: int, keys: list[str], order: list[str]
     return _running_split(hot, rows, keys, order, {name: F.lit(1).cast("bigint")})
 
 
-def ranked(df: DataFrame, keys: list[str], by: list[str], tie: list[str], tiles: int) -> DataFrame:
+def ranked(
+    df: DataFrame, keys: list[str], by: list[str], tie: list[str], tiles: int, heat: Heat | None = None
+) -> DataFrame:
     """row_number and ntile over (by, tie); rank and dense_rank over ``by`` alone."""
-    cold, hot, rows = by_heat(df, keys)
+    cold, hot, rows = by_heat(df, keys, heat)
     fine, coarse = _plain(keys, [*by, *tie]), _plain(keys, by)
     out = cold.select(
         "*",
@@ -93,6 +106,7 @@ def neighbourhood(
     before: int,
     after: int,
     build: Callable[[WindowSpec], dict[str, Column]],
+    heat: Heat | None = None,
 ) -> DataFrame:
     """Columns that look at most ``before`` rows back and ``after`` rows ahead.
 
@@ -100,7 +114,7 @@ def neighbourhood(
     equal length by row position; each block also receives copies of the few rows its
     edges can see.
     """
-    cold, hot, rows = by_heat(df, keys)
+    cold, hot, rows = by_heat(df, keys, heat)
     out = cold.select("*", *[c.alias(n) for n, c in build(_plain(keys, order)).items()])
     if hot is None:
         return out
@@ -121,51 +135,92 @@ def neighbourhood(
 
 
 def edges(df: DataFrame, keys: list[str], first: dict[str, str], last: dict[str, str], order: list[str]) -> DataFrame:
-    """FIRST_VALUE / LAST_VALUE over whole groups: two aggregates and a join on the keys."""
-    at = F.struct(*names(order))
-    per_key = df.groupBy(*keys).agg(
-        *[F.min_by(c, at).alias(n) for n, c in first.items()],
-        *[F.max_by(c, at).alias(n) for n, c in last.items()],
-    )
-    return join_on(df, per_key, keys)
+    """FIRST_VALUE / LAST_VALUE over whole groups: one row per key each, joined on the keys.
+
+    ``order`` must be unique within a group; a leading minus means descending.
+    """
+    out = df
+    for wanted, along in ((first, order), (last, backwards(order))):
+        if wanted:
+            row = _leading(df, keys, along, list(dict.fromkeys(wanted.values())))
+            out = join_on(out, row.select(*keys, *[F.col(f"_w_{c}").alias(n) for n, c in wanted.items()]), keys)
+    return out
+
 
+def _leading(df: DataFrame, keys: list[str], order: list[str], wanted: list[str]) -> DataFrame:
+    """Per key, ``wanted`` columns (as ``_w_<name>``) of the first row. Only the columns needed are
+    read, and every task passes on one row per key."""
+    needed = dict.fromkeys([*keys, *names(order), *wanted])
+    place = F.row_number().over(_plain(keys, order))
+    rows = df.select(*needed).withColumn("_place", place).where(F.col("_place") == 1)
+    return rows.select(*keys, *[F.col(c).alias(f"_w_{c}") for c in wanted])
 
-def range_frame(df: DataFrame, keys: list[str], at: str, width: int, sums: dict[str, Column]) -> DataFrame:
+
+def range_frame(
+    df: DataFrame, keys: list[str], at: str, width: int, sums: dict[str, Column], heat: Heat | None = None
+) -> DataFrame:
     """Sums over RANGE BETWEEN width PRECEDING AND CURRENT ROW of the integer column ``at``.
 
     A sliding range frame re-adds the frame for every row. Here each row enters at ``at``
-    and leaves after ``at + width``, so the frame is a running total of signed amounts.
-    ``sums`` must be of an exact type (integer or decimal), for which that is lossless.
+    and leaves after ``at + width``, so the frame is a running total of signed amounts, which is
+    lossless for the exact types that ``sums`` must have. As in SQL, a frame without any
+    value gives NULL, and the rows whose ``at`` is NULL are each other's whole frame.
     """
-    amounts = {n: F.coalesce(c, F.lit(0)) for n, c in sums.items()}
+    _exact(df, sums)
+    kinds = {f.name: f.dataType for f in df.select(*[F.sum(c).alias(n) for n, c in sums.items()]).schema}
+    timed = df.where(F.col(at).isNotNull())
+    out = _timed_frames(timed, keys, at, width, sums, heat)
+    out = out.select(*df.columns, *[F.col(n).cast(kinds[n]).alias(n) for n in sums])
+    if not df.schema[at].nullable:
+        return out
+    untimed = df.where(F.col(at).isNull())
+    peers = untimed.groupBy(*keys).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    return out.unionByName(join_on(untimed, peers, keys).select(*out.columns))
+
+
+def _timed_frames(
+    df: DataFrame, keys: list[str], at: str, width: int, sums: dict[str, Column], heat: Heat | None
+) -> DataFrame:
     enters = F.struct(F.col(at).alias("_at"), F.lit(1).alias("_sign"))
     leaves = F.struct((F.col(at) + width + 1).alias("_at"), F.lit(-1).alias("_sign"))
-    signed = {n: F.col(f"_m_{n}") * F.col("_sign") for n in sums}
+    # Per sum, the signed amounts and the signed number of rows that have one.
+    signed = {}
+    for n in sums:
+        signed[f"_m_{n}"] = F.col(f"_m_{n}") * F.col("_sign")
+        signed[f"_c_{n}"] = F.col(f"_c_{n}") * F.col("_sign")
+    totals = {n: F.when(F.col(f"_t_c_{n}") > 0, F.col(f"_t_m_{n}")) for n in sums}
 
     def moves(rows: DataFrame, payload: list[str]) -> DataFrame:
-        marked = rows.select("*", *[a.alias(f"_m_{n}") for n, a in amounts.items()])
-        doubled = marked.select("*", F.inline(F.array(enters, leaves)))
+        amounts = [F.coalesce(c, F.lit(0)).alias(f"_m_{n}") for n, c in sums.items()]
+        present = [c.isNotNull().cast("bigint").alias(f"_c_{n}") for n, c in sums.items()]
+        doubled = rows.select("*", *amounts, *present).select("*", F.inline(F.array(enters, leaves)))
         # A leaving row only lowers the total: it carries no payload through the shuffle.
         kept = [F.when(F.col("_sign") == 1, F.col(c)).alias(c) for c in payload if c not in keys]
-        return doubled.select(*keys, *kept, *[f"_m_{n}" for n in sums], "_at", "_sign")
+        return doubled.select(*keys, *kept, *signed, "_at", "_sign")
 
-    cold, hot, rows = by_heat(df, keys)
+    cold, hot, rows = by_heat(df, keys, heat)
     upto = Window.partitionBy(*keys).orderBy("_at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    out = moves(cold, cold.columns).select("*", *[F.sum(signed[n]).over(upto).alias(n) for n in sums])
-    out = out.where(F.col("_sign") == 1).select(*df.columns, *sums)
+    out = moves(cold, cold.columns).select("*", *[F.sum(c).over(upto).alias(f"_t{n}") for n, c in signed.items()])
+    out = out.where(F.col("_sign") == 1).select(*df.columns, *[c.alias(n) for n, c in totals.items()])
     if hot is None:
         return out
     # One row per key and moment, folded map-side; running totals over those; and back.
-    folded = moves(hot, []).groupBy(*keys, "_at").agg(*[F.sum(signed[n]).alias(f"_d_{n}") for n in sums])
-    totals = running(folded, keys, ["_at"], {n: F.col(f"_d_{n}") for n in sums})
-    totals = totals.select(*keys, F.col("_at").alias(at), *sums)
-    back = join_on(hot, totals, [*keys, at])
+    folded = moves(hot, []).groupBy(*keys, "_at").agg(*[F.sum(c).alias(f"_d{n}") for n, c in signed.items()])
+    run = running(folded, keys, ["_at"], {f"_t{n}": F.col(f"_d{n}") for n in signed})
+    run = run.select(*keys, F.col("_at").alias(at), *[c.alias(n) for n, c in totals.items()])
+    back = join_on(hot, run, [*keys, at])
     return out.unionByName(back.select(*df.columns, *[F.col(n).cast(out.schema[n].dataType).alias(n) for n in sums]))
 
 
-def newest_per_key(df: DataFrame, keys: list[str], order: list[str], keep: str = "last") -> DataFrame:
-    """One row per key, the first or last by ``order``: an aggregate, so folded map-side."""
-    pick = F.max_by if keep == "last" else F.min_by
-    whole = F.struct(*df.columns)
-    return df.groupBy(*keys).agg(pick(whole, F.struct(*names(order))).alias("_row")).select("_row.*")
+def newest_per_key(
+    df: DataFrame, keys: list[str], order: list[str], keep: str = "last", columns: list[str] | None = None
+) -> DataFrame:
+    """One row per key, the first or last by ``order`` (a leading minus means descending).
 
+    Of ``columns`` (default: all), which are pruned before the shuffle; every task passes on one
+    row per key, so a hot key is no larger than any other.
+    """
+    wanted = columns or df.columns
+    along = order if keep == "first" else backwards(order)
+    found = _leading(df, keys, along, [c for c in wanted if c not in keys])
+    return found.select(*[F.col(c) if c in keys else F.col(f"_w_{c}").alias(c) for c in wanted])

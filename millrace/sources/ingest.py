@@ -46,6 +46,20 @@ def _fits(value: Column, ddl: str) -> Column:
 # -- Avro in its JSON encoding ------------------------------------------------------
 
 
+# Avro types of one JSON type, and that type.
+AVRO_SIMPLE = {
+    "null": "null",
+    "boolean": "boolean",
+    "int": "integer",
+    "long": "integer",
+    "float": "number",
+    "double": "number",
+    "string": "string",
+    "bytes": "string",
+    "fixed": "string",
+}
+
+
 def _avro_name(schema: object) -> str:
     if isinstance(schema, dict) and schema.get("type") in ("record", "enum", "fixed"):
         name, space = schema["name"], schema.get("namespace")
@@ -53,17 +67,22 @@ def _avro_name(schema: object) -> str:
     return avro_kind(schema)
 
 
+def _sole_member(branch: object, node: Node) -> Column:
+    """True when the value is an object whose one member is named as the union branch."""
+    name = _avro_name(branch)
+    if avro_kind(branch) in AVRO_SIMPLE and name.isidentifier():
+        # The type's text tells, without reading the members: OBJECT<name: TYPE>.
+        return node.type.startswith(f"OBJECT<{name}: ") & ~node.type.contains(", ")
+    keys = F.map_keys(node.get("map<string,variant>"))
+    return (F.size(keys) == 1) & F.array_contains(keys, name)
+
+
 def _avro_bad(schema: object, node: Node) -> Column:
     """True when the value cannot be decoded as ``schema``; absence is an error."""
     kind = avro_kind(schema)
     if kind == "union":
         named = [b for b in schema if avro_kind(b) != "null"]
-        keys = F.map_keys(node.get("map<string,variant>"))
-        fits = [
-            _sure((F.size(keys) == 1) & F.array_contains(keys, _avro_name(b)))
-            & ~_avro_bad(b, node.child(_avro_name(b)))
-            for b in named
-        ]
+        fits = [_sure(_sole_member(b, node)) & ~_avro_bad(b, node.child(_avro_name(b))) for b in named]
         if len(named) < len(schema):
             fits.append(_sure(node.is_a("null")))
         return ~_any(fits)
@@ -81,20 +100,9 @@ def _avro_bad(schema: object, node: Node) -> Column:
         return ~_sure(node.is_a("object")) | _sure(bad)
     if kind == "enum":
         return ~_sure(node.is_a("string") & node.get("string").isin(list(schema["symbols"])))
-    simple = {
-        "null": "null",
-        "boolean": "boolean",
-        "int": "integer",
-        "long": "integer",
-        "float": "number",
-        "double": "number",
-        "string": "string",
-        "bytes": "string",
-        "fixed": "string",
-    }
-    if kind not in simple:
+    if kind not in AVRO_SIMPLE:
         raise SchemaError(f"unsupported Avro type {kind!r}")
-    return ~_sure(node.is_a(simple[kind]))
+    return ~_sure(node.is_a(AVRO_SIMPLE[kind]))
 
 
 def _avro_value(schema: object, node: Node) -> Node:

@@ -81,32 +81,43 @@ def test_neighbourhood(data, hot, before, after):
     )
 
 
-def test_edges(data, hot):
-    whole = plain("at", "id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+@pytest.mark.parametrize("order", [["at", "id"], ["-v", "id"], ["v", "-id"]])
+def test_edges(data, hot, order):
+    whole = plain(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     same(
-        windows.edges(data, ["k"], {"a": "id"}, {"z": "id"}, ["at", "id"]),
-        data.select("*", F.first("id").over(whole).alias("a"), F.last("id").over(whole).alias("z")),
+        windows.edges(data, ["k"], {"a": "id", "b": "v"}, {"z": "id"}, order),
+        data.select(
+            "*", F.first("id").over(whole).alias("a"), F.first("v").over(whole).alias("b"), F.last("id").over(whole).alias("z")
+        ),
     )
 
 
-def test_range_frame(data, hot):
-    timed = data.withColumn("t", F.unix_seconds("at"))
+@pytest.mark.parametrize("limit", [40, 1_000_000])
+def test_range_frame(data, spark, hot, limit):
+    """NULL keys, times and values, on the split and on the plain path."""
+    spark.conf.set(groups.HOT_GROUP_ROWS, str(limit))
+    timed = data.withColumn("t", F.when(F.col("id") % 6 != 0, F.unix_seconds("at")))
     frame = Window.partitionBy("k").orderBy("t").rangeBetween(-3600, 0)
-    found = windows.range_frame(timed, ["k"], "t", 3600, {"n": F.lit(1).cast("bigint"), "s": F.col("v").cast("bigint")})
-    same(
-        found,
-        timed.select(
-            "*",
-            F.count(F.lit(1)).over(frame).alias("n"),
-            F.coalesce(F.sum(F.col("v").cast("bigint")).over(frame), F.lit(0)).alias("s"),
-        ),
-    )
+    rare = F.when(F.col("id") % 9 == 0, F.col("v")).cast("bigint")
+    sums = {"n": F.lit(1).cast("bigint"), "s": F.col("v").cast("bigint"), "r": rare}
+    found = windows.range_frame(timed, ["k"], "t", 3600, sums)
+    same(found, timed.select("*", *[F.sum(c).over(frame).alias(n) for n, c in sums.items()]))
+
 
+def test_sums_must_be_exact(data):
+    for sums in ({"s": F.col("v").cast("double")}, {"s": F.col("v").cast("float")}):
+        with pytest.raises(TypeError, match="decimal"):
+            windows.running(data, ["k"], ["id"], sums)
+        with pytest.raises(TypeError, match="decimal"):
+            windows.range_frame(data.withColumn("t", F.col("id")), ["k"], "t", 5, sums)
 
-def test_newest(data, hot):
-    found = windows.newest_per_key(data, ["k"], ["at", "id"])
-    expected = data.withColumn("rn", F.row_number().over(plain("-at", "-id"))).where("rn = 1").drop("rn")
-    same(found, expected)
+
+@pytest.mark.parametrize("order, keep", [(["at", "id"], "last"), (["-v", "id"], "last"), (["-v", "-id"], "first")])
+def test_newest(data, hot, order, keep):
+    along = order if keep == "first" else groups.backwards(order)
+    expected = data.withColumn("rn", F.row_number().over(plain(*along))).where("rn = 1").drop("rn")
+    same(windows.newest_per_key(data, ["k"], order, keep), expected)
+    same(windows.newest_per_key(data, ["k"], order, keep, ["v", "k"]), expected.select("v", "k"))
 
 
 @pytest.mark.parametrize("gap", [60, 600, 100_000])
@@ -117,20 +128,23 @@ def test_sessions(data, spark, hot, gap):
     same(found, sessions(data, ["k"], "at", gap, aggs))
 
 
-def test_asof_join(spark, hot):
-    left = spark.createDataFrame(_rows(400, 1), "k int, id long, v int, at timestamp").where("k IS NOT NULL")
-    right = (
-        spark.createDataFrame(_rows(200, 2), "k int, rid long, rv int, rat timestamp")
-        .where("k IS NOT NULL")
-        .dropDuplicates(["k", "rat"])
-        .cache()
-    )
-    found = joins.asof_join(left, right, ["k"], "at", "rat", ["rid", "rv"])
+@pytest.mark.parametrize("limit", [40, 1_000_000])
+def test_asof_join(spark, hot, limit):
+    """NULL keys and times match nothing; of equal times the larger row id counts."""
+    spark.conf.set(groups.HOT_GROUP_ROWS, str(limit))
+    unknown = F.when(F.col("id") % 10 != 0, F.col("at"))
+    left = spark.createDataFrame(_rows(400, 1), "k int, id long, v int, at timestamp").withColumn("at", unknown)
+    right = spark.createDataFrame(_rows(200, 2), "k int, id long, rv int, at timestamp")
+    right = right.select("k", F.col("id").alias("rid"), "rv", unknown.alias("rat"))
+    found = joins.asof_join(left, right, ["k"], "at", "rat", ["rid", "rv"], tie=["rid"])
     rows = [r.asDict() for r in right.collect()]
     expected = []
     for r in left.collect():
-        prior = [p for p in rows if p["k"] == r["k"] and p["rat"] <= r["at"]]
-        best = max(prior, key=lambda p: p["rat"]) if prior else {"rid": None, "rv": None}
+        prior = [
+            p for p in rows
+            if None not in (r["k"], r["at"], p["rat"]) and p["k"] == r["k"] and p["rat"] <= r["at"]
+        ]
+        best = max(prior, key=lambda p: (p["rat"], p["rid"])) if prior else {"rid": None, "rv": None}
         expected.append((r["id"], best["rid"], best["rv"]))
     assert sorted(map(repr, [tuple(x) for x in found.select("id", "rid", "rv").collect()])) == sorted(map(repr, expected))
 
@@ -150,20 +164,63 @@ def test_interval_join_finds_each_pair_once(spark):
 
 def test_range_join_edges(spark):
     points = spark.createDataFrame([(float(x) / 4,) for x in range(-8, 50)], "x double")
-    ranges = spark.createDataFrame([(1, -1.0, 0.5), (2, 0.5, 10.0), (3, 3.0, 3.0), (4, 9.75, 11.0)], "r int, lo double, hi double")
-    found = joins.range_join(points, ranges, "x", "lo", "hi", 2.0).select("x", "r").collect()
+    ranges = spark.createDataFrame([(1, -1.0, 0.5), (2, 0.5, 10.0), (3, 3.0, 3.0), (4, 9.75, 11.0), (5, -1e9, 1e9), (6, 2.0, 2.0001), (7, None, 5.0)], "r int, lo double, hi double")
+    found = joins.range_join(points, ranges, "x", "lo", "hi").select("x", "r").collect()
     expected = [
-        (p["x"], r["r"]) for p in points.collect() for r in ranges.collect() if r["lo"] <= p["x"] < r["hi"]
+        (p["x"], r["r"])
+        for p in points.collect()
+        for r in ranges.collect()
+        if r["lo"] is not None and r["lo"] <= p["x"] < r["hi"]
     ]
     assert sorted(map(tuple, found)) == sorted(expected)
 
 
-def test_a_split_bounds_every_part(data, spark, hot):
+@pytest.fixture
+def splits(monkeypatch):
+    """The part sizes of every split that is made."""
+    seen, of = [], groups.Split.of.__func__
+
+    def spy(cls, df, keys, order, rows):
+        split = of(cls, df, keys, order, rows)
+        seen.append([r["count"] for r in split.df.groupBy(groups.PART).count().collect()])
+        return split
+
+    monkeypatch.setattr(groups.Split, "of", classmethod(spy))
+    return seen
+
+
+def test_a_split_bounds_every_part(data, spark, hot, splits):
     _, heated, rows = groups.by_heat(data, ["k"])
-    split = groups.Split.of(heated, ["k"], ["at", "id"], rows)
-    sizes = [r["count"] for r in split.df.groupBy(groups.PART).count().collect()]
-    assert sum(sizes) == rows and len(sizes) > 1
-    assert max(sizes) <= 3 * groups.hot_group_rows(spark)
+    groups.Split.of(heated, ["k"], ["at", "id"], rows)
+    assert sum(splits[0]) == rows and len(splits[0]) > 1
+    assert max(splits[0]) <= 3 * groups.hot_group_rows(spark)
+
+
+def test_one_moment_is_split_too(spark, hot, splits):
+    """All rows of one key, and nearly all of them at one moment."""
+    rows = [(0, i, 1, START if i else START - timedelta(hours=9)) for i in range(900)]
+    same_moment = spark.createDataFrame(rows, "k int, id long, v int, at timestamp").repartition(6)
+    found = sessions(same_moment, ["k"], "at", 60, {"n": F.count(F.lit(1))})
+    assert sorted(r["n"] for r in found.collect()) == [1, 899]
+    right = spark.createDataFrame([(0, 7, START - timedelta(hours=1))], "k int, rid long, rat timestamp")
+    joined = joins.asof_join(same_moment, right, ["k"], "at", "rat", ["rid"])
+    assert joined.where("rid = 7").count() == 899 and joined.count() == 900
+    assert len(splits) == 2 and max(splits[1]) <= 3 * groups.hot_group_rows(spark)
+    assert sum(splits[0]) == 2 and sum(splits[1]) == 901
+
+
+def test_heat_is_found_once_and_shared(data, hot, monkeypatch):
+    heat = groups.Heat.found(data, ["k"])
+    assert heat.rows > 0
+    monkeypatch.setattr(groups.Heat, "found", None)
+    sums = {"n": F.lit(1).cast("bigint")}
+    totals = windows.running(data, ["k"], ["at", "id"], sums, heat)
+    moving = windows.neighbourhood(totals, ["k"], ["at", "id"], 1, 0, lambda w: {"b": F.lag("id").over(w)}, heat)
+    assert moving.count() == data.count()
+    cold = windows.running(data, ["k"], ["at", "id"], sums, groups.Heat(["k"]))
+    same(cold, totals)
+    with pytest.raises(ValueError):
+        windows.running(data, ["v"], ["at", "id"], sums, heat)
 
 
 def test_ordinary_groups_stay_on_the_plain_path(data):
