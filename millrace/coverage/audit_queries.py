@@ -95,6 +95,30 @@ def _events(spark, folder):
     )
 
 
+def _replayed(events):
+    return events.unionByName(events.withColumn("ts", F.col("ts") + F.expr("INTERVAL 1 SECOND")))
+
+
+@query(
+    "recon_same_topic",
+    f"""WITH {_FLOW_SQL}
+        SELECT run_id, job_name, 2 * read AS source_read_count, 2 * rejected AS schema_rejected_count,
+               transformed AS transformed_count, written AS target_written_count FROM counts""",
+)
+def recon_same_topic(spark, folder):
+    """Two source tables over one topic: their batches have equal stages and ids, and both count."""
+    hours = _counts(_staged(spark, folder), F.date_trunc("hour", "ts").alias("at"))
+
+    def events(name: str, first: bool):
+        note = F.struct(F.col("at").cast("string").alias("batch_id"), F.lit(name).alias("source"))
+        kept = hours if first else hours.withColumns({"transformed": F.lit(0), "written": F.lit(0)})
+        found = audit.events_from_counts(kept, F.lit("events"), F.lit("enriched"), F.col("at"), note)
+        return found if first else found.where(F.col("event_type").startswith("SOURCE"))
+
+    both = events("live", True).unionByName(events("again", False))
+    return reconcile.stage_totals(audit.once_per_batch(_replayed(both)), ["run_id", "job_name"])
+
+
 @query(
     "audit_events_from_counts",
     f"""WITH {_FLOW_SQL}
@@ -117,9 +141,7 @@ def audit_events_from_counts(spark, folder):
 )
 def recon_counts(spark, folder):
     """Hourly count events, each delivered twice as after a replay, summed per run."""
-    events = _events(spark, folder)
-    replayed = events.unionByName(events.withColumn("ts", F.col("ts") + F.expr("INTERVAL 1 SECOND")))
-    return reconcile.stage_totals(audit.once_per_batch(replayed), ["run_id", "job_name"])
+    return reconcile.stage_totals(audit.once_per_batch(_replayed(_events(spark, folder))), ["run_id", "job_name"])
 
 
 @query(
@@ -131,7 +153,7 @@ def recon_counts(spark, folder):
         UNION ALL SELECT run_id, 'audit.target.enriched.written', written FROM counts""",
 )
 def audit_counters(spark, folder):
-    return audit.counters(_events(spark, folder))
+    return audit.counters(_replayed(_events(spark, folder)))
 
 
 @query(
@@ -266,22 +288,24 @@ def recon_records(spark, folder):
     return found.select("o_orderkey", "status", "source_rows", "target_rows")
 
 
+_DAILY_REJECTS = 8
+
+
 @query(
     "reject_rate_alert",
     f"""WITH {CLASSED},
         daily AS (SELECT date_trunc('day', ts) AS slot, count(*) AS rejects FROM classed
-                  WHERE error_type IS NOT NULL GROUP BY 1),
-        bar AS (SELECT count(*) // 170 AS n FROM events)
+                  WHERE error_type IS NOT NULL GROUP BY 1)
         SELECT epoch_us(slot) AS window_start, epoch_us(slot + INTERVAL 1 DAY) AS window_end, rejects
-        FROM daily, bar WHERE rejects > n""",
+        FROM daily WHERE rejects > {_DAILY_REJECTS}""",
 )
 def reject_rate_alert(spark, folder):
-    """Days with more rejects than a bar, here scaled to the table: its count is metadata."""
+    """Days with more rejects than a bar."""
     events = table(spark, folder, "events")
     raw = events.select("ts", messages.event_text().alias("value"))
     verdicts = ingest.classify(raw, messages.events_schema())
     rejects = ingest.rejected(verdicts).select(F.col("raw.ts").alias("at"))
-    alerts = reconcile.reject_alerts(rejects, "at", "1 day", more_than=events.count() // 170)
+    alerts = reconcile.reject_alerts(rejects, "at", "1 day", more_than=_DAILY_REJECTS)
     return alerts.select(
         F.unix_micros(F.col("window_start").cast("timestamp")).alias("window_start"),
         F.unix_micros(F.col("window_end").cast("timestamp")).alias("window_end"),

@@ -180,7 +180,7 @@ def join_asof(spark, folder):
          SELECT p.event_id AS purchase_id, max(c.at) AS at FROM marked p JOIN marked c
            ON p.event_type = 'purchase' AND c.event_type = 'click' AND p.k = c.k AND c.at <= p.at
          GROUP BY p.event_id)
-       SELECT p.event_id AS purchase_id, p.k, max(c.event_id) AS click_id
+       SELECT p.event_id AS purchase_id, coalesce(p.k, -1) AS k, coalesce(max(c.event_id), -1) AS click_id
        FROM marked p LEFT JOIN latest l ON l.purchase_id = p.event_id
          LEFT JOIN marked c ON c.event_type = 'click' AND c.k = p.k AND c.at = l.at
        WHERE p.event_type = 'purchase' GROUP BY p.event_id, p.k""",
@@ -195,7 +195,8 @@ def join_asof_nulls(spark, folder):
     )
     purchases = marked.where("event_type = 'purchase'").select(F.col("event_id").alias("purchase_id"), "k", "at")
     clicks = marked.where("event_type = 'click'").select(F.col("event_id").alias("click_id"), "k", F.col("at").alias("click_at"))
-    return joins.asof_join(purchases, clicks, ["k"], "at", "click_at", ["click_id"]).drop("at")
+    found = joins.asof_join(purchases, clicks, ["k"], "at", "click_at", ["click_id"])
+    return found.select("purchase_id", *[F.coalesce(c, F.lit(-1)).alias(c) for c in ("k", "click_id")])
 
 
 sql_query(

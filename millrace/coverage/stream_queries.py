@@ -9,7 +9,7 @@ from ..functions import serialize
 from ..operators.joins import interval_join
 from ..plans import runner, spec
 from ..session import fresh_path
-from ..sources import ingest
+from ..sources import connectors, ingest
 from ..streaming import event_time
 from . import messages
 from .messages import CLASSED
@@ -130,6 +130,8 @@ def stream_dedup(spark, folder):
     return _drain(once.select("event_id", "user_id", "event_type"), "dedup")
 
 
+COUNTS = ("source_read_count", "schema_rejected_count", "transformed_count", "target_written_count")
+
 _JOB_SQL = "SELECT event_id, user_id, event_type, value FROM live WHERE value > 20"
 
 _JOB_ORACLE = f"""WITH {CLASSED}
@@ -144,10 +146,11 @@ _JOB_ORACLE = f"""WITH {CLASSED}
     FROM classed"""
 
 
-def job_spec(spark: SparkSession, folder: str) -> dict:
+def job_spec(spark: SparkSession, folder: str, files: int | None = None) -> dict:
     """A whole job over message files that Spark writes from the events table."""
     base = fresh_path(spark, "job")
-    messages.raw_events(spark, folder).write.text(f"{base}/in")
+    raw = messages.raw_events(spark, folder)
+    (raw.repartition(files) if files else raw).write.text(f"{base}/in")
     return {
         "jobName": "events-job",
         "sources": [
@@ -165,17 +168,11 @@ def job_spec(spark: SparkSession, folder: str) -> dict:
 def _outcome(spark: SparkSession, job: spec.Job, report: DataFrame) -> DataFrame:
     delivered = spark.read.text(job.target.path).agg(F.count(F.lit(1)).alias("delivered"))
     letters = spark.read.text(f"{job.dlq.path}/live").agg(F.count(F.lit(1)).alias("dead_letters"))
-    one = F.lit(1).alias("_one")
-    counts = report.select(
-        "source_read_count",
-        "schema_rejected_count",
-        "transformed_count",
-        "target_written_count",
-        "reconciled",
-        "discrepancies",
-        one,
+    counts = report.select(*COUNTS, "reconciled", "discrepancies")
+    # One row each: stacked and folded into one.
+    return counts.unionByName(delivered, True).unionByName(letters, True).agg(
+        *[F.max(c).alias(c) for c in (*COUNTS, "reconciled", "discrepancies", "delivered", "dead_letters")]
     )
-    return counts.join(delivered.select("*", one), "_one").join(letters.select("*", one), "_one").drop("_one")
 
 
 @query("job_batch", _JOB_ORACLE)
@@ -193,6 +190,90 @@ def job_stream(spark, folder):
     return _outcome(spark, job, report)
 
 
+@query("job_many_batches", _JOB_ORACLE)
+def job_many_batches(spark, folder):
+    """A stream of one input file per batch, of which the session remembers two: all are counted."""
+    kept = "spark.sql.streaming.numRecentProgressUpdates"
+    before = spark.conf.get(kept)
+    spark.conf.set(kept, "2")
+    try:
+        form = job_spec(spark, folder, files=24)
+        form["sources"][0]["files"]["options"] = {"maxFilesPerTrigger": "1"}
+        job = spec.load(form)
+        return _outcome(spark, job, runner.run_stream(spark, job, available_now=True).await_end(timeout=1800))
+    finally:
+        spark.conf.set(kept, before)
+
+
+@query(
+    "job_windowed_reports",
+    f"""WITH {CLASSED}
+        SELECT count(*) AS source_read_count, count(*) FILTER (WHERE error_type IS NOT NULL) AS schema_rejected_count,
+               count(*) FILTER (WHERE error_type IS NULL AND value > 20) AS transformed_count,
+               count(*) FILTER (WHERE error_type IS NULL AND value > 20) AS target_written_count,
+               0 AS lagging, '1h' AS window_label
+        FROM classed""",
+)
+def job_windowed_reports(spark, folder):
+    """The reports by window that a stream leaves behind add up to the whole run."""
+    job = spec.load(job_spec(spark, folder))
+    runner.run_stream(spark, job, available_now=True).await_end(timeout=1800)
+    reports = spark.read.parquet(job.reconciliation.destination)
+    # A window's report spans the window; the report of the whole run spans its counts.
+    width = F.unix_seconds("window_end") - F.unix_seconds("window_start")
+    return reports.where((width == 3600) & (F.unix_seconds("window_start") % 3600 == 0)).agg(
+        *[F.sum(c).alias(c) for c in COUNTS],
+        F.count_if(F.col("discrepancies").contains("lag")).cast("int").alias("lagging"),
+        F.max("window_label").alias("window_label"),
+    )
+
+
+@query(
+    "job_lossy_target",
+    f"""WITH {CLASSED},
+        kept AS (SELECT event_id FROM classed WHERE error_type IS NULL AND value > 20),
+        sums AS (
+          SELECT count(*) AS n, count(*) FILTER (WHERE event_id % 31 <> 0) AS lossy,
+                 count(*) + count(*) FILTER (WHERE event_id % 37 = 0) AS doubled FROM kept)
+        SELECT 'lossy' AS target, n AS transformed_count, lossy AS target_written_count, lossy = n AS reconciled,
+               CASE WHEN lossy < n THEN printf('Target lag: %d records transformed but only %d written (%.2f%% loss, tolerance=0.00%%)',
+                 n, lossy, CAST(100.0 * (n - lossy) / n AS DOUBLE)) END AS found FROM sums
+        UNION ALL
+        SELECT 'doubling', n, doubled, doubled = n,
+               CASE WHEN doubled > n THEN printf('Unexpected duplication: %d written > %d transformed', doubled, n) END FROM sums""",
+)
+def job_lossy_target(spark, folder):
+    """Targets that lose and double known rows: written is what they hold, not what was sent."""
+
+    def writing(copies):
+        def write(rows, target):
+            number = F.get_json_object("value", "$.event_id").cast("bigint")
+            put = rows.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), copies(number)))).drop("_copy")
+            connectors.write_outgoing(put, target)
+
+        return write
+
+    reports = []
+    for name, copies in (
+        ("lossy", lambda n: F.when(n % 31 == 0, 0).otherwise(1)),
+        ("doubling", lambda n: F.when(n % 37 == 0, 2).otherwise(1)),
+    ):
+        job = spec.load(job_spec(spark, folder))
+        report = runner.run_batch(spark, job, write=writing(copies)).report
+        found = F.from_json("discrepancies", "array<string>")
+        other = F.get(F.filter(found, lambda t: ~t.startswith("Schema")), F.lit(0))
+        reports.append(
+            report.select(
+                F.lit(name).alias("target"),
+                "transformed_count",
+                "target_written_count",
+                (F.col("transformed_count") == F.col("target_written_count")).alias("reconciled"),
+                other.alias("found"),
+            )
+        )
+    return reports[0].unionByName(reports[1])
+
+
 @query(
     "sink_parquet_roundtrip",
     "SELECT o_orderkey, o_orderstatus, o_totalprice, epoch_us(o_orderdate) AS placed FROM orders",

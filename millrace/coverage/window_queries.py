@@ -168,13 +168,13 @@ def win_range_frame(spark, folder):
     "win_range_frame_nulls",
     """WITH marked AS (
          SELECT event_id, CASE WHEN event_id % 7 <> 0 THEN user_id END AS k,
-                CASE WHEN event_id % 5 <> 0 THEN epoch_us(ts) END AS at,
+                CASE WHEN event_id % 5 <> 0 THEN epoch_us(ts) END AS moment,
                 CASE WHEN event_id % 3 = 0 THEN CAST(value AS DECIMAL(18,2)) END AS amount FROM events),
        timed AS (
-         SELECT *, CAST(sum(amount) OVER w AS DOUBLE) AS day, count(amount) OVER w AS seen FROM marked WHERE at IS NOT NULL
-         WINDOW w AS (PARTITION BY k ORDER BY at RANGE BETWEEN 86400000000 PRECEDING AND CURRENT ROW)),
+         SELECT *, CAST(sum(amount) OVER w AS DOUBLE) AS day, count(amount) OVER w AS seen FROM marked WHERE moment IS NOT NULL
+         WINDOW w AS (PARTITION BY k ORDER BY moment RANGE BETWEEN 86400000000 PRECEDING AND CURRENT ROW)),
        untimed AS (
-         SELECT *, CAST(sum(amount) OVER w AS DOUBLE) AS day, count(amount) OVER w AS seen FROM marked WHERE at IS NULL
+         SELECT *, CAST(sum(amount) OVER w AS DOUBLE) AS day, count(amount) OVER w AS seen FROM marked WHERE moment IS NULL
          WINDOW w AS (PARTITION BY k))
        SELECT event_id, day, CASE WHEN seen > 0 THEN seen END AS seen
        FROM (SELECT * FROM timed UNION ALL SELECT * FROM untimed)""",

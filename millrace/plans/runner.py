@@ -1,13 +1,21 @@
-"""Runs a job specification, bounded or as streams, with the same plan for both."""
+"""Runs a job specification, bounded or as streams, with the same plan for both.
+
+A job without audit, reconciliation and dead letters is one query from its sources to its
+target. Any other job is staged: every source is read and parsed once into classified rows, and the
+result of the query is kept before it is delivered. What a stage holds is what is counted,
+so counts are exact and outlive the process; nothing is read from a query's progress.
+"""
 
 from __future__ import annotations
 
 import re
 import time
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import audit, reconcile
@@ -15,28 +23,26 @@ from ..session import fresh_path, materialize, prepare
 from ..sources import connectors, ingest
 from ..sources.schema import Declared, declared
 from ..streaming import event_time
-from ..streaming.progress import RECENT, Progress, counted
 from . import sinks, transform
 from .spec import Job, Kafka, Source, SpecError, Target
 
+#: The time of the micro-batch that staged a row; it is the same when a batch is repeated.
+AT = "_staged_at"
+#: Seconds between two rounds of counting while a stream is awaited.
+ROUND_SECONDS = 60.0
+
+Write = Callable[[DataFrame, Target], None]
+
 
 @dataclass(frozen=True)
 class Intake:
-    """One source in a plan: the view's rows and, with a schema, every row with its verdict."""
+    """One source in a plan: the view's rows, and every row with its verdict."""
 
     source: Source
     view: DataFrame
-    verdicts: DataFrame | None = None
+    verdicts: DataFrame
     schema: Declared | None = None
 
-    def counted_rows(self) -> DataFrame:
-        return self.view if self.verdicts is None else self.verdicts
-
-    def metrics(self) -> list:
-        if self.verdicts is None:
-            return [F.count(F.lit(1)).alias("read"), F.lit(0).cast("bigint").alias("rejected")]
-        return ingest.intake_metrics()
-
 
 def _timed(df: DataFrame, source: Source) -> DataFrame:
     mark = source.watermark
@@ -47,41 +53,63 @@ def _timed(df: DataFrame, source: Source) -> DataFrame:
     return df
 
 
-def intake(raw: DataFrame, source: Source, stage: bool = False) -> Intake:
-    """Raw rows of a source to its typed view: validated when a schema is declared.
-
-    ``stage`` writes the classified rows once. A bounded read of a topic needs it: every
-    job over it would look up the latest offsets anew and see a different end.
-    """
+def classified(raw: DataFrame, source: Source) -> tuple[DataFrame, Declared | None]:
+    """(rows with ``row``, ``error_type``, ``error_message`` and, if a schema is declared, ``raw``; schema)."""
     mark = source.watermark
     when = (
         event_time.EventTime(mark.timestamp_column, mark.timestamp_format)
         if mark.is_mode("EXISTING") and mark.timestamp_column
         else None
     )
-    if "value" not in raw.columns or (source.files and source.files.format not in ("text", "json")):
-        return Intake(source, _timed(raw, source))
-    if source.schema is None or not source.schema.has_definition:
+    messages = "value" in raw.columns and (source.files is None or source.files.format in ("text", "json"))
+    if messages and source.schema is not None and source.schema.has_definition:
+        schema = declared(source.schema.definition, source.format)
+        verdicts = ingest.classify(raw, schema, event_time=when)
+        # Only rejects are asked for their message again.
+        message = F.when(F.col("error_type").isNotNull(), F.col("raw")).alias("raw")
+        return verdicts.select(message, "row", "error_type", "error_message"), schema
+    table = raw
+    if messages:
         table = ingest.raw_table(raw)
         if when is not None:
-            column = event_time.to_timestamp(F.col(when.column), "string", when.pattern)
-            table = table.withColumn(when.column, column)
-        return Intake(source, _timed(materialize(table, "intake") if stage else table, source))
-    schema = declared(source.schema.definition, source.format)
-    verdicts = ingest.classify(raw, schema, event_time=when)
+            if when.column not in table.columns:
+                raise SpecError(f"source {source.table_name} has no column {when.column!r} for its event time")
+            table = table.withColumn(when.column, event_time.to_timestamp(F.col(when.column), "string", when.pattern))
+    sound = [F.lit(None).cast("string").alias(c) for c in ("error_type", "error_message")]
+    return table.select(F.struct("*").alias("row"), *sound), None
+
+
+def intake(raw: DataFrame, source: Source, stage: bool = False) -> Intake:
+    """Raw rows of a source to its typed view: validated when a schema is declared.
+
+    ``stage`` writes the classified rows once, for everybody who asks for them.
+    """
+    verdicts, schema = classified(raw, source)
     if stage:
-        # Only rejects are asked for their message again.
-        message = F.when(F.col("error_type").isNotNull(), F.col("raw")).alias("raw")
-        verdicts = materialize(verdicts.select(message, "row", "error_type", "error_message"), "intake")
+        verdicts = materialize(verdicts, "intake")
     return Intake(source, _timed(ingest.accepted(verdicts), source), verdicts, schema)
 
 
+def _tracked(job: Job) -> bool:
+    """Whether anybody asks for counts."""
+    return any(part is not None and part.enabled for part in (job.audit, job.reconciliation))
+
+
+def _staged(job: Job) -> bool:
+    return _tracked(job) or job.dlq.enabled
+
+
 def plan(spark: SparkSession, job: Job, streaming: bool) -> tuple[list[Intake], DataFrame]:
-    """Every source as a view, and the lazy result of the job's query."""
+    """Every source as a view, and the lazy result of the job's query.
+
+    A bounded read of a topic is staged in any case: every job over it would look up the
+    latest offsets anew and see a different end.
+    """
     intakes = []
     for source in job.sources:
         raw = connectors.read(spark, source, streaming, job.engine.parallelism)
-        intakes.append(intake(raw, source, stage=not streaming and source.kafka is not None))
+        stage = not streaming and (source.kafka is not None or _staged(job))
+        intakes.append(intake(raw, source, stage))
         transform.register(source, intakes[-1].view)
     return intakes, transform.run_sql(spark, job.transformation)
 
@@ -113,9 +141,10 @@ def check_checkpoint(address: str | None) -> None:
         raise SpecError(f"checkpoint {address!r} names a host: a local folder starts with file:///")
 
 
-def _dlq_target(job: Job, source: Source) -> Target | None:
+def _dlq_target(job: Job, taken: Intake) -> Target | None:
     """Where a source's rejects go: a folder, or the topic named, or ``<topic>-dlq``."""
-    if not job.dlq.enabled:
+    source = taken.source
+    if not job.dlq.enabled or taken.schema is None:
         return None
     if job.dlq.path:
         return Target(type="FILE", path=f"{job.dlq.path}/{source.table_name}", file_format="text")
@@ -137,41 +166,52 @@ def _envelopes(taken: Intake, job: Job) -> DataFrame:
 
 @dataclass
 class Trail:
-    """The audit events of one run: kept, and passed on to the configured sink."""
+    """The audit trail of one run: lifecycle events, and counts of what its stages hold.
+
+    ``counted`` gives the count events as a table, taken anew from the stages. The driver keeps
+    lifecycle events only, a handful per run.
+    """
 
     spark: SparkSession
     job: Job
     run_id: str
-    started_ms: int = field(default_factory=lambda: time.time_ns() // 1_000_000)
+    counted: Callable[[], DataFrame | None] = lambda: None
     events: list[dict] = field(default_factory=list)
+    _told: object = None
+    _reported: object = None
 
-    def add(self, event_type: str, stage: str = audit.LIFECYCLE_STAGE, count: int = 0, **metadata) -> None:
-        self.add_all([(event_type, stage, count, metadata)])
-
-    def add_all(self, entries: list[tuple[str, str, int, dict]]) -> None:
-        tags = self.job.audit.tags if self.job.audit else {}
-        fresh = [
-            audit.event(
-                self.run_id,
-                self.job.job_name,
-                event_type,
-                stage,
-                count,
-                metadata={k: str(v) for k, v in {**tags, **metadata}.items()},
-            )
-            for event_type, stage, count, metadata in entries
-        ]
-        self.events += fresh
-        if fresh and self.job.audit is not None and self.job.audit.enabled:
-            sinks.emit(audit.events_frame(self.spark, fresh), self.job.audit)
+    @property
+    def tags(self) -> dict[str, str]:
+        return self.job.audit.tags if self.job.audit else {}
+
+    def _emit(self, rows: DataFrame) -> None:
+        if self.job.audit is not None and self.job.audit.enabled:
+            sinks.emit(rows, self.job.audit)
+
+    def add(self, event_type: str, stage: str = audit.LIFECYCLE_STAGE, **metadata) -> None:
+        note = {k: str(v) for k, v in {**self.tags, **metadata}.items()}
+        self.events.append(audit.event(self.run_id, self.job.job_name, event_type, stage, 0, metadata=note))
+        self._emit(audit.events_frame(self.spark, self.events[-1:]))
+
+    def tell(self) -> None:
+        """Passes on the counts of batches that are new, or were not delivered when last told."""
+        counts = self.counted()
+        if counts is None or self.job.audit is None or not self.job.audit.enabled:
+            return
+        counts = materialize(counts, "counts")
+        since = self._told
+        if since is not None:
+            counts = counts.where(F.col("ts") >= F.lit(since))
+        newest = counts.agg(F.max("ts")).first()[0]
+        if newest is not None:
+            self._emit(counts)
+            self._told = newest
 
     def frame(self) -> DataFrame:
-        """This run's events: from the audit table if there is one, which spans restarts."""
-        config = self.job.audit
-        if config is not None and config.enabled and sinks.sink_type(config) == "FILE":
-            table = self.spark.read.schema(audit.EVENT_SCHEMA).parquet(config.destination)
-            return table.where(F.col("run_id") == self.run_id)
-        return audit.events_frame(self.spark, self.events)
+        """All events of the run, of earlier processes' batches too; lifecycle of this process."""
+        own = audit.events_frame(self.spark, self.events)
+        counts = self.counted()
+        return own if counts is None else own.unionByName(counts)
 
     def report(self) -> DataFrame:
         config = self.job.reconciliation
@@ -187,21 +227,92 @@ class Trail:
             config.tolerance_percent if config else 0.0,
         )
 
-    def windows(self) -> DataFrame:
+    def windows(self) -> DataFrame | None:
         """One report per window of the configured length, from the times of the counts."""
+        config, counts = self.job.reconciliation, self.counted()
+        if counts is None:
+            return None
+        return reconcile.by_window(audit.once_per_batch(counts), config.window, config.tolerance_percent)
+
+    def report_windows(self, closed_at: float | None = None) -> None:
+        """Passes on the reports of windows not yet reported; up to a moment, of closed ones only."""
         config = self.job.reconciliation
-        return reconcile.by_window(audit.once_per_batch(self.frame()), config.window, config.tolerance_percent)
+        if config is None or not config.enabled or (found := self.windows()) is None:
+            return
+        if closed_at is not None:
+            found = found.where(F.col("window_end") <= F.timestamp_seconds(F.lit(closed_at)))
+        if self._reported is not None:
+            found = found.where(F.col("window_end") > F.lit(self._reported))
+        found = materialize(found.select(*reconcile.REPORT_COLUMNS), "window-reports")
+        newest = found.agg(F.max("window_end")).first()[0]
+        if newest is not None:
+            sinks.emit(found, config)
+            self._reported = newest
 
     def reconcile(self) -> DataFrame | None:
         config = self.job.reconciliation
         if config is None or not config.enabled:
             return None
-        report = self.report()
+        report = materialize(self.report(), "report")
         sinks.emit(report.select(*reconcile.REPORT_COLUMNS), config)
         self.add(audit.RECONCILIATION_COMPLETE)
         return report
 
 
+def _reason(error: Exception) -> str:
+    return str(error).splitlines()[0] if str(error) else type(error).__name__
+
+
+# -- counts -------------------------------------------------------------------------
+
+
+def _per_batch(rows: DataFrame, counts: dict[str, object]) -> DataFrame:
+    return rows.groupBy(F.col(AT).alias("ts")).agg(*[c.alias(n) for n, c in counts.items()])
+
+
+def _as_events(trail: Trail, counted: DataFrame, kinds: list[tuple[str, str, str]], source: str | None = None) -> DataFrame:
+    """Count events from rows (ts, counts): ``kinds`` are (event type, stage, count column)."""
+    note = {**trail.tags, **({"source": source} if source else {})}
+    members = [F.col("ts").cast("string").alias("batch_id"), *[F.lit(v).alias(k) for k, v in note.items()]]
+    each = F.array(
+        *[F.struct(F.lit(k).alias("event_type"), F.lit(s).alias("stage"), F.col(c).alias("count")) for k, s, c in kinds]
+    )
+    wide = counted.select(
+        F.lit(trail.run_id).alias("run_id"), F.lit(trail.job.job_name).alias("job_name"), "ts",
+        F.to_json(F.struct(*members)).alias("metadata"), each.alias("_each"),
+    )
+    columns = [c.split()[0] for c in audit.EVENT_SCHEMA.split(", ")]
+    return wide.select("*", F.inline("_each")).select(*columns)
+
+
+def _counts(trail: Trail, intakes: list[tuple[Source, DataFrame]], result: DataFrame, written: int) -> DataFrame:
+    """Count events of everything staged so far, and of the ``written`` rows that the target holds.
+
+    Results reach the target in the order of their batches, so the rows there are those of
+    the oldest batches; what is missing is missing at the end, and what is too many is there too.
+    """
+    target = audit.target_stage(trail.job.target.topic)
+    events = []
+    for source, verdicts in intakes:
+        counts = {"read": F.count(F.lit(1)), "rejected": F.count_if(F.col("error_type").isNotNull())}
+        stage = audit.source_stage(source.topic)
+        kinds = [(audit.SOURCE_READ, stage, "read"), (audit.SOURCE_REJECTED, stage, "rejected")]
+        events.append(_as_events(trail, _per_batch(verdicts, counts), kinds, source.table_name))
+    batches = _per_batch(result, {"transformed": F.count(F.lit(1))})
+    # One row per batch.
+    along = Window.orderBy("ts").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = F.lead("ts").over(Window.orderBy("ts")).isNull()
+    placed = batches.select("ts", "transformed", F.sum("transformed").over(along).alias("upto"), last.alias("last"))
+    left = F.lit(written) - (F.col("upto") - F.col("transformed"))
+    held = F.greatest(F.lit(0), F.when(F.col("last"), left).otherwise(F.least(left, F.col("transformed"))))
+    kinds = [(audit.TRANSFORM_OUTPUT, audit.TRANSFORM_STAGE, "transformed"), (audit.TARGET_WRITTEN, target, "written")]
+    events.append(_as_events(trail, placed.withColumn("written", held.cast("bigint")), kinds))
+    out = events[0]
+    for more in events[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 # -- bounded ------------------------------------------------------------------------
 
 
@@ -215,8 +326,8 @@ class BatchRun:
     differing: DataFrame | None = None
 
 
-def _differing(job: Job, result: DataFrame) -> DataFrame | None:
-    """Result against what the target now holds, on the business keys of the job.
+def _differing(job: Job, delivered: DataFrame) -> DataFrame | None:
+    """The rows delivered against what the target now holds, on the business keys of the job.
 
     Only columnar files give back the rows as they were; rows of earlier runs in an
     appended target show as unexpected.
@@ -226,76 +337,57 @@ def _differing(job: Job, result: DataFrame) -> DataFrame | None:
         return None
     if target.file_format not in ("parquet", "orc"):
         return None
-    stored = result.sparkSession.read.schema(result.schema).format(target.file_format).load(target.path)
-    return reconcile.records(result, stored, list(config.business_key_fields))
-
-
-def _count_intake(taken: Intake, job: Job) -> tuple[int, int]:
-    """(read, rejected) of a source. Rejects are written in the same single-stage job."""
-    target = _dlq_target(job, taken.source) if taken.verdicts is not None else None
-    if target is None or target.type.upper() != "FILE":
-        row = taken.counted_rows().agg(*taken.metrics()).first()
-        if target is not None:
-            connectors.write_outgoing(_envelopes(taken, job), target)
-        return row["read"], row["rejected"]
-    seen = Observation(f"intake.{taken.source.table_name}")
-    observed = Intake(taken.source, taken.view, taken.verdicts.observe(seen, *ingest.intake_metrics()))
-    connectors.write_outgoing(_envelopes(observed, job), target)
-    return seen.get["read"], seen.get["rejected"]
-
+    stored = delivered.sparkSession.read.schema(delivered.schema).format(target.file_format).load(target.path)
+    return reconcile.records(delivered, stored, list(config.business_key_fields))
 
-def _reason(error: Exception) -> str:
-    return str(error).splitlines()[0] if str(error) else type(error).__name__
 
+def deliver(result: DataFrame, target: Target, write: Write = connectors.write_outgoing) -> int:
+    """Writes the rows; how many more the target holds then.
 
-def _deliver(trail: Trail, result: DataFrame) -> tuple[int, int]:
-    """``deliver``, with a failure put on record before it ends the run."""
-    target = trail.job.target
-    try:
-        return deliver(result, target)
-    except Exception as error:
-        trail.add(audit.TARGET_FAILED, audit.target_stage(target.topic), error=_reason(error))
-        raise
+    A topic does not tell whose rows it holds: there, those that the producer has taken count.
+    """
+    rows = connectors.outgoing(result, target)
+    if target.type.upper() == "KAFKA":
+        sent = Observation("sent")
+        write(rows.observe(sent, F.count(F.lit(1)).alias("rows")), target)
+        return sent.get["rows"]
+    before = 0 if target.mode == "overwrite" else connectors.held(result.sparkSession, target)
+    write(rows, target)
+    return connectors.held(result.sparkSession, target) - before
 
 
-def deliver(result: DataFrame, target: Target) -> tuple[int, int]:
-    """Writes the result once; (rows the query gave, rows written).
+def run_batch(spark: SparkSession, job: Job, write: Write = connectors.write_outgoing) -> BatchRun:
+    """Reads what the sources hold now, runs the query, writes the result, reconciles.
 
-    Files and catalog tables are committed as a whole, and the rows are counted on their
-    way. A topic or a database takes rows one by one, so the result is staged first: it
-    is computed once however often a delivery task is repeated, and its size is known.
+    ``write`` puts rows into the target; whatever it does, the target is asked what it holds.
     """
-    if target.type.upper() in ("KAFKA", "JDBC"):
-        staged = materialize(connectors.outgoing(result, target), "delivery")
-        connectors.write_outgoing(staged, target)
-        rows = staged.count()
-        return rows, rows
-    emitted, written = Observation("transform"), Observation("target")
-    rows = F.count(F.lit(1)).alias("rows")
-    outgoing = connectors.outgoing(result.observe(emitted, rows), target).observe(written, rows)
-    connectors.write_outgoing(outgoing, target)
-    return emitted.get["rows"], written.get["rows"]
-
-
-def run_batch(spark: SparkSession, job: Job) -> BatchRun:
-    """Reads what the sources hold now, runs the query, writes the result, reconciles."""
     prepare(spark)
     trail = Trail(spark, job, audit.new_run_id(job.job_name))
     trail.add(audit.JOB_SUBMITTED)
+    result = None
     try:
         intakes, result = plan(spark, job, streaming=False)
         trail.add(audit.JOB_RUNNING)
-        counts = []
         for taken in intakes:
-            read, rejected = _count_intake(taken, job)
-            stage = audit.source_stage(taken.source.topic)
-            counts += [(audit.SOURCE_READ, stage, read, {}), (audit.SOURCE_REJECTED, stage, rejected, {})]
-        emitted, written = _deliver(trail, result)
-        counts += [
-            (audit.TRANSFORM_OUTPUT, audit.TRANSFORM_STAGE, emitted, {}),
-            (audit.TARGET_WRITTEN, audit.target_stage(job.target.topic), written, {}),
-        ]
-        trail.add_all([*counts, (audit.JOB_COMPLETED, audit.LIFECYCLE_STAGE, 0, {})])
+            if (letters := _dlq_target(job, taken)) is not None:
+                connectors.write_outgoing(_envelopes(taken, job), letters)
+        if _tracked(job):
+            result = materialize(result, "result")
+        try:
+            if _tracked(job):
+                written = deliver(result, job.target, write)
+            else:
+                write(connectors.outgoing(result, job.target), job.target)
+        except Exception as error:
+            trail.add(audit.TARGET_FAILED, audit.target_stage(job.target.topic), error=_reason(error))
+            raise
+        if _tracked(job):
+            moment = F.current_timestamp().alias(AT)
+            staged = [(t.source, t.verdicts.select("error_type", moment)) for t in intakes]
+            counts = materialize(_counts(trail, staged, result.select(moment), written), "counts")
+            trail.counted = lambda: counts
+            trail.tell()
+        trail.add(audit.JOB_COMPLETED)
     except Exception as error:
         trail.add(audit.JOB_FAILED, error=_reason(error))
         raise
@@ -307,63 +399,83 @@ def run_batch(spark: SparkSession, job: Job) -> BatchRun:
 
 @dataclass
 class StreamRun:
-    """The queries of a streaming job: the main one, and one intake per source."""
+    """The queries of a streaming job, in the order in which rows pass them.
+
+    A staged job has one intake per source, one query for a source's dead letters, the main query
+    and, if counts are wanted, the delivery. ``_later`` starts what has to wait: a run over what is
+    available starts a query when the one before it has ended.
+    """
 
     trail: Trail
     main: StreamingQuery
     intakes: dict[str, StreamingQuery]
-    _progress: dict[str, Progress] = field(default_factory=dict)
+    letters: dict[str, StreamingQuery] = field(default_factory=dict)
+    delivery: StreamingQuery | None = None
+    _later: Callable[[], StreamingQuery] | None = None
+    _counted_at: float = 0.0
 
     @property
     def run_id(self) -> str:
         return self.trail.run_id
 
     def queries(self) -> list[StreamingQuery]:
-        return [self.main, *self.intakes.values()]
+        last = [] if self.delivery is None else [self.delivery]
+        return [*self.intakes.values(), *self.letters.values(), self.main, *last]
 
     def poll(self) -> None:
-        """Turns progress not yet seen into audit events."""
-        entries = []
-        topics = {s.table_name: s.topic for s in self.trail.job.sources}
-        for name, query in {"": self.main, **self.intakes}.items():
-            for batch_id, metrics in self._progress.setdefault(name, Progress(query)).new():
-                note = {"batch_id": batch_id}
-                if "intake" in metrics:
-                    stage = audit.source_stage(topics[name])
-                    entries.append((audit.SOURCE_READ, stage, metrics["intake"]["read"], note))
-                    entries.append((audit.SOURCE_REJECTED, stage, metrics["intake"]["rejected"], note))
-                if "transform" in metrics:
-                    entries.append((audit.TRANSFORM_OUTPUT, audit.TRANSFORM_STAGE, metrics["transform"]["rows"], note))
-                if "target" in metrics:
-                    stage = audit.target_stage(self.trail.job.target.topic)
-                    entries.append((audit.TARGET_WRITTEN, stage, metrics["target"]["rows"], note))
-        self.trail.add_all(entries)
+        """Passes on new counts, and the reports of windows that have closed."""
+        self._counted_at = time.time()
+        self.trail.tell()
+        self.trail.report_windows(closed_at=self._counted_at)
+
+    def _wait(self, queries: list[StreamingQuery], deadline: float | None) -> bool:
+        """False when the time is up. Raises the error of any query at once."""
+        while active := [q for q in queries if q.isActive]:
+            for query in self.queries():
+                if query.exception() is not None:
+                    query.awaitTermination()
+            if deadline is not None and time.monotonic() > deadline:
+                return False
+            if time.time() - self._counted_at > ROUND_SECONDS:
+                self.poll()
+            active[0].awaitTermination(1)
+        for query in queries:
+            query.awaitTermination()
+        return True
 
     def await_end(self, timeout: float | None = None) -> DataFrame | None:
-        """Waits for all queries, counting as they go; then reconciles. Raises their errors."""
+        """Waits for all queries, counting as they go; then reconciles. Raises their errors.
+
+        Counts are those of what was committed, so a failure loses none of them.
+        """
         deadline = None if timeout is None else time.monotonic() + timeout
+        self._counted_at = self._counted_at or time.time()
         try:
-            while active := [q for q in self.queries() if q.isActive]:
-                self.poll()
-                if deadline is not None and time.monotonic() > deadline:
+            if not self._wait(self.queries(), deadline):
+                return None
+            if self._later is not None:
+                self.delivery, self._later = self._later(), None
+                if not self._wait(self.queries(), deadline):
                     return None
-                active[0].awaitTermination(1)
-            for query in self.queries():
-                query.awaitTermination()
         except Exception as error:
+            self._stop()
+            self.trail.tell()
             self.trail.add(audit.JOB_FAILED, error=_reason(error))
-            for query in self.queries():
-                query.stop()
             raise
-        self.poll()
-        self.trail.add(audit.JOB_COMPLETED)
-        return self.trail.reconcile()
+        return self._end(audit.JOB_COMPLETED)
 
     def cancel(self) -> DataFrame | None:
+        self._stop()
+        return self._end(audit.JOB_CANCELLED)
+
+    def _stop(self) -> None:
         for query in self.queries():
             query.stop()
-        self.poll()
-        self.trail.add(audit.JOB_CANCELLED)
+
+    def _end(self, event_type: str) -> DataFrame | None:
+        self.trail.tell()
+        self.trail.add(event_type)
+        self.trail.report_windows()
         return self.trail.reconcile()
 
 
@@ -375,55 +487,134 @@ def _lasting_run_id(spark: SparkSession, checkpoint: str, job_name: str) -> str:
     return spark.read.text(path).first()[0]
 
 
+def _make_folder(spark: SparkSession, path: str) -> None:
+    """A folder that a stream can read before anything is in it."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(folder)
+
+
+class _Flow:
+    """Starts the queries of one streaming job; rows pass from one to the next in folders that Spark's
+    file sink commits batch by batch, so every row passes once, whatever is restarted."""
+
+    def __init__(self, spark: SparkSession, job: Job, checkpoint: str, available_now: bool):
+        self.spark, self.job, self.checkpoint = spark, job, checkpoint
+        interval = {"processingTime": f"{job.engine.checkpoint_interval} milliseconds"}
+        self.trigger = {"availableNow": True} if available_now else interval
+        self.started: list[StreamingQuery] = []
+
+    def start(self, writer, name: str) -> StreamingQuery:
+        query = (
+            writer.outputMode("append")
+            .option("checkpointLocation", f"{self.checkpoint}/{name}")
+            .trigger(**self.trigger)
+            .start()
+        )
+        self.started.append(query)
+        return query
+
+    def folder(self, name: str) -> str:
+        return f"{self.checkpoint}/staged/{name}"
+
+    def stage(self, rows: DataFrame, name: str) -> StreamingQuery:
+        _make_folder(self.spark, self.folder(name))
+        stamped = rows.withColumn(AT, F.current_timestamp())
+        return self.start(stamped.writeStream.format("parquet").option("path", self.folder(name)), name)
+
+    def following(self, rows: DataFrame, name: str) -> DataFrame:
+        """What ``stage`` commits of ``rows``, as a stream."""
+        return self.spark.readStream.schema(rows.schema).parquet(self.folder(name))
+
+    def committed(self, rows: DataFrame, name: str) -> DataFrame:
+        """What ``stage`` has committed of ``rows`` so far."""
+        schema = T.StructType([*rows.schema.fields, T.StructField(AT, T.TimestampType())])
+        return self.spark.read.schema(schema).parquet(self.folder(name))
+
+
 def run_stream(spark: SparkSession, job: Job, available_now: bool = False) -> StreamRun:
-    """Starts the job's streams. ``available_now`` works off what is there and ends."""
+    """Starts the job's streams. ``available_now`` works off what is there and ends; it returns
+    when the sources are staged and the main query has started."""
     prepare(spark)
     check_checkpoint(job.engine.checkpoint_dir)
-    spark.conf.set(RECENT, "1000")
+    if not job.engine.checkpoint_dir and not available_now:
+        raise SpecError("a stream needs engine.checkpointDir: without it a restart would begin anew")
     checkpoint = job.engine.checkpoint_dir or fresh_path(spark, "stream")
     trail = Trail(spark, job, _lasting_run_id(spark, checkpoint, job.job_name))
     trail.add(audit.JOB_SUBMITTED)
-    trigger = {"availableNow": True} if available_now else {"processingTime": f"{job.engine.checkpoint_interval} milliseconds"}
-    started: list[StreamingQuery] = []
+    flow = _Flow(spark, job, checkpoint, available_now)
     try:
-        intakes, result = plan(spark, job, streaming=True)
-        auditing = job.audit is not None and job.audit.enabled
-        reconciling = job.reconciliation is not None and job.reconciliation.enabled
-        sides = {}
-        for taken in intakes:
-            target = _dlq_target(job, taken.source) if taken.verdicts is not None else None
-            if target is None and not (auditing or reconciling):
-                continue
-            name = taken.source.table_name
-            seen = taken.counted_rows().observe("intake", *taken.metrics())
-            if target is None:
-                writer = seen.writeStream.format("noop")
-            else:
-                envelopes = _envelopes(Intake(taken.source, taken.view, seen), job)
-                writer = connectors.message_stream(envelopes, target)
-            sides[name] = (
-                writer.outputMode("append")
-                .option("checkpointLocation", f"{checkpoint}/intake-{name}")
-                .trigger(**trigger)
-                .start()
-            )
-            started.append(sides[name])
-        main = (
-            connectors.stream_writer(counted(result, "transform"), job.target)
-            .outputMode("append")
-            .option("checkpointLocation", f"{checkpoint}/main")
-            .trigger(**trigger)
-            .start()
-        )
+        run = _start_staged(flow, trail) if _staged(job) else _start_direct(flow, trail)
         trail.add(audit.JOB_RUNNING)
-        return StreamRun(trail, main, sides)
+        return run
     except Exception as error:
-        for query in started:
+        for query in flow.started:
             query.stop()
         trail.add(audit.JOB_FAILED, error=_reason(error))
         raise
 
 
+def _start_direct(flow: _Flow, trail: Trail) -> StreamRun:
+    _, result = plan(flow.spark, flow.job, streaming=True)
+    return StreamRun(trail, flow.start(connectors.stream_writer(result, flow.job.target), "main"), {})
+
+
+def _start_staged(flow: _Flow, trail: Trail) -> StreamRun:
+    spark, job = flow.spark, flow.job
+    intakes, letters, staged = {}, {}, []
+    for source in job.sources:
+        raw = connectors.read(spark, source, streaming=True, parallelism=job.engine.parallelism)
+        rows, schema = classified(raw, source)
+        name = f"intake-{source.table_name}"
+        intakes[source.table_name] = flow.stage(rows, name)
+        taken = Intake(source, _timed(ingest.accepted(flow.following(rows, name)), source), flow.following(rows, name), schema)
+        transform.register(source, taken.view)
+        staged.append((source, rows, name, taken))
+    if flow.trigger.get("availableNow"):
+        for query in intakes.values():
+            query.awaitTermination()
+    for source, _, _, taken in staged:
+        if (target := _dlq_target(job, taken)) is not None:
+            name = f"letters-{source.table_name}"
+            letters[source.table_name] = flow.start(connectors.message_stream(_envelopes(taken, job), target), name)
+    result = transform.run_sql(spark, job.transformation)
+    if not _tracked(job):
+        return StreamRun(trail, flow.start(connectors.stream_writer(result, job.target), "main"), intakes, letters)
+
+    main = flow.stage(result, "main")
+    trail.counted = lambda: _counts(
+        trail,
+        [(source, flow.committed(rows, name)) for source, rows, name, _ in staged],
+        flow.committed(result, "main"),
+        _written(flow, trail, result),
+    )
+
+    def deliver_stream() -> StreamingQuery:
+        rows = flow.following(result, "main")
+        return flow.start(connectors.stream_writer(rows, job.target, trail.run_id), "delivery")
+
+    if flow.trigger.get("availableNow"):
+        return StreamRun(trail, main, intakes, letters, _later=deliver_stream)
+    return StreamRun(trail, main, intakes, letters, delivery=deliver_stream())
+
+
+def _written(flow: _Flow, trail: Trail, result: DataFrame) -> int:
+    """Rows of this run that the target holds.
+
+    A topic cannot tell: there, the rows of the batches that the delivery has committed count,
+    as its checkpoint has them.
+    """
+    target = flow.job.target
+    if target.type.upper() != "KAFKA":
+        return connectors.held(flow.spark, target, trail.run_id)
+    path = f"{flow.checkpoint}/delivery/commits"
+    if not connectors.folder_exists(flow.spark, path):
+        return 0
+    # A commit's file is written after its batch has been taken by the topic.
+    done = flow.spark.read.text(path).select(F.max(F.col("_metadata.file_modification_time"))).first()[0]
+    rows = flow.committed(result, "main")
+    return 0 if done is None else rows.where(F.col("_metadata.file_modification_time") < F.lit(done)).count()
+
+
 __all__ = [
     "BatchRun",
     "Intake",

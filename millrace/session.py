@@ -7,6 +7,7 @@ fall back to a folder of its own.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -35,7 +36,11 @@ SETTINGS = {
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Applies the SQL settings the library relies on; sizing stays with the cluster."""
+    """Applies the SQL settings the library relies on; sizing stays with the cluster.
+
+    They stay for the session, whose own time zone, codecs and state store they replace: a
+    caller who needs others there gives the library a session of its own (``spark.newSession()``).
+    """
     for name, value in SETTINGS.items():
         spark.conf.set(name, value)
     return spark
@@ -45,7 +50,7 @@ def shared_dir(spark: SparkSession) -> str:
     base = spark.conf.get(CHECKPOINT_DIR, None)
     if base:
         return base.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError(f"set {CHECKPOINT_DIR} to a folder all executors can reach")
     base = tempfile.mkdtemp(prefix="millrace-")
     spark.conf.set(CHECKPOINT_DIR, base)

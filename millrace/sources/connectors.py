@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+import re
 
 from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
@@ -14,13 +15,14 @@ from .schema import avro_schema
 
 log = logging.getLogger(__name__)
 
-# Login modules of the two SASL mechanisms, and the form of a login entry.
+# SASL protocols, and the login module of each mechanism.
+SASL_TYPES = ("SASL_SSL", "SASL_PLAINTEXT")
+_SCRAM = "org.apache.kafka.common.security.scram.ScramLoginModule"
 LOGIN_MODULES = {
     "PLAIN": "org.apache.kafka.common.security.plain.PlainLoginModule",
-    "SCRAM-SHA-256": "org.apache.kafka.common.security.scram.ScramLoginModule",
+    "SCRAM-SHA-256": _SCRAM,
+    "SCRAM-SHA-512": _SCRAM,
 }
-LOGIN_ENTRY = '{module} required username="{user}" password="{password}";'
-SASL_TYPES = ("SASL_SSL", "SASL_PLAINTEXT")
 
 # Start positions by either of their two spellings.
 START_POSITIONS = {
@@ -43,28 +45,37 @@ AUDIT_PRODUCER = {
 }
 
 
+def _login(auth: Auth) -> str:
+    """The entry a client logs in with: the one given, or one of the mechanism's module."""
+    if given := from_environment(auth.jaas_config):
+        return given
+    module = LOGIN_MODULES.get((auth.mechanism or "PLAIN").upper())
+    if module is None:
+        raise SpecError(f"mechanism {auth.mechanism!r} is none of {', '.join(LOGIN_MODULES)}: give jaasConfig")
+    words = [module, "required"]
+    for name in ("username", "password"):
+        value = from_environment(getattr(auth, name))
+        if value is None:
+            raise SpecError(f"SASL needs a {name}, or jaasConfig")
+        escaped = value.replace("\\", "\\\\").replace('"', '\\"')
+        words.append(f'{name}="{escaped}"')
+    return " ".join(words) + ";"
+
+
 def security_options(auth: Auth | None) -> dict[str, str]:
-    if auth is None or (auth.type or "").upper() not in SASL_TYPES:
+    """Client settings of a SASL connection; without a truststore the JVM's own applies."""
+    protocol = (auth.type or "").upper() if auth else ""
+    if protocol not in SASL_TYPES:
         return {}
-    mechanism = auth.mechanism or "PLAIN"
-    jaas = from_environment(auth.jaas_config)
-    if not jaas:
-        module = LOGIN_MODULES.get(mechanism.upper(), LOGIN_MODULES["PLAIN"])
-        user, password = from_environment(auth.username), from_environment(auth.password)
-        jaas = LOGIN_ENTRY.format(module=module, user=user, password=password)
-    options = {
-        "kafka.security.protocol": auth.type,
-        "kafka.sasl.mechanism": mechanism,
-        "kafka.sasl.jaas.config": jaas,
+    settings = {
+        "security.protocol": protocol,
+        "sasl.mechanism": (auth.mechanism or "PLAIN").upper(),
+        "sasl.jaas.config": _login(auth),
     }
-    if auth.type.upper() == "SASL_SSL":
-        if auth.truststore_location:
-            options["kafka.ssl.truststore.location"] = auth.truststore_location
-            if auth.truststore_password is not None:
-                options["kafka.ssl.truststore.password"] = from_environment(auth.truststore_password)
-        else:
-            log.warning("SASL_SSL without a truststore: the JVM default store applies")
-    return options
+    if protocol == "SASL_SSL" and auth.truststore_location:
+        settings["ssl.truststore.location"] = auth.truststore_location
+        settings["ssl.truststore.password"] = from_environment(auth.truststore_password)
+    return {f"kafka.{name}": value for name, value in settings.items() if value is not None}
 
 
 def common_options(kafka: Kafka) -> dict[str, str]:
@@ -220,18 +231,83 @@ def write(df: DataFrame, target: Target) -> None:
     write_outgoing(outgoing(df, target), target)
 
 
-def message_stream(rows: DataFrame, target: Target) -> DataStreamWriter:
-    """A stream writer for rows that already have the form the target stores."""
+def folder_exists(spark: SparkSession, path: str) -> bool:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+
+
+def held(spark: SparkSession, target: Target, run_id: str | None = None) -> int:
+    """Rows that the target holds now, asked of the target itself; with ``run_id`` and a table
+    that notes it, those of the run."""
+    kind = target.type.upper()
+    if kind == "FILE":
+        if not folder_exists(spark, target.path):
+            return 0
+        if target.file_format in ("text", "json"):
+            return spark.read.text(target.path).count()
+        if target.file_format == "csv":
+            return spark.read.schema("first string").csv(target.path, multiLine=True).count()
+        # The number of rows is in the footers: no column is read.
+        return spark.read.format(target.file_format).load(target.path).count()
+    if kind == "JDBC":
+        rows = spark.read.format("jdbc").options(**jdbc_options(target)).load()
+        return (rows.where(F.col("run_id") == run_id) if run_id and target.batch_columns else rows).count()
+    if kind == "ICEBERG":
+        return spark.table(target.table).count()
+    raise SpecError(f"a {kind} target does not tell what it holds")
+
+
+def batch_columns(rows: DataFrame, run_id: str, batch_id: int) -> DataFrame:
+    return rows.withColumns({"run_id": F.lit(run_id), "batch_id": F.lit(batch_id).cast("bigint")})
+
+
+def forget_batch(target: Target) -> str:
+    """The statement that takes a batch out of a table before it is written again."""
+    if not re.fullmatch(r"[\w.\"`\[\]]+", target.table or ""):
+        raise SpecError(f"{target.table!r} is no table name")
+    return f"DELETE FROM {target.table} WHERE run_id = ? AND batch_id = ?"
+
+
+def _execute(spark: SparkSession, target: Target, statement: str, *values) -> None:
+    """One statement over the driver's JDBC connection."""
+    options = jdbc_options(target)
+    properties = spark._jvm.java.util.Properties()
+    for name in ("user", "password"):
+        if name in options:
+            properties.setProperty(name, options[name])
+    connection = spark._jvm.java.sql.DriverManager.getConnection(options["url"], properties)
+    try:
+        prepared = connection.prepareStatement(statement)
+        for place, value in enumerate(values, 1):
+            prepared.setObject(place, value)
+        prepared.executeUpdate()
+    finally:
+        connection.close()
+
+
+def message_stream(rows: DataFrame, target: Target, run_id: str | None = None) -> DataStreamWriter:
+    """A stream writer for rows that already have the form the target stores.
+
+    A table with ``batch_columns`` notes run and batch of every row, and a batch that is
+    repeated replaces itself there. Any other table takes a repeated batch again.
+    """
     kind = target.type.upper()
     if kind == "ICEBERG":
         return rows.writeStream.format("iceberg").option("path", target.table)
     if kind == "JDBC":
-        # At least once: a batch replayed after a failure is appended again.
-        return rows.writeStream.foreachBatch(lambda batch, _: write_outgoing(batch, target))
+        return rows.writeStream.foreachBatch(lambda batch, number: write_batch(batch, target, run_id, number))
     return _where(rows.writeStream, target)
 
 
-def stream_writer(df: DataFrame, target: Target) -> DataStreamWriter:
-    """A stream writer for the result, whose rows are counted directly below the sink."""
-    rows = outgoing(df, target).observe("target", F.count(F.lit(1)).alias("rows"))
-    return message_stream(rows, target)
+def write_batch(rows: DataFrame, target: Target, run_id: str | None, batch_id: int) -> None:
+    """A micro-batch into a table."""
+    if target.batch_columns:
+        if run_id is None:
+            raise SpecError("a table with batch columns is written by a run")
+        _execute(rows.sparkSession, target, forget_batch(target), run_id, batch_id)
+        rows = batch_columns(rows, run_id, batch_id)
+    write_outgoing(rows, target)
+
+
+def stream_writer(df: DataFrame, target: Target, run_id: str | None = None) -> DataStreamWriter:
+    return message_stream(outgoing(df, target), target, run_id)

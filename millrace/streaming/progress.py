@@ -1,52 +1,13 @@
-"""Counts of micro-batches, read from query progress.
-
-A batch's observed metrics arrive with its progress record, so counting costs no action
-of its own. They are exact where the observed node runs in the last stage of the batch:
-a rerun task of an earlier stage would be added twice. Hence sources are counted by
-their intake query, which has one stage, and results directly below the sink.
-"""
+"""What a query's progress tells of late rows."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-RECENT = "spark.sql.streaming.numRecentProgressUpdates"
-
-
-def counted(df: DataFrame, name: str) -> DataFrame:
-    return df.observe(name, F.count(F.lit(1)).alias("rows"))
-
-
-class Progress:
-    """Takes over each progress record of a query once."""
-
-    def __init__(self, query: StreamingQuery):
-        self.query = query
-        self._seen: set[int] = set()
-
-    def new(self) -> list[tuple[int, dict[str, dict[str, int]]]]:
-        """(batch id, observed metrics by name) of batches not reported before."""
-        out = []
-        for record in self.query.recentProgress:
-            record = record if isinstance(record, dict) else _as_dict(record)
-            if record["batchId"] in self._seen or not record["observedMetrics"]:
-                continue
-            self._seen.add(record["batchId"])
-            out.append((record["batchId"], record["observedMetrics"]))
-        return out
-
-
-def _as_dict(record) -> dict:
-    metrics = {
-        name: row if isinstance(row, dict) else row.asDict() for name, row in record.observedMetrics.items()
-    }
-    return {"batchId": record.batchId, "observedMetrics": metrics}
-
 
 def dropped_late(query: StreamingQuery) -> int:
-    """Rows behind the watermark that event-time operators dropped, over the recent batches."""
+    """Rows behind the watermark that event-time operators dropped, over the batches that the session
+    still holds (``spark.sql.streaming.numRecentProgressUpdates``)."""
     return sum(
         state["numRowsDroppedByWatermark"] for record in query.recentProgress for state in record["stateOperators"]
     )

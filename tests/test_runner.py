@@ -191,7 +191,7 @@ def test_a_staged_source_gives_the_same_rows(spark, tmp_path):
     source = Source(table_name="s", files=Files("-"), schema=Schema(SCHEMA))
     direct, staged = runner.intake(raw, source), runner.intake(raw, source, stage=True)
     assert sorted(direct.view.collect()) == sorted(staged.view.collect())
-    assert staged.verdicts.agg(*staged.metrics()).first().asDict() == {"read": 3, "rejected": 1}
+    assert staged.verdicts.agg(*ingest.intake_metrics()).first().asDict() == {"read": 3, "rejected": 1}
     assert ingest.rejected(staged.verdicts).first()["raw"]["value"] == "oops"
     assert "intake-" in staged.view.inputFiles()[0]
 
@@ -377,30 +377,54 @@ def test_interval_join_meets_across_batches_and_forgets(spark, tmp_path):
     assert removed >= 4
 
 
-@pytest.mark.parametrize("kind", ["KAFKA", "JDBC"])
-def test_rows_for_a_topic_or_database_are_staged_and_counted(spark, monkeypatch, kind):
+def test_written_is_what_the_target_holds(spark, tmp_path):
     from millrace.plans.spec import Kafka, Target
     from millrace.sources import connectors
 
-    sent = []
-    monkeypatch.setattr(connectors, "write_outgoing", lambda rows, target: sent.append(rows))
-    target = Target(type=kind, kafka=Kafka("t", "b:9092", format="JSON"))
-    assert runner.deliver(spark.range(5), target) == (5, 5)
-    assert sent[0].columns == (["value"] if kind == "KAFKA" else ["id"])
-    assert "delivery-" in sent[0].inputFiles()[0]
+    target = Target(type="FILE", path=str(tmp_path / "t"))
+    assert runner.deliver(spark.range(5), target) == 5
+    assert runner.deliver(spark.range(8), target, lambda rows, to: connectors.write_outgoing(rows.where("id > 5"), to)) == 2
+    assert runner.deliver(spark.range(3), Target(type="FILE", path=str(tmp_path / "t"), mode="overwrite")) == 3
+    topic = Target(type="KAFKA", kafka=Kafka("t", "b:9092", format="JSON"))
+    taken = lambda rows, to: rows.write.format("noop").mode("overwrite").save()
+    assert runner.deliver(spark.range(5), topic, taken) == 5
+
+
+def test_a_repeated_batch_replaces_itself_in_a_table(spark, monkeypatch):
+    from millrace.plans.spec import SpecError as Bad
+    from millrace.plans.spec import Target
+    from millrace.sources import connectors
+
+    steps = []
+    monkeypatch.setattr(connectors, "write_outgoing", lambda rows, target: steps.append(rows))
+    monkeypatch.setattr(connectors, "_execute", lambda spark, target, *statement: steps.append(statement))
+    noted = Target(type="JDBC", connection="jdbc:x", table="shop.orders", batch_columns=True)
+    connectors.write_batch(spark.range(2), noted, "run-1", 7)
+    assert steps[0] == ("DELETE FROM shop.orders WHERE run_id = ? AND batch_id = ?", "run-1", 7)
+    assert [tuple(r) for r in steps[1].orderBy("id").collect()] == [(0, "run-1", 7), (1, "run-1", 7)]
+    connectors.write_batch(spark.range(2), Target(type="JDBC", connection="jdbc:x", table="t"), None, 8)
+    assert steps[2].columns == ["id"] and len(steps) == 3
+    with pytest.raises(Bad):
+        connectors.forget_batch(Target(type="JDBC", table="t; DROP TABLE t"))
+    with pytest.raises(Bad):
+        connectors.write_batch(spark.range(2), noted, None, 8)
 
 
 def test_dead_letter_targets(job):
     from millrace.plans.spec import Dlq, Kafka, Source
 
-    source = Source(table_name="s", kafka=Kafka("orders-raw", "b:9092"))
+    def taken(source, schema=object()):
+        return runner.Intake(source, None, None, schema)
+
+    source = taken(Source(table_name="s", kafka=Kafka("orders-raw", "b:9092")))
     assert runner._dlq_target(job(dlq={}), source) is None
+    assert runner._dlq_target(job(dlq={"enabled": True}), taken(source.source, None)) is None
     named = runner._dlq_target(job(dlq={"enabled": True}), source)
     assert (named.kafka.topic, named.kafka.bootstrap_servers) == ("orders-raw-dlq", "b:9092")
     own = runner._dlq_target(job(dlq={"enabled": True, "topic": "bad", "bootstrapServers": "c:9092"}), source)
     assert (own.kafka.topic, own.kafka.bootstrap_servers) == ("bad", "c:9092")
     with pytest.raises(SpecError):
-        runner._dlq_target(job(dlq={"enabled": True}), job().sources[0])
+        runner._dlq_target(job(dlq={"enabled": True}), taken(job().sources[0]))
     assert Dlq().enabled is False
 
 
