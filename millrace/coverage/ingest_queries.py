@@ -9,6 +9,7 @@ from ..plans.runner import intake
 from ..plans.spec import Files, Schema, Source, Transformation, Watermark
 from ..plans.transform import register, run_sql
 from ..sources import ingest
+from ..sources.schema import declared
 from ..streaming.event_time import EventTime, to_timestamp
 from . import messages
 from .messages import CLASSED
@@ -74,8 +75,8 @@ def reject_counts_by_reason(spark, folder):
     "dlq_envelope",
     f"""WITH {CLASSED}
         SELECT CASE WHEN error_type <> 'MALFORMED' THEN event_id ELSE -1 END AS event_id,
-               error_type AS "errorType", 'events' AS sourcetopic, 'orders-job' AS "jobName",
-               true AS has_time
+               error_type AS "errorType", error_message AS "errorMessage", 'events' AS sourcetopic, 'orders-job' AS "jobName",
+               true AS has_time, true AS whole
         FROM classed WHERE error_type IS NOT NULL""",
 )
 def dlq_envelope(spark, folder):
@@ -89,8 +90,10 @@ def dlq_envelope(spark, folder):
     return fields.select(
         F.when(number != "", number.cast("bigint")).otherwise(-1).alias("event_id"),
         "errorType",
+        "errorMessage",
         "sourcetopic",
         "jobName",
+        F.col("originalPayload").isNotNull().alias("whole"),
         F.col("timestamp").rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d\.\d{3}Z$").alias("has_time"),
     )
 
@@ -243,15 +246,84 @@ def ser_json(spark, folder):
         "o_orderpriority",
     )
     text = rows.select(serialize.json_value(rows).alias("value"))
-    return text.select(
-        F.get_json_object("value", "$.o_orderkey").cast("bigint").alias("k"),
-        F.get_json_object("value", "$.o_orderstatus").alias("status"),
-        F.get_json_object("value", "$.o_totalprice").cast("double").alias("price"),
-        F.get_json_object("value", "$.o_orderdate").alias("placed"),
-        F.size(F.json_object_keys("value")).alias("members"),
+    members = text.select(F.from_json("value", "map<string,string>").alias("m"))
+    return members.select(
+        F.col("m.o_orderkey").cast("bigint").alias("k"),
+        F.col("m.o_orderstatus").alias("status"),
+        F.col("m.o_totalprice").cast("double").alias("price"),
+        F.col("m.o_orderdate").alias("placed"),
+        F.size("m").alias("members"),
     )
 
 
+@query(
+    "ser_json_nested",
+    """SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || coalesce('.' || nullif(rtrim(strftime(ts, '%f'), '0'), ''), '') AS local,
+              epoch_us(ts) AS instant, event_id % 9 = 0 AS absent
+       FROM events""",
+)
+def ser_json_nested(spark, folder):
+    """Moments inside structs, arrays and maps keep their microseconds; absent structs stay NULL."""
+    at = F.col("ts").cast("timestamp_ntz")
+    rows = table(spark, folder, "events").select(
+        "event_id",
+        F.when(F.col("event_id") % 9 != 0, F.struct(at.alias("at"))).alias("s"),
+        F.array(at).alias("l"),
+        F.create_map(F.lit("k"), F.struct(at.cast("timestamp").alias("at"))).alias("m"),
+    )
+    shape = "event_id bigint, s struct<at:string>, l array<string>, m map<string,struct<at:string>>"
+    read = rows.select(F.from_json(serialize.json_value(rows), shape).alias("r")).select("r.*")
+    return read.select(
+        "event_id",
+        F.get("l", F.lit(0)).alias("local"),
+        F.unix_micros(F.col("m")["k"]["at"].cast("timestamp")).alias("instant"),
+        F.col("s").isNull().alias("absent"),
+    )
+
+
+_KEYWORDS = """{"type": "object", "properties": {"event_id": {"type": "integer", "multipleOf": 3}, "tags": {"type": "array",
+  "contains": {"type": "integer", "minimum": 5}, "minContains": 1, "maxContains": 2},
+  "step": {"type": "number", "multipleOf": 0.05}, "kind": {"type": "string"}},
+  "patternProperties": {"^n_": {"type": "integer"}}, "propertyNames": {"maxLength": 8},
+  "dependentSchemas": {"kind": {"required": ["step"]}}}"""
+
+
+@query(
+    "ingest_json_keywords",
+    """SELECT event_id, CASE
+           WHEN event_id % 3 <> 0 THEN 'multiple' WHEN event_id % 10 < 5 OR event_id % 10 = 9 THEN 'contains'
+           WHEN event_id % 4 = 1 AND event_id % 13 <> 1 THEN 'step' WHEN event_id % 7 = 1 THEN 'pattern' WHEN event_id % 11 = 1 THEN 'name'
+           WHEN event_id % 13 = 1 THEN 'dependent' END AS fault
+       FROM events""",
+)
+def ingest_json_keywords(spark, folder):
+    """Keywords on members, names and array elements; each message breaks at most one rule first."""
+    number = F.col("event_id")
+    digit = (number % 10).cast("string")
+    # The last digit, a five where it is nine, and another five.
+    tags = F.concat(F.lit("["), digit, F.when(number % 10 == 9, F.lit(",5,6")).otherwise(F.lit(",1")), F.lit("]"))
+    step = F.when(number % 4 == 1, F.lit("1.0e-12")).when(number % 4 == 2, F.lit("1e35")).otherwise(F.lit("0.15"))
+    text = F.concat(
+        F.lit('{"event_id":'), number.cast("string"), F.lit(',"tags":'), tags,
+        F.when(number % 13 == 1, F.lit("")).otherwise(F.concat(F.lit(',"step":'), step)),
+        F.when(number % 7 == 1, F.lit(',"n_x":"text"')).otherwise(F.lit(',"n_x":7')),
+        F.when(number % 11 == 1, F.lit(',"far_too_long":1')).otherwise(F.lit("")),
+        F.lit(',"kind":"a"}'),
+    )
+    raw = table(spark, folder, "events").select("event_id", text.alias("value"))
+    verdicts = ingest.classify(raw, declared(_KEYWORDS, "JSON"))
+    message = F.col("error_message")
+    fault = (
+        F.when(message.contains("multiple of 3"), "multiple")
+        .when(message.contains("matching array"), "contains")
+        .when(message.contains("multiple of 0.05"), "step")
+        .when(message.contains("property like"), "pattern")
+        .when(message.contains("property name"), "name")
+        .when(message.contains("step is required") | message.contains("$.step: required"), "dependent")
+    )
+    return verdicts.select(F.col("raw.event_id").alias("event_id"), fault.alias("fault"))
+
+
 @query(
     "ser_string",
     """SELECT '+I[' || n_nationkey || ', ' || n_name || ', '

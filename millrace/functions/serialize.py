@@ -9,54 +9,85 @@ from pyspark.sql import types as T
 from ..sources.schema import Declared, avro_branches, avro_kind
 from .validation import SchemaError
 
-_SECONDS = "yyyy-MM-dd'T'HH:mm:ss"
+def _fraction_to(text: Column, digits: Column) -> Column:
+    """``text`` of a moment with zeros after its fraction, up to ``digits`` of them."""
+    dot = F.instr(text, ".")
+    return F.when(dot == 0, text).otherwise(F.rpad(text, dot + digits, "0"))
+
+
+def _fraction(text: Column) -> Column:
+    """The number of digits in the fraction of a moment's text."""
+    dot = F.instr(text, ".")
+    return F.when(dot == 0, 0).otherwise(F.length(text) - dot)
+
+
+def _in_threes(text: Column) -> Column:
+    return _fraction_to(text, F.when(_fraction(text) <= 3, 3).otherwise(6))
+
+
+def _local(column: Column) -> Column:
+    """``yyyy-MM-ddTHH:mm:ss`` and the fraction without the zeros at its end, as a cast gives it."""
+    return F.replace(column.cast("string"), F.lit(" "), F.lit("T"))
 
 
 def _iso(column: Column, kind: T.DataType) -> Column:
-    """ISO-8601 text of a temporal column, at its full precision."""
+    """ISO-8601 text of a temporal column, at its full precision: local times with as many
+    fraction digits as needed, instants in UTC with none, three or six."""
     if isinstance(kind, T.TimestampNTZType):
-        # Local time: as many fraction digits as needed.
-        text = F.date_format(column, _SECONDS + ".SSSSSS")
-        return F.regexp_replace(text, r"(\.0+|(?<=\.\d{1,5}[1-9]|\.[1-9])0+)$", "")
+        return _local(column)
     if isinstance(kind, T.TimestampType):
-        # An instant: no fraction, milliseconds or microseconds, in UTC.
-        utc = F.to_utc_timestamp(column, F.current_timezone())
-        text = F.date_format(utc, _SECONDS + ".SSSSSS")
-        return F.concat(F.regexp_replace(text, r"(\.000000|(?<=\.\d{3})000)$", ""), F.lit("Z"))
+        return F.concat(_in_threes(_local(F.to_utc_timestamp(column, F.current_timezone()))), F.lit("Z"))
     return column.cast("string")
 
 
-def _temporal(kind: T.DataType) -> bool:
+def _holds_temporal(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return any(_holds_temporal(f.dataType) for f in kind.fields)
+    if isinstance(kind, T.ArrayType):
+        return _holds_temporal(kind.elementType)
+    if isinstance(kind, T.MapType):
+        return _holds_temporal(kind.valueType) or _holds_temporal(kind.keyType)
     return isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType))
 
 
+def _shown(column: Column, kind: T.DataType) -> Column:
+    """The column with every temporal in it, however deep, as ISO-8601 text."""
+    if not _holds_temporal(kind):
+        return column
+    if isinstance(kind, T.StructType):
+        members = [_shown(column.getField(f.name), f.dataType).alias(f.name) for f in kind.fields]
+        return F.when(column.isNotNull(), F.struct(*members))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(column, lambda x: _shown(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        values = F.transform_values(column, lambda _, v: _shown(v, kind.valueType))
+        if not _holds_temporal(kind.keyType):
+            return values
+        return F.transform_keys(values, lambda k, _: _shown(k, kind.keyType))
+    return _iso(column, kind)
+
+
 def json_value(df: DataFrame) -> Column:
     """An object with every column in order, NULLs included, temporals as ISO-8601 text."""
-    members = []
-    for field in df.schema.fields:
-        column = F.col(f"`{field.name}`")
-        if _temporal(field.dataType):
-            column = _iso(column, field.dataType)
-        members.append(column.alias(field.name))
+    members = [_shown(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema.fields]
     return F.to_json(F.struct(*members), {"ignoreNullFields": "false"})
 
 
+def _row_text(column: Column, kind: T.DataType) -> Column:
+    if isinstance(kind, T.TimestampType):
+        return _iso(column, kind)
+    if isinstance(kind, T.TimestampNTZType):
+        # Seconds are left out when zero, else the fraction comes in groups of three.
+        text = _in_threes(_local(column))
+        return F.when(text.endswith(":00"), F.left(text, F.length(text) - 3)).otherwise(text)
+    if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+        return F.to_json(_shown(column, kind))
+    return column.cast("string")
+
+
 def string_value(df: DataFrame) -> Column:
     """The row's text form, ``+I[v1, v2]``, NULL shown as ``null``."""
-    shown = []
-    for field in df.schema.fields:
-        column = F.col(f"`{field.name}`")
-        text = column.cast("string")
-        if isinstance(field.dataType, (T.TimestampType, T.TimestampNTZType)):
-            # Seconds are left out when zero, else the fraction comes in groups of three.
-            text = F.date_format(column, _SECONDS + ".SSSSSS")
-            text = F.regexp_replace(text, r"(\.000000|(?<=\.\d{3})000)$", "")
-            text = F.regexp_replace(text, r"(?<=T\d{2}:\d{2}):00$", "")
-            if isinstance(field.dataType, T.TimestampType):
-                text = _iso(column, field.dataType)
-        elif isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
-            text = F.to_json(column)
-        shown.append(F.coalesce(text, F.lit("null")))
+    shown = [F.coalesce(_row_text(F.col(f"`{f.name}`"), f.dataType), F.lit("null")) for f in df.schema.fields]
     return F.concat(F.lit("+I["), F.concat_ws(", ", *shown), F.lit("]"))
 
 
@@ -83,42 +114,77 @@ _WIDER = {
 }
 
 
+def _branch(declared: object) -> tuple[object, list[str]]:
+    """(the first branch that is not null, the kinds of all branches) of an Avro type."""
+    branches = avro_branches(declared)
+    kinds = [avro_kind(b) for b in branches]
+    chosen = next((b for b, k in zip(branches, kinds) if k != "null"), "null")
+    return chosen, kinds
+
+
+def _avro_type(declared: object) -> T.DataType:
+    """The Spark type of an Avro type, for values that are absent."""
+    chosen, _ = _branch(declared)
+    kind = avro_kind(chosen)
+    if kind == "record":
+        return T.StructType([T.StructField(f["name"], _avro_type(f["type"])) for f in chosen["fields"]])
+    if kind == "array":
+        return T.ArrayType(_avro_type(chosen["items"]))
+    if kind == "map":
+        return T.MapType(T.StringType(), _avro_type(chosen["values"]))
+    return _AVRO_TARGET.get(kind, T.StringType())
+
+
+def _members(fields: list[dict], present: dict[str, tuple[Column, T.DataType]], where: str) -> list[Column]:
+    """The columns of a record, matched by name and in its order."""
+    out = []
+    for part in fields:
+        name, declared = part["name"], part["type"]
+        if name in present:
+            out.append(_aligned(*present[name], declared, f"{where}{name}").alias(name))
+            continue
+        default = part.get("default")
+        if default is None and "null" not in _branch(declared)[1]:
+            raise SchemaError(f"result has no column {where + name!r} and the Avro field has no default")
+        out.append(F.lit(default).cast(_avro_type(declared)).alias(name))
+    return out
+
+
+def _aligned(column: Column, have: T.DataType, declared: object, name: str) -> Column:
+    """A value as its Avro type wants it; raises where it would not fit without loss."""
+    chosen, _ = _branch(declared)
+    kind = avro_kind(chosen)
+    wrong = SchemaError(f"column {name!r} ({have.simpleString()}) does not fit Avro {kind}")
+    if kind == "record":
+        if not isinstance(have, T.StructType):
+            raise wrong
+        inner = {f.name: (column.getField(f.name), f.dataType) for f in have.fields}
+        return F.when(column.isNotNull(), F.struct(*_members(chosen["fields"], inner, f"{name}.")))
+    if kind == "array":
+        if not isinstance(have, T.ArrayType):
+            raise wrong
+        return F.transform(column, lambda x: _aligned(x, have.elementType, chosen["items"], f"{name}[]"))
+    if kind == "map":
+        if not isinstance(have, T.MapType) or not isinstance(have.keyType, T.StringType):
+            raise wrong
+        return F.transform_values(column, lambda _, v: _aligned(v, have.valueType, chosen["values"], f"{name}.*"))
+    if kind not in _AVRO_TARGET:
+        raise SchemaError(f"unsupported Avro type {kind!r} for {name!r}")
+    if kind == "long" and isinstance(have, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+        return F.unix_millis(column.cast("timestamp"))
+    if kind in _WIDER and have.simpleString() not in _WIDER[kind]:
+        raise wrong
+    return column.cast(_AVRO_TARGET[kind])
+
+
 def align_avro(df: DataFrame, schema: Declared) -> DataFrame:
-    """The columns an Avro record needs, matched by name and in its order.
+    """The columns an Avro record needs, matched by name and in its order, at every depth.
 
     Temporals become epoch milliseconds, numbers may widen but not narrow, and a field
     that is neither a column, nor nullable, nor defaulted is an error.
     """
-    columns = []
-    present = {f.name: f.dataType for f in df.schema.fields}
-    for part in schema.document["fields"]:
-        name = part["name"]
-        kinds = [avro_kind(b) for b in avro_branches(part["type"])]
-        kind = next((k for k in kinds if k != "null"), "null")
-        if name not in present:
-            if "default" in part and part["default"] is not None:
-                columns.append(F.lit(part["default"]).cast(_AVRO_TARGET.get(kind, T.StringType())).alias(name))
-            elif "null" in kinds:
-                columns.append(F.lit(None).cast(_AVRO_TARGET.get(kind, T.StringType())).alias(name))
-            else:
-                raise SchemaError(f"result has no column {name!r} and the Avro field has no default")
-            continue
-        have, column = present[name], F.col(f"`{name}`")
-        if kind in ("record", "array", "map"):
-            columns.append(column.alias(name))
-            continue
-        if kind not in _AVRO_TARGET:
-            raise SchemaError(f"unsupported Avro type {kind!r} for {name!r}")
-        if isinstance(have, T.TimestampType) and kind == "long":
-            column = F.unix_millis(column)
-        elif isinstance(have, T.TimestampNTZType) and kind == "long":
-            column = F.unix_millis(column.cast("timestamp"))
-        elif isinstance(have, T.DateType) and kind == "long":
-            column = F.unix_millis(column.cast("timestamp"))
-        elif kind in _WIDER and have.simpleString() not in _WIDER[kind]:
-            raise SchemaError(f"column {name!r} ({have.simpleString()}) does not fit Avro {kind}")
-        columns.append(column.cast(_AVRO_TARGET[kind]).alias(name))
-    return df.select(*columns)
+    present = {f.name: (F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields}
+    return df.select(*_members(schema.document["fields"], present, ""))
 
 
 def avro_value(df: DataFrame, schema: Declared) -> Column:

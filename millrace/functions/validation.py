@@ -39,6 +39,9 @@ class Node:
     def of(cls, value: Column) -> "Node":
         return cls(value, F.schema_of_variant(value))
 
+    def first(self) -> "Node":
+        return Node.of(F.try_variant_get(self.value, "$[0]", "variant"))
+
     def child(self, name: str) -> "Node":
         return Node.of(field_of(self.value, name))
 
@@ -89,7 +92,7 @@ def _equals(node: Node, const: object) -> Column:
     if isinstance(const, bool):
         return _sure(node.is_a("boolean") & (node.get("boolean") == const))
     if isinstance(const, int):
-        return _sure(node.is_a("number") & (node.get("decimal(38,9)") == F.lit(Decimal(const))))
+        return _sure(node.is_a("number") & _equals_whole(node, const))
     if isinstance(const, float):
         return _sure(node.is_a("number") & (node.get("double") == const))
     if isinstance(const, str):
@@ -97,6 +100,52 @@ def _equals(node: Node, const: object) -> Column:
     raise SchemaError(f"enum/const value {const!r} is not a scalar")
 
 
+def _is_double(node: Node) -> Column:
+    return node.type.isin("DOUBLE", "FLOAT")
+
+
+def _equals_whole(node: Node, const: int) -> Column:
+    """The number is ``const``, in whatever notation it came."""
+    # Exact notations compare as text, without the zeros after the point.
+    text = F.regexp_replace(node.get("string"), r"\.0*$", "")
+    near = float(const) if abs(const) < 10**300 else None
+    same_double = node.get("double") == near if near is not None and int(near) == const else F.lit(False)
+    return F.when(_is_double(node), same_double).otherwise(text == str(const))
+
+
+#: Digits after the leading one that a decimal number in a text can have here.
+MOST_DIGITS = 18
+
+
+def _scientific(number: object) -> tuple[int, int]:
+    """(mantissa, exponent of ten) of a constant, exactly as written."""
+    sign, digits, exponent = Decimal(str(number)).normalize().as_tuple()
+    if sign or not any(digits) or len(digits) > MOST_DIGITS:
+        raise SchemaError(f"{number} is no positive number of at most {MOST_DIGITS} digits")
+    return int("".join(map(str, digits))), exponent
+
+
+def _not_multiple(node: Node, of: object) -> Column:
+    """True when the number is no whole multiple of ``of``, by its decimal digits.
+
+    A number is M * 10**e, the constant P * 10**q. With k = e - q, M * 10**k has to be a
+    multiple of P: for k >= 0 by remainders, whose powers of ten are a constant table; else M
+    has to be one of P * 10**-k.
+    """
+    divisor, exponent = _scientific(of)
+    parts = [F.regexp_extract(node.get("string"), r"^-?(\d+)(?:\.(\d+))?(?:E(-?\d+))?$", i) for i in (1, 2, 3)]
+    mantissa = F.concat(parts[0], parts[1]).cast("decimal(38,0)")
+    power = F.when(parts[2] == "", 0).otherwise(parts[2].try_cast("int"))
+    k = power - F.length(parts[1]) - exponent
+    tens = F.array(*[F.lit(pow(10, i, divisor)).cast("bigint") for i in range(330 + max(0, -exponent))])
+    small = (mantissa % divisor).cast("decimal(18,0)") * F.get(tens, F.greatest(k, F.lit(0))).cast("decimal(18,0)")
+    above = small % divisor != 0
+    wide = F.array(*[F.lit(Decimal(divisor * 10**i)).cast("decimal(38,0)") for i in range(39 - len(str(divisor)))])
+    # Beyond the table the divisor has more digits than the mantissa can have.
+    below = F.coalesce(mantissa % F.get(wide, -k) != 0, mantissa != 0)
+    return F.when(k >= 0, above).otherwise(below)
+
+
 def _one_of_values(node: Node, values: list) -> Column:
     if not values:
         raise SchemaError("enum is empty")
@@ -198,8 +247,7 @@ class Compiler:
         return self._bound(node, lambda x: x >= float(arg), f"not below {arg}")
 
     def _kw_multipleOf(self, arg, node, path, refs, schema):
-        rest = node.get("decimal(38,9)") % F.lit(Decimal(str(arg)))
-        yield node.is_a("number") & (rest != 0), f"not a multiple of {arg}"
+        yield node.is_a("number") & _not_multiple(node, arg), f"not a multiple of {arg}"
 
     # -- strings ----------------------------------------------------------------
 
@@ -224,8 +272,19 @@ class Compiler:
         yield node.is_a("array") & bad, "invalid array element"
 
     def _kw_contains(self, arg, node, path, refs, schema):
-        found = F.exists(self._elements(node), lambda e: ~self.invalid(arg, Node.of(e), path + "[]", refs))
-        yield node.is_a("array") & ~_sure(found), "no matching array element"
+        least, most = int(schema.get("minContains", 1)), schema.get("maxContains")
+        matching = F.filter(self._elements(node), lambda e: ~self.invalid(arg, Node.of(e), path + "[]", refs))
+        if (least, most) == (1, None):
+            yield node.is_a("array") & ~_sure(F.size(matching) > 0), "no matching array element"
+            return
+        yield node.is_a("array") & (F.size(matching) < least), f"fewer than {least} matching array elements"
+        if most is not None:
+            yield node.is_a("array") & (F.size(matching) > int(most)), f"more than {most} matching array elements"
+
+    def _kw_minContains(self, arg, node, path, refs, schema):
+        return []  # of ``contains``, and without it of nothing
+
+    _kw_maxContains = _kw_minContains
 
     def _kw_minItems(self, arg, node, path, refs, schema):
         yield node.is_a("array") & (F.size(self._elements(node)) < int(arg)), f"fewer than {arg} items"
@@ -259,9 +318,31 @@ class Compiler:
                 bad = field_of(node.value, name).isNotNull() & field_of(node.value, other).isNull()
                 yield node.is_a("object") & bad, f"{other} is required with {name}"
 
+    def _kw_dependentSchemas(self, arg, node, path, refs, schema):
+        for name, part in arg.items():
+            given = node.is_a("object") & field_of(node.value, name).isNotNull()
+            for bad, message in self.checks(part, node, path, refs):
+                yield given & bad, message
+
+    def _kw_patternProperties(self, arg, node, path, refs, schema):
+        for pattern, part in arg.items():
+            yield node.is_a("object") & self._like(pattern, part, node, path, refs), f"invalid property like {pattern}"
+
+    def _like(self, pattern, part, node, path, refs):
+        members = F.map_filter(node.get("map<string,variant>"), lambda k, _: k.rlike(pattern))
+        return F.exists(F.map_values(members), lambda e: self.invalid(part, Node.of(e), path + ".*", refs))
+
+    def _kw_propertyNames(self, arg, node, path, refs, schema):
+        # A name is checked as a text value.
+        bad = F.exists(self._names(node), lambda k: self.invalid(arg, Node.of(F.to_variant_object(F.array(k))).first(), path, refs))
+        yield node.is_a("object") & bad, "invalid property name"
+
     def _kw_additionalProperties(self, arg, node, path, refs, schema):
         known = F.array(*[F.lit(n) for n in schema.get("properties", {})]).cast("array<string>")
         extra = F.array_except(self._names(node), known)
+        patterns = list(schema.get("patternProperties", {}))
+        if patterns:
+            extra = F.filter(extra, lambda k: ~_any([k.rlike(p) for p in patterns]))
         if arg is False:
             yield node.is_a("object") & (F.size(extra) > 0), "undeclared property"
         elif isinstance(arg, dict) and arg:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.spec import WINDOW_UNITS
 from . import audit
 
 # Texts of the discrepancies a report lists.
@@ -93,12 +94,11 @@ def report(
 
 def window_label(interval_ms: Column) -> Column:
     """Label of a window length in milliseconds: days, hours, minutes, else whole seconds."""
-    units = (("d", 86_400_000), ("h", 3_600_000), ("m", 60_000))
     out = F.when(interval_ms <= 0, "n/a")
-    for unit, ms in units:
-        whole = F.floor(interval_ms / ms).cast("bigint")
-        out = out.when(interval_ms % ms == 0, F.concat(whole.cast("string"), F.lit(unit)))
-    return out.otherwise(F.concat(F.floor(interval_ms / 1000).cast("bigint").cast("string"), F.lit("s")))
+    for unit, ms in WINDOW_UNITS:
+        whole = F.floor(interval_ms / ms).cast("bigint").cast("string")
+        out = out.when((interval_ms % ms == 0) | (F.lit(unit) == "s"), F.concat(whole, F.lit(unit)))
+    return out
 
 
 def window_interval(label: str) -> str:

@@ -76,8 +76,8 @@ def emit(rows: DataFrame, config: Audit | Reconciliation | None) -> bool:
 def _log_line(text: str) -> None:
     record = json.loads(text)
     if "reconciled" not in record:
-        log.info("[AUDIT] %s", text)
+        log.info("audit event: %s", text)
     elif record["reconciled"]:
-        log.info("[RECONCILIATION] PASS %s", text)
+        log.info("counts agree: %s", text)
     else:
-        log.warning("[RECONCILIATION] FAIL discrepancies=%s %s", record["discrepancies"], text)
+        log.warning("counts differ (%s): %s", record["discrepancies"], text)

@@ -312,14 +312,15 @@ def _form_side(form: dict, prefix: str) -> dict:
     return {"kafka": kafka, **({"schema": schema} if schema else {})}
 
 
+# Units of a window label and their milliseconds; what fits none is in whole seconds.
+WINDOW_UNITS = (("d", 86_400_000), ("h", 3_600_000), ("m", 60_000), ("s", 1_000))
+
+
 def interval_label(interval_ms: int) -> str:
     """Window label of a checkpoint interval; ``reconcile.window_label`` is its column form."""
     if interval_ms <= 0:
         return "n/a"
-    for unit, ms in (("d", 86_400_000), ("h", 3_600_000), ("m", 60_000)):
-        if interval_ms % ms == 0:
-            return f"{interval_ms // ms}{unit}"
-    return f"{interval_ms // 1000}s"
+    return next(f"{interval_ms // ms}{unit}" for unit, ms in WINDOW_UNITS if interval_ms % ms == 0 or unit == "s")
 
 
 def from_form(form: dict, audit: dict | None = None, reconciliation: dict | None = None) -> Job:

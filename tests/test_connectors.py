@@ -38,6 +38,14 @@ def test_bounded_read_cannot_start_at_the_end():
         connectors.start_options(Kafka(**KAFKA, starting_offset="LATEST"), streaming=False)
 
 
+def test_unknown_mechanisms_and_quotes():
+    for wrong in (Auth("SASL_SSL", "GSSAPI", "u", "p"), Auth("SASL_SSL", "PLAIN", None, "p"), Auth("SASL_SSL", "PLAIN", "u")):
+        with pytest.raises(SpecError):
+            connectors.security_options(wrong)
+    entry = connectors.security_options(Auth("sasl_plaintext", "scram-sha-512", 'a"b', "c\\d"))["kafka.sasl.jaas.config"]
+    assert entry.endswith('ScramLoginModule required username="a\\"b" password="c\\\\d";')
+
+
 def test_security_options():
     plain = connectors.security_options(Auth("SASL_PLAINTEXT", "PLAIN", "u", "p"))
     assert plain["kafka.security.protocol"] == "SASL_PLAINTEXT"

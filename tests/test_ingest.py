@@ -27,10 +27,10 @@ def one(texts, text, part, required=False):
 
 
 def test_valid_missing_malformed_and_absent(texts):
-    strict = verdict(texts('{"id":1,"name":"alice"}', '{"id":2}', "not-json"), STRICT)
-    assert strict['{"id":1,"name":"alice"}'] == (None, (1, "alice"))
-    assert strict['{"id":2}'][0] == ingest.SCHEMA_VALIDATION
-    assert strict["not-json"][0] == ingest.MALFORMED
+    strict = verdict(texts('{"name":"Zoë","id":-40}', '{"id":17}', "{id: 3}"), STRICT)
+    assert strict['{"name":"Zoë","id":-40}'] == (None, (-40, "Zoë"))
+    assert strict['{"id":17}'][0] == ingest.SCHEMA_VALIDATION
+    assert strict["{id: 3}"][0] == ingest.MALFORMED
     relaxed = {k: v for k, v in STRICT.items() if k != "required"}
     assert verdict(texts('{"id":5}'), relaxed)['{"id":5}'] == (None, (5, None))
 
@@ -81,7 +81,18 @@ def test_int64_keeps_large_integers(texts):
         ({"const": 2.5}, ["2.5"], ["2", '"2.5"']),
         ({"minimum": 2, "maximum": 3}, ["2", "3.0", '"9"'], ["1.9", "3.1"]),
         ({"exclusiveMinimum": 2, "exclusiveMaximum": 3}, ["2.5"], ["2", "3"]),
-        ({"multipleOf": 0.01}, ["4.35", "1"], ["4.355"]),
+        ({"multipleOf": 0.01}, ["4.35", "1", "1e35", "0", "-7.10"], ["4.355", "1e-12", "0.000000000000000001"]),
+        ({"multipleOf": 3}, ["9", "3e35", "300000000000000000000000000003", "-6", "0.0"], ["1e35", "1e-12", "10", "3.000000000001"]),
+        ({"multipleOf": 7e4}, ["140000", "7e300"], ["7", "1e300"]),
+        ({"const": 0}, ["0", "0.0", "0e5"], ["0.000000000001", "1e-12"]),
+        ({"enum": [10**30, 5]}, ["1000000000000000000000000000000", "5.00", "5e0"], ["1000000000000000000000000000001", "1e29"]),
+        ({"contains": {"const": 1}, "minContains": 2}, ["[1,1]", "[1,2,1]"], ["[1]", "[]"]),
+        ({"contains": {"const": 1}, "maxContains": 1}, ["[1]", "[1,2]"], ["[1,1]", "[2]"]),
+        ({"contains": {"const": 1}, "minContains": 0, "maxContains": 1}, ["[]", "[1]"], ["[1,1]"]),
+        ({"patternProperties": {"^n": {"type": "integer"}}}, ['{"n":1,"m":"x"}', "{}"], ['{"nn":"x"}']),
+        ({"patternProperties": {"^n": {}}, "additionalProperties": False}, ['{"n":1}'], ['{"m":1}']),
+        ({"propertyNames": {"maxLength": 2, "pattern": "^a"}}, ['{"a":1,"ab":2}', "7"], ['{"abc":1}', '{"b":1}']),
+        ({"dependentSchemas": {"a": {"required": ["b"]}}}, ['{"b":1}', '{"a":1,"b":2}', "{}"], ['{"a":1}']),
         ({"minLength": 2, "maxLength": 3}, ['"ab"', '"žšč"', "7"], ['"a"', '"abcd"']),
         ({"pattern": "^a.c$"}, ['"abc"', "5"], ['"abd"']),
         ({"type": ["string", "null"]}, ['"s"', "null"], ["1"]),

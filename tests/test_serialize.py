@@ -78,3 +78,32 @@ def test_json_round_trip_keeps_microseconds(spark):
     text = rows.select(serialize.json_value(rows).alias("value"))
     back = text.select(F.from_json("value", "id bigint, at timestamp").alias("r")).select("r.*")
     assert sorted(back.collect()) == sorted(rows.collect())
+
+
+def test_nested_moments_keep_their_precision(spark):
+    rows = spark.sql(
+        "SELECT named_struct('a', TIMESTAMP_NTZ '2024-05-06 07:08:09.000012', 'b', array(TIMESTAMP '2024-05-06 07:08:09.12')) AS s, "
+        "map('k', DATE '2024-05-06') AS m, CAST(NULL AS STRUCT<t: TIMESTAMP>) AS gone"
+    )
+    wanted = {"s": {"a": "2024-05-06T07:08:09.000012", "b": ["2024-05-06T07:08:09.120Z"]}, "m": {"k": "2024-05-06"}, "gone": None}
+    assert json.loads(rows.select(serialize.json_value(rows)).first()[0]) == wanted
+
+
+def test_nested_alignment_by_name(spark):
+    rows = spark.sql(
+        "SELECT named_struct('y', 'text', 'x', 5, 'extra', 1) AS r, array(named_struct('x', 1)) AS l, map('k', 7) AS m"
+    )
+    inner = {"type": "record", "name": "i", "fields": [{"name": "x", "type": "long"}, {"name": "y", "type": ["null", "string"]}]}
+    listed = {"type": "record", "name": "j", "fields": [{"name": "x", "type": "long"}, {"name": "d", "type": "int", "default": 4}]}
+    schema = record(
+        {"name": "m", "type": {"type": "map", "values": "long"}},
+        {"name": "r", "type": ["null", inner]},
+        {"name": "l", "type": {"type": "array", "items": listed}},
+    )
+    aligned = serialize.align_avro(rows, schema)
+    assert aligned.first().asDict(True) == {"m": {"k": 7}, "r": {"x": 5, "y": "text"}, "l": [{"x": 1, "d": 4}]}
+    assert dict(aligned.dtypes)["m"] == "map<string,bigint>"
+    narrow = {"type": "record", "name": "n", "fields": [{"name": "y", "type": "int"}]}
+    for bad in ({"name": "r", "type": narrow}, {"name": "l", "type": narrow}, {"name": "m", "type": {"type": "array", "items": "int"}}):
+        with pytest.raises(SchemaError):
+            serialize.align_avro(rows, record(bad))
