@@ -7,9 +7,12 @@ another's is a snapshot of it and goes, by an anti-join. Of equal conversations
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.groups import Heat
+from ..operators.windows import running
+
 #: The marks around a turn.
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 #: Turns written into one row of text. A conversation of more turns takes several rows, so
@@ -22,43 +25,44 @@ def _filled(text: Column) -> Column:
 
 
 def _hash(purpose: str) -> Column:
-    """Of one turn at its place; a null differs from an empty text."""
+    """Of one turn at its place; a null differs from an empty text. As a decimal, so that sums are exact."""
     said = [F.coalesce(F.concat(F.lit("="), c), F.lit("-")) for c in (F.col("_role"), F.col("_text"))]
-    return F.xxhash64(F.lit(purpose), F.col("_place"), *said)
+    return F.xxhash64(F.lit(purpose), F.col("_place"), *said).cast("decimal(20,0)")
+
+
+ORDER = ["_turn", "_role", "_text"]
+SAME = ["_place", "_low", "_high"]
 
 
 def prefixes(turns: DataFrame, conversation: str, turn: str, role: str, text: str) -> DataFrame:
-    """Rows of ``turns`` with their place (from 1), whether they are the last of their
-    conversation, and the hash of the conversation up to them.
+    """Rows of ``turns`` with their place (from 1) and the hash of the conversation up to them.
 
-    Each turn's hash depends on its place, so the hash of a prefix is the exclusive-or of
-    its turns' and rolls along: 128 bits, in two halves.
+    Each turn's hash depends on its place, so the hash of a prefix is the sum of its turns' and
+    rolls along, in two halves. Running sums cut a very long conversation into parts.
     """
-    order = Window.partitionBy("_conv").orderBy(
-        F.col("_turn").asc_nulls_first(), F.col("_role").asc_nulls_first(), F.col("_text").asc_nulls_first()
-    )
-    rolling = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = turns.select(
+    rows = turns.select(
         F.col(conversation).alias("_conv"), F.col(turn).alias("_turn"),
         F.col(role).cast("string").alias("_role"), F.col(text).cast("string").alias("_text"),
-    ).withColumn("_place", F.row_number().over(order))
-    return placed.select(
-        "*",
-        F.bit_xor(_hash("low")).over(rolling).alias("_low"),
-        F.bit_xor(_hash("high")).over(rolling).alias("_high"),
-        F.lead("_place").over(order).isNull().alias("_last"),
     )
-
-
-SAME = ["_place", "_low", "_high"]
+    heat = Heat.found(rows, ["_conv"])
+    placed = running(rows, ["_conv"], ORDER, {"_place": F.lit(1).cast("bigint")}, heat)
+    hashed = placed.withColumns({"_one": _hash("low"), "_two": _hash("high")})
+    return running(hashed, ["_conv"], ORDER, {"_low": F.col("_one"), "_high": F.col("_two")}, heat).drop("_one", "_two")
 
 
 def maximal(prefixed: DataFrame) -> DataFrame:
-    """(_conv): the conversations that are no proper prefix of another, and of equal ones the
-    smallest. A prefix common to any number of conversations folds before it is shuffled."""
-    whole = prefixed.where("_last").groupBy(*SAME).agg(F.min("_conv").alias("_conv"))
-    inner = prefixed.where("not _last").select(*SAME).distinct()
-    return whole.join(inner, SAME, "left_anti").select("_conv")
+    """(_conv): the conversations that are no proper prefix of another, and of equal ones the smallest.
+
+    A prefix goes on somewhere if more conversations have it than end with it. One that
+    any number of conversations share folds before it is shuffled.
+    """
+    ends = prefixed.groupBy("_conv").agg(F.max_by(F.struct(*SAME), F.col("_place")).alias("_end"))
+    whole = ends.groupBy(*[F.col(f"_end.{c}").alias(c) for c in SAME]).agg(
+        F.min("_conv").alias("_conv"), F.count(F.lit(1)).alias("_ends")
+    )
+    held = prefixed.groupBy(*SAME).agg(F.count(F.lit(1)).alias("_all"))
+    grown = held.join(whole, SAME).where(F.col("_all") > F.col("_ends")).select(*SAME)
+    return whole.join(grown, SAME, "left_anti").select("_conv")
 
 
 def chat_texts(

@@ -15,6 +15,7 @@ from check import compare
 from millrace.llm import chat, line_dedup, mixing
 from millrace.llm.queries import ORACLE, QUERIES
 from millrace.llm.vector_search import top_k
+from millrace.operators.groups import HOT_GROUP_ROWS
 from tests.conftest import SF
 
 
@@ -87,7 +88,10 @@ def brute_chat(rows):
     return out
 
 
-def test_snapshots_collapse(spark):
+@pytest.mark.parametrize("hot", [5_000_000, 6])
+def test_snapshots_collapse(spark, hot):
+    """Also with conversations that are cut into parts."""
+    spark.conf.set(HOT_GROUP_ROWS, str(hot))
     rng = random.Random(3)
     rows = []
     for conv in range(60):
@@ -105,6 +109,7 @@ def test_snapshots_collapse(spark):
             found[r.conv_id][1] += 1
         assert {c: t for c, (t, _) in found.items()} == brute_chat(rows)
     assert chat.chat_texts(turns.where("false")).count() == 0
+    spark.conf.unset(HOT_GROUP_ROWS)
 
 
 # Mixing
