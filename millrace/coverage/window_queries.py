@@ -176,7 +176,7 @@ def win_range_frame(spark, folder):
        untimed AS (
          SELECT *, CAST(sum(amount) OVER w AS DOUBLE) AS day, count(amount) OVER w AS seen FROM marked WHERE moment IS NULL
          WINDOW w AS (PARTITION BY k))
-       SELECT event_id, day, CASE WHEN seen > 0 THEN seen END AS seen
+       SELECT event_id, day, seen
        FROM (SELECT * FROM timed UNION ALL SELECT * FROM untimed)""",
 )
 def win_range_frame_nulls(spark, folder):
@@ -190,7 +190,7 @@ def win_range_frame_nulls(spark, folder):
     )
     seen = F.when(F.col("amount").isNotNull(), F.lit(1)).cast("bigint")
     framed = windows.range_frame(marked, ["k"], "at", 86_400_000_000, {"day": F.col("amount"), "seen": seen})
-    return framed.select("event_id", F.col("day").cast("double").alias("day"), "seen")
+    return framed.select("event_id", F.col("day").cast("double").alias("day"), F.coalesce("seen", F.lit(0)).alias("seen"))
 
 
 @query(
