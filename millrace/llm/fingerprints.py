@@ -210,7 +210,7 @@ def with_next(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, int]:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(key).cast("bigint").alias("_key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"))
     shares = [i / parts for i in range(1, parts)]
-    cuts = rows.agg(F.percentile_approx("_key", shares, 100 * parts)).first()[0] if shares else None
+    cuts = rows.agg(F.percentile_approx("_key", shares, min(100 * parts, 1_000_000))).first()[0] if shares else None
     borders = np.unique(np.array(cuts or [], np.int64))
 
     @F.pandas_udf("int")

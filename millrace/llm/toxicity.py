@@ -219,8 +219,10 @@ def not_toxic(docs: DataFrame, model: Model, text: str = "text", threshold: floa
     """``docs`` without the rows that ``model`` rejects; all columns pass unchanged."""
 
     @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         known: dict[str, tuple[int, ...]] = {}
-        return pd.Series([round(model.score(_present(t, model.features, known)), 9) for t in texts], dtype="float64")
+        for texts in batches:
+            found = [round(model.score(_present(t, model.features, known)), 9) for t in texts]
+            yield pd.Series(found, dtype="float64")
 
     return docs.where(score(F.col(text).cast("string")) < threshold)

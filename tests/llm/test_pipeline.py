@@ -94,3 +94,25 @@ def test_run(spark, stages):
     assert found.columns == stages[5].columns
     assert found.agg({"length": "sum"}).first()[0] == stages[5].agg({"length": "sum"}).first()[0]
     assert zlib.crc32(b"") == 0 and found.where("ids_crc32 < 0").count() == 0
+
+
+def test_stages_take_odd_rows(spark, stages):
+    """Nulls in any column, empty and very long texts, repeated rows; and an empty table."""
+    rows = [
+        (None, None, None, None, None),
+        (1, "", "en", "s", 0),
+        (1, "", "en", "s", 0),
+        (2, "word " * 40_000, None, None, None),
+        (3, None, "en", "s", None),
+        (None, "a text without a key, long enough to be its own", "en", "t", 48),
+        (4, "one line\nanother line\n\n  \n", "fr", "t", 26),
+    ]
+    for docs in (spark.createDataFrame(rows, stages[0].schema), spark.createDataFrame([], stages[0].schema)):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, SF)
+            assert docs.dtypes == stages[0].dtypes, name
+            docs = spark.createDataFrame(docs.collect(), stages[0].schema)
+        last = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
+        kept = docs.collect()
+        assert {r.doc_id for r in last} == {r.doc_id for r in kept}
+    assert not last
