@@ -11,6 +11,7 @@ from ..plans import runner, spec
 from ..session import fresh_path
 from ..sources import connectors, ingest
 from ..streaming import event_time
+from ..streaming.progress import dropped_late
 from . import messages
 from .messages import CLASSED
 from .registry import query, table
@@ -130,6 +131,35 @@ def stream_dedup(spark, folder):
     return _drain(once.select("event_id", "user_id", "event_type"), "dedup")
 
 
+@query(
+    "late_rows",
+    f"""WITH edge AS (SELECT date_trunc('millisecond', max(ts)) - INTERVAL {_LAG_MS // 60000} MINUTE AS mark
+                      FROM events WHERE event_id % 10 <> 0)
+        SELECT count(*) FILTER (WHERE event_id % 10 <> 0 OR ts > mark) AS kept,
+               count(*) FILTER (WHERE event_id % 10 = 0 AND ts <= mark) AS dropped
+        FROM events, edge""",
+)
+def late_rows(spark, folder):
+    """A tenth of the events arrives after the others: what is behind the watermark is dropped and counted."""
+    events = table(spark, folder, "events").select("event_id", "ts")
+    late, base = F.col("event_id") % 10 == 0, fresh_path(spark, "late")
+    # A batch moves the watermark of the next: the second only repeats a row.
+    for number, part in enumerate((events.where(~late), events.where(~late).limit(1), events.where(late))):
+        part.coalesce(1).write.parquet(f"{base}/in/{number}")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", "1").parquet(f"{base}/in/*")
+    once = event_time.with_watermark(stream, "ts", _LAG_MS).dropDuplicatesWithinWatermark(["event_id"])
+    query = (
+        once.writeStream.format("parquet")
+        .option("checkpointLocation", f"{base}/checkpoint")
+        .outputMode("append")
+        .trigger(availableNow=True)
+        .start(f"{base}/out")
+    )
+    query.awaitTermination()
+    kept = spark.read.schema(once.schema).parquet(f"{base}/out").agg(F.count(F.lit(1)).alias("kept"))
+    return kept.withColumn("dropped", F.lit(dropped_late(query)).cast("bigint"))
+
+
 COUNTS = ("source_read_count", "schema_rejected_count", "transformed_count", "target_written_count")
 
 _JOB_SQL = "SELECT event_id, user_id, event_type, value FROM live WHERE value > 20"

@@ -193,19 +193,29 @@ class Trail:
         self.events.append(audit.event(self.run_id, self.job.job_name, event_type, stage, 0, metadata=note))
         self._emit(audit.events_frame(self.spark, self.events[-1:]))
 
+    def counts(self) -> DataFrame | None:
+        """What the stages hold now, taken once."""
+        found = self.counted()
+        return None if found is None else materialize(found, "counts")
+
+    def close(self) -> None:
+        """From now on nothing is staged any more."""
+        found = self.counts()
+        self.counted = lambda: found
+        self.counts = self.counted
+
     def tell(self) -> None:
         """Passes on the counts of batches that are new, or were not delivered when last told."""
-        counts = self.counted()
-        if counts is None or self.job.audit is None or not self.job.audit.enabled:
+        if self.job.audit is None or not self.job.audit.enabled or (counts := self.counts()) is None:
             return
-        counts = materialize(counts, "counts")
-        since = self._told
-        if since is not None:
-            counts = counts.where(F.col("ts") >= F.lit(since))
-        newest = counts.agg(F.max("ts")).first()[0]
+        if self._told is not None:
+            counts = counts.where(F.col("ts") >= F.lit(self._told))
+        of = lambda kind: F.sum(F.when(F.col("event_type") == kind, F.col("count")))
+        batches = counts.groupBy("ts").agg(of(audit.TRANSFORM_OUTPUT).alias("out"), of(audit.TARGET_WRITTEN).alias("held"))
+        newest, waiting = batches.agg(F.max("ts"), F.min(F.when(F.col("out") > F.col("held"), F.col("ts")))).first()
         if newest is not None:
             self._emit(counts)
-            self._told = newest
+            self._told = min(newest, waiting or newest)
 
     def frame(self) -> DataFrame:
         """All events of the run, of earlier processes' batches too; lifecycle of this process."""
@@ -384,8 +394,8 @@ def run_batch(spark: SparkSession, job: Job, write: Write = connectors.write_out
         if _tracked(job):
             moment = F.current_timestamp().alias(AT)
             staged = [(t.source, t.verdicts.select("error_type", moment)) for t in intakes]
-            counts = materialize(_counts(trail, staged, result.select(moment), written), "counts")
-            trail.counted = lambda: counts
+            trail.counted = lambda: _counts(trail, staged, result.select(moment), written)
+            trail.close()
             trail.tell()
         trail.add(audit.JOB_COMPLETED)
     except Exception as error:
@@ -473,6 +483,7 @@ class StreamRun:
             query.stop()
 
     def _end(self, event_type: str) -> DataFrame | None:
+        self.trail.close()
         self.trail.tell()
         self.trail.add(event_type)
         self.trail.report_windows()

@@ -255,6 +255,73 @@ def test_restart_goes_on_without_duplicates(spark, tmp_path, job):
     assert (row["source_read_count"], row["schema_rejected_count"], row["target_written_count"]) == (3, 1, 2)
 
 
+def test_counts_survive_a_failure(spark, tmp_path, job):
+    """A batch that fails after its source was staged is counted once it gets through."""
+    write_lines(tmp_path / "in", "a", order(1, 50), "oops")
+    first, _ = drain(spark, job())
+    write_lines(tmp_path / "in", "b", order(2, 60), order(3, 70))
+    broken = runner.run_stream(spark, job("SELECT id, amount / (id - 2) AS amount FROM orders"), available_now=True)
+    with pytest.raises(Exception, match="(?i)zero"):
+        broken.await_end(timeout=300)
+    write_lines(tmp_path / "in", "c", order(4, 80))
+    last, report = drain(spark, job())
+    assert first.run_id == broken.run_id == last.run_id
+    row = report.first()
+    assert [row[c] for c in ("source_read_count", "schema_rejected_count", "transformed_count", "target_written_count")] == [5, 1, 4, 4]
+    assert sorted(r["id"] for r in spark.read.json(str(tmp_path / "out")).collect()) == [1, 2, 3, 4]
+    told = audit.counters(spark.read.schema(audit.EVENT_SCHEMA).parquet(str(tmp_path / "audit"))).collect()
+    assert sorted(r["value"] for r in told) == [1, 4, 4, 5]
+
+
+def test_a_stream_needs_its_checkpoint(spark, tmp_path, job):
+    write_lines(tmp_path / "in", "a", order(1, 50))
+    with pytest.raises(SpecError, match="checkpointDir"):
+        runner.run_stream(spark, job(engine={}))
+
+
+def test_reports_by_window(spark, tmp_path, job):
+    write_lines(tmp_path / "in", "a", order(1, 50), order(2, 60))
+    drain(spark, job(dlq={"enabled": False}))
+    reports = spark.read.parquet(str(tmp_path / "reports")).collect()
+    assert len(reports) == 2 and all(r["reconciled"] and r["target_written_count"] == 2 for r in reports)
+    assert {(r["window_end"] - r["window_start"]).total_seconds() == 3600 for r in reports} == {True, False}
+
+
+def test_processed_time_does_not_differ(spark, tmp_path, job):
+    """The rows delivered are compared, not the query run again."""
+    write_lines(tmp_path / "in", "a", *[order(i, 50) for i in range(5)])
+    timed = {"strategy": "BOUNDED", "mode": "PROCESS_TIME"}
+    source = {"tableName": "orders", "files": {"path": str(tmp_path / "in")}, "schema": SCHEMA, "watermark": timed}
+    run = runner.run_batch(
+        spark,
+        job(
+            "SELECT id, processed_time, rand() AS r FROM orders",
+            sources=[source],
+            target={"type": "FILE", "path": str(tmp_path / "out"), "fileFormat": "parquet"},
+            reconciliation={"sinkType": "LOG", "businessKeyFields": ["id"]},
+        ),
+    )
+    assert run.differing.count() == 0 and run.report.first()["target_written_count"] == 5
+
+
+def test_one_job_without_audit_and_one_parse_with_it(spark, tmp_path, job):
+    from millrace.plans.spec import Files, Schema, Source
+
+    write_lines(tmp_path / "in", "a", order(1, 50))
+    plain = job(audit=None, reconciliation=None, dlq={})
+    spark.sparkContext.setJobGroup("plain", "a job that nobody counts")
+    runner.run_batch(spark, plain)
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("plain")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(jobs) == 1
+    raw = spark.createDataFrame([(order(1, 5),)], "value string")
+    source = Source(table_name="s", files=Files("-"), schema=Schema(SCHEMA))
+    text = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "parseJson" in text(runner.intake(raw, source).view)
+    staged = runner.intake(raw, source, stage=True)
+    assert "parseJson" not in text(staged.view) and "parseJson" not in text(staged.verdicts)
+
+
 def test_stream_of_a_closed_window(spark, tmp_path, job):
     at = ["2024-01-01 00:00:10", "2024-01-01 00:00:20", "2024-01-01 00:05:00"]
     write_lines(tmp_path / "in", "a", *[order(i, 1, t) for i, t in enumerate(at)], order(9, 1, "never"))
