@@ -51,7 +51,7 @@ def range_join(points: DataFrame, ranges: DataFrame, at: str, low: str, high: st
     level = F.ceil(F.log2(F.col(high) - F.col(low))).cast("int")
     laid = ranges.where(F.col(low) < F.col(high)).withColumn("_level", level)
     # Widths are powers of two, so there are never more than some two thousand.
-    levels = [r["_level"] for r in laid.select("_level").distinct().orderBy("_level").collect()]
+    levels = laid.agg(F.sort_array(F.collect_set("_level"))).first()[0]
 
     def bin_of(value: Column) -> Column:
         return F.floor(value / F.pow(F.lit(2.0), F.col("_level")))
