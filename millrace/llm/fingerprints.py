@@ -45,7 +45,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def _seeded(keys: np.ndarray, seed: int) -> np.ndarray:
-    return _mixed(keys + _GOLDEN * _U(seed + 1))
+    return _mixed(keys + _U(int(_GOLDEN) * (seed + 1) % 2**64))
 
 
 def paragraphs(text: str) -> list[bytes]:
@@ -244,7 +244,8 @@ def fingerprint_versions(docs: DataFrame, key: str = "doc_id", text: str = "text
     empty table gives an empty result. ``key`` is a whole number.
     """
     rows, parts = with_next(docs, key, text)
-    dealt = rows.repartition(parts, "_range").sortWithinPartitions(
+    # A task per range: by hash, several ranges could meet in one.
+    dealt = rows.repartitionById(parts, "_range").sortWithinPartitions(
         "_range", "_guest", F.col("_key").asc_nulls_first(), "_text"
     )
 
