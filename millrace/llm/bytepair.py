@@ -19,11 +19,14 @@ import numpy as np
 
 ID_BYTES = 4
 #: Pieces kept per worker process; beyond that the memory starts afresh.
-KNOWN_PIECES = 300_000
+KNOWN_PIECES = 500_000
+#: New pieces encoded in one call.
+PIECES_PER_CALL = 200
 #: Longer pieces rarely repeat.
 KNOWN_PIECE_CHARS = 48
 
 _SPACE = r"\t-\r "
+_ASCII_SPACE = "\t\n\x0b\x0c\r "
 _PIECE = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
 _BOUNDARY = re.compile(rf"(?<=\S)(?=[{_SPACE}])")
 # White space beyond the ASCII white space that _PIECE cuts at.
@@ -66,6 +69,7 @@ class Tokenizer:
         self._library.no_truncation()
         self._library.no_padding()
         self._known: dict[str, bytes] = {}
+        self._long: list[str] = []
 
     @staticmethod
     def _check(content: str, path: str) -> None:
@@ -102,18 +106,26 @@ class Tokenizer:
 
     def _learn(self, parts: set[str]) -> None:
         new = [p for p in parts if p not in self._known]
-        if not new:
-            return
-        found = [e.ids for e in self._library.encode_batch_fast(new, add_special_tokens=False)]
-        flat = np.fromiter(chain.from_iterable(found), "<u4").tobytes()
-        ends = [ID_BYTES * n for n in accumulate(map(len, found))]
-        self._known.update(zip(new, (flat[a:b] for a, b in zip([0, *ends], ends))))
+        # Pieces that start and end as boundaries ask can follow one another in one text.
+        led = [p for p in new if p[0] in _ASCII_SPACE and not p[-1].isspace()]
+        for at in range(0, len(led), PIECES_PER_CALL):
+            run = led[at : at + PIECES_PER_CALL]
+            found = self._library.encode("".join(run), add_special_tokens=False)
+            ids = np.array(found.ids, "<u4").tobytes()
+            token_ends = np.array([end for _, end in found.offsets], np.int64)
+            piece_ends = np.fromiter(accumulate(map(len, run)), np.int64, len(run))
+            cuts = (ID_BYTES * np.searchsorted(token_ends, piece_ends, side="right")).tolist()
+            self._known.update(zip(run, (ids[a:b] for a, b in zip([0, *cuts], cuts))))
+        for piece in new if len(led) < len(new) else ():
+            if piece not in self._known:
+                ids = self._library.encode(piece, add_special_tokens=False).ids
+                self._known[piece] = np.array(ids, "<u4").tobytes()
         self._long = [p for p in new if len(p) > KNOWN_PIECE_CHARS]
 
     def _forget(self) -> None:
         if len(self._known) > KNOWN_PIECES:
             self._known.clear()
-        for piece in getattr(self, "_long", ()):
+        for piece in self._long:
             self._known.pop(piece, None)
         self._long = []
 
