@@ -97,7 +97,8 @@ def fit_weights(positive: np.ndarray, unlabelled: np.ndarray, prior: float, step
 
 
 def _sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, most_positive: int, most_unlabelled: int) -> DataFrame:
-    """(id, text, positive, unlabelled): bounded by the two numbers, apart from repeated ids."""
+    """(id, text, positive, unlabelled): a row per id, so that the two numbers bound the rows. Of different
+    texts with one id, the smallest by digest is read; a null one only if there is no other."""
     order = [F.xxhash64("id"), F.col("id")]
     confirmed = labels.select(F.col(key).alias("id"), F.col(label).alias("y")).where(learnable(F.col("id")))
     positive = confirmed.groupBy("id").agg(F.max("y").alias("y")).where("y = 1").orderBy(*order).limit(most_positive)
@@ -108,7 +109,10 @@ def _sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str,
     )
     chosen = chosen.groupBy("id").agg(F.max("p").alias("positive"), F.max("u").alias("unlabelled"))
     texts = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text"))
-    return materialize(texts.join(F.broadcast(chosen), "id"), "toxicity-sample")
+    texts = texts.join(F.broadcast(chosen), "id")
+    # Folds in every task before the shuffle, however many rows share an id.
+    one = texts.groupBy("id", "positive", "unlabelled").agg(F.min(F.struct(F.col("text").isNull(), F.md5("text"), "text")).alias("least"))
+    return materialize(one.select("id", "least.text", "positive", "unlabelled"), "toxicity-sample")
 
 
 def _choose(sample: DataFrame, positives: int, unlabelled: int, prior: float, most: int) -> list[int]:
