@@ -1,6 +1,7 @@
 """Secrets in texts: candidates by form, false positives removed by a random forest.
 
-Every long run of credential characters is a candidate. What tells a secret from a word, a
+Every long run of credential characters is a candidate, and so is every value, of whatever length and
+characters, that is quoted or assigned after a word that announces a credential. What tells a secret from a word, a
 number or an address is learned from labelled findings: the candidate's length, its
 character transitions, how much of it dictionary words cover, the path it was found under
 and the words next to it.
@@ -38,6 +39,16 @@ DICTIONARY_LETTERS = 3
 CREDENTIAL = ("password", "passwd", "pwd", "secret", "token", "apikey", "api_key", "auth", "bearer", "credential")
 MADE_UP = ("test", "example", "sample", "fixture", "mock", "doc")
 
+#: What announces a value: such a word, its quote if any, and an assignment or the value's own quote.
+_NAMES = "|".join(CREDENTIAL)
+_SIGN = r"(?:={1,3}>?|:=|:)"
+LEAD = re.compile(rf"(?ai)(?:{_NAMES})(?:[\"'\]]{{0,2}}[ \t]*{_SIGN}[ \t]*|[ \t]*(?=[\"']))")
+#: The value: up to its own quote, or up to white space without the brackets and commas before it.
+VALUE = re.compile(r"""(?a)"((?:\\.|[^"\\\n])+)"|'((?:\\.|[^'\\\n])+)'|["']?([^\s"']\S*?)(?=["',;)\]}]*(?:\s|\Z))""")
+ANNOUNCED = rf"(?i)({_NAMES})([\"'\]]{{0,2}}\s*{_SIGN}\s*[\"']?|\s*[\"'])$"
+#: An announced number that is shorter than this may be a count as well as a secret.
+LEAST_NUMBER = 14
+
 FEATURES = (
     "length", "class_changes", "rare_transitions", "distinct", "entropy", "digits", "upper", "punctuation",
     "coverage", "made_up_path", "path_bucket", "path_depth", "credential_before", "assigned", "quoted", "address",
@@ -91,6 +102,24 @@ def _class(char: str) -> int:
     return 0 if char.isdigit() else 1 if char.islower() else 2 if char.isupper() else 3
 
 
+def candidates(content: str) -> list[tuple[int, int]]:
+    """Spans of the candidates, in order. A run within an announced value without blanks is part of it."""
+    announced = set()
+    for lead in LEAD.finditer(content):
+        if value := VALUE.match(content, lead.end()):
+            announced.add(value.span(value.lastindex))
+    if not announced:
+        return [m.span() for m in CANDIDATE.finditer(content)]
+    whole = sorted(s for s in announced if not re.search(r"\s", content[slice(*s)]))
+    alone, last, at = [], -1, 0
+    for a, b in (m.span() for m in CANDIDATE.finditer(content)):
+        while at < len(whole) and whole[at][0] <= a:
+            last, at = max(last, whole[at][1]), at + 1
+        if b > last:
+            alone.append((a, b))
+    return sorted(announced.union(alone))
+
+
 def described(value: str, before: str, after: str, path: str, known: Dictionary) -> list[float]:
     """The ``FEATURES`` of one finding."""
     classes, counts = [_class(c) for c in value], Counter(value)
@@ -133,10 +162,9 @@ def findings(docs: DataFrame, words: str, key: str = "doc_id", text: str = "text
             kinds = [batch.schema.field(0).type, pa.int64(), *[pa.string()] * 3, pa.list_(pa.float64())]
             rows = []
             for owner, content, where in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                for match in CANDIDATE.finditer(content or ""):
-                    a, b = match.span()
-                    sides = content[max(a - AROUND, 0) : a], content[b : b + AROUND]
-                    rows.append((owner, a, match[0], *sides, described(match[0], *sides, where or "", known)))
+                for a, b in candidates(content or ""):
+                    value, *sides = content[a:b], content[max(a - AROUND, 0) : a], content[b : b + AROUND]
+                    rows.append((owner, a, value, *sides, described(value, *sides, where or "", known)))
             columns = zip(*rows) if rows else [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
 
@@ -148,12 +176,12 @@ def findings(docs: DataFrame, words: str, key: str = "doc_id", text: str = "text
 
 def by_grammar() -> Column:
     """Labels of findings whose form alone tells: 1 for a vendor's key or an announced value with
-    digits; 0 for words, numbers, and addresses; null for the rest, which is not learned from."""
+    digits; 0 for words, numbers, and addresses that nothing announces; null for the rest, which is not learned from."""
     vendor = F.col("value").rlike("^AKIA[0-9A-Z]{16}$")
-    names = "|".join(CREDENTIAL)
-    announced = F.col("before").rlike(rf"(?i)({names})\s*[=:]\s*[\"']?$") & F.col("value").rlike("[0-9]")
+    announced = F.col("before").rlike(ANNOUNCED)
+    count = F.col("value").rlike("^[0-9.]+$") & (F.length("value") < LEAST_NUMBER)
     plain = F.col("value").rlike(r"^([A-Za-z.\-]+|[0-9.]+)$") | F.col("after").startswith("@") | F.col("before").endswith("@")
-    return F.when(vendor | announced, 1).when(plain, 0)
+    return F.when(vendor | (announced & F.col("value").rlike("[0-9]") & ~count), 1).when(plain & ~announced, 0)
 
 
 def fit(labelled: DataFrame, most_per_label: int = MOST_PER_LABEL):
