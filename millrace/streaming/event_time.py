@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .progress import watch
+
 # Fixed values.
 PROCESSED_TIME = "processed_time"
 DEFAULT_OUT_OF_ORDERNESS_MS = 5000
@@ -40,7 +42,10 @@ def with_processed_time(df: DataFrame) -> DataFrame:
 
 
 def with_watermark(df: DataFrame, column: str, max_out_of_orderness_ms: int) -> DataFrame:
-    """Declares event time. Spark watermarks TIMESTAMP only, so other types are converted."""
+    """Declares event time. Spark watermarks TIMESTAMP only, so other types are converted. Late rows
+    of a stream are recorded from here on."""
+    if df.isStreaming:
+        watch(df.sparkSession)
     field = df.schema[column].dataType
     if not isinstance(field, T.TimestampType):
         df = df.withColumn(column, to_timestamp(F.col(column), field.simpleString()))
