@@ -6,7 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprints, line_dedup, mixing, packing, secret_scan, simhash, toxicity, vector_search
+from ..session import fresh_path
+from . import (
+    chat, fill_middle, fingerprints, line_dedup, mixing, packing, secret_scan, simhash, token_files, toxicity, vector_search,
+)
 from .common import table
 from .oracles import CHAT, LINES, MIXING, SEARCH
 from .registry import ORACLE, QUERIES, query
@@ -15,6 +18,7 @@ from .token_counts import count_tokens
 __all__ = ["ORACLE", "QUERIES"]
 
 VOCABULARY = "byte_bpe_50k.json"
+WORDS = "word_bpe_49k.json"
 
 
 @query("op1_token_counts")
@@ -72,3 +76,21 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return toxicity.score_toxicity(docs, toxicity.train(docs, table(spark, folder, "labels")))
+
+
+@query("op12_fill_in_middle")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    made = fill_middle.fill_in_middle(docs)
+    again = fill_middle.restored(F.col("output"), F.col("form"))
+    return made.select(
+        "doc_id", "n", "form", F.col("prefix_units").alias("prefix_chars"), F.col("middle_units").alias("middle_chars"),
+        F.sha2("output", 256).alias("output_sha256"), F.sha2(again, 256).alias("restored_sha256"),
+    )
+
+
+@query("op13_token_files")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    path = fresh_path(spark, "token-files")
+    token_files.write_token_files(table(spark, folder, "documents"), path, public_tokenizers.path(WORDS))
+    return token_files.token_digests(spark, path)
