@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..session import fresh_path
 from . import (
-    chat, fill_middle, fingerprints, line_dedup, mixing, packing, secret_scan, simhash, token_files, toxicity, vector_search,
+    chat, fill_middle, fingerprints, line_dedup, mixing, packing, repair, secret_scan, simhash, token_files, toxicity, vector_search,
 )
 from .common import table
 from .oracles import CHAT, LINES, MIXING, SEARCH
@@ -78,6 +78,13 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.score_toxicity(docs, toxicity.train(docs, table(spark, folder, "labels")))
 
 
+@query("op11_structure_repair")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    turns = table(spark, folder, "conversations")
+    hurt = repair.damaged(turns, "conv_id", "turn", "role", "text")
+    return repair.repair(hurt, ids=turns.select("conv_id"))
+
+
 @query("op12_fill_in_middle")
 def op12(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")

@@ -1,0 +1,172 @@
+"""Structure repair against a plain search over whole conversations."""
+
+import hashlib
+import random
+import zlib
+from functools import lru_cache
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from millrace.llm import least_paths as lp
+from millrace.llm import repair
+from millrace.llm.queries import QUERIES
+from millrace.operators.groups import HOT_GROUP_ROWS
+from tests.conftest import SF
+
+BLANKS = " \t\n\x0b\x0c\r"
+
+
+def faults(rows):
+    seen, out = set(), []
+    for role, text in rows:
+        said = text.rstrip(BLANKS)
+        out.append("blank" if not said else "duplicate" if (role, text) in seen else "truncated" if said[-1] not in ".!?" else "")
+        seen.add((role, text))
+    return out
+
+
+def brute(rows):
+    """(cost, audit, repaired lines) of (role, text) rows: every edit tried at every place."""
+    found, n = faults(rows), len(rows)
+    onward = {"": "u", "s": "u", "u": "a", "a": "u"}
+    full = {"u": "user", "a": "assistant"}
+
+    @lru_cache(None)
+    def best(i, last, inserted):
+        options = [(0, "", ())] if i == n and last in ("", "a") else []
+        if inserted < 2:
+            cost, audit, lines = best(i, onward[last], inserted + 1)
+            options.append((cost + 5, "I" + audit, (full[onward[last]] + ":", *lines)))
+        if i < n:
+            (role, text), fault = rows[i], found[i]
+            cost, audit, lines = best(i + 1, last, 0)
+            options.append((cost + 2, "D" + audit, lines))
+            if fault not in ("blank", "duplicate"):
+                late = 5 * (fault == "truncated")
+                first = role[:1]
+                if first and (first == onward[last] or (first == "s" and last == "")):
+                    cost, audit, lines = best(i + 1, first, 0)
+                    options.append((cost + late, "K" + audit, (f"{role}:{text}", *lines)))
+                cost, audit, lines = best(i + 1, onward[last], 0)
+                options.append((cost + 1 + late, "R" + audit, (f"{full[onward[last]]}:{text}", *lines)))
+        return min(options, default=(10**9, "", ()))
+
+    return best(0, "", 0)
+
+
+def damage(rows):
+    out = []
+    for conv, turn, role, text in rows:
+        role, text = (" " if x is None else x for x in (role, text))
+        name = f"{' ' if conv is None else conv}:{' ' if turn is None else turn}"
+        kind = zlib.crc32(name.encode()) % 20
+        if kind == 1:
+            text = ""
+        elif kind == 2:
+            text = "".join(c for c in text if c not in ".!?")
+        elif kind == 4:
+            role = "user"
+        out += [(conv, turn, role, text)] * (0 if kind == 0 else 2 if kind == 3 else 1)
+    return out
+
+
+def expected(rows, ids):
+    logs = {conv: [] for conv in ids}
+    for conv, turn, role, text in rows:
+        logs[conv].append((turn, role if role is not None else " ", text if text is not None else " "))
+    out = {}
+    for conv, turns in logs.items():
+        turns.sort(key=lambda t: (t[0] is not None, t[0] or 0, t[1], t[2]))
+        said = [(r, t) for _, r, t in turns]
+        cost, audit, lines = brute(said)
+        known = [t for t, _, _ in turns if t is not None]
+        gaps = max(known) - min(known) + 1 - len(set(known)) if known else 0
+        found, initials = faults(said), [r[:1] for r, _ in said]
+        illegal = sum(a + b not in ("su", "ua", "au") for a, b in zip(initials, initials[1:]))
+        digest = hashlib.sha256("\n".join(lines).encode()).hexdigest()
+        out[conv] = (gaps, *(found.count(f) for f in ("blank", "duplicate", "truncated")), illegal, cost, audit, digest)
+    return out
+
+
+def shown(df):
+    found = df.collect()
+    assert len({r[0] for r in found}) == len(found)
+    return {r[0]: tuple(r)[1:] for r in found}
+
+
+def some_rows():
+    rng = random.Random(4)
+    rows = []
+    for conv in range(120):
+        for turn in range(rng.randint(1, 9)):
+            role = rng.choice(["user", "assistant", "user", "assistant", "system", "tool", "", None, "Usher", "sage"])
+            text = rng.choice(["yes.", "no", "a b.\n", " \t\x0b", "", "same.", None, "what?  ", "\xa0", f"line {turn}!"])
+            rows.append((conv, rng.choice([turn, turn, turn * 2, None]), role, text))
+    rows += [(200, t, "user" if t % 2 == 0 else "assistant", f"turn {t}" + "." * (t % 3 > 0)) for t in range(60)]
+    rows += [(201, 0, "user", "same.")] * 30 + [(None, t, "assistant", f"{t}.") for t in range(7)]
+    rows += [(300, None, None, None), (301, 4, "system", "alone."), (302, -5, "user", "a."), (302, 5, "user", "b.")]
+    return rows
+
+
+@pytest.mark.parametrize("run_turns, fan_in, hot", [(1024, 1024, 5_000_000), (3, 2, 10), (1, 3, 5_000_000), (7, 1024, 20)])
+def test_repairs(spark, run_turns, fan_in, hot):
+    rows = some_rows()
+    turns = spark.createDataFrame([(*r, 1) for r in rows], "conv_id bigint, turn bigint, role string, text string, _place int")
+    spark.conf.set(HOT_GROUP_ROWS, str(hot))
+    found = shown(repair.repair(turns, run_turns=run_turns, fan_in=fan_in))
+    spark.conf.unset(HOT_GROUP_ROWS)
+    assert found == expected(rows, {r[0] for r in rows})
+
+
+def test_repaired_turns(spark):
+    rows = some_rows()
+    turns = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    whole = {}
+    for r in repair.repaired_turns(turns, run_turns=4, fan_in=2).orderBy("conv_id", "place").collect():
+        lines = whole.setdefault(r.conv_id, [])
+        assert r.place == len(lines)
+        lines.append(f"{r.role}:{r.text}")
+    digests = {c: hashlib.sha256("\n".join(lines).encode()).hexdigest() for c, lines in whole.items()}
+    empty = hashlib.sha256(b"").hexdigest()
+    assert {c: digests.get(c, empty) for c in expected(rows, {r[0] for r in rows})} == {
+        c: v[-1] for c, v in expected(rows, {r[0] for r in rows}).items()
+    }
+
+
+def test_damage(spark):
+    rows = some_rows()
+    turns = spark.createDataFrame([(*r, 1) for r in rows], "conv_id bigint, turn bigint, role string, text string, _kind int")
+    found = repair.damaged(turns, "conv_id", "turn", "role", "text")
+    assert found.columns == ["conv_id", "turn", "role", "text"]
+    assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, damage(rows)))
+
+
+def test_query(spark):
+    rows = [tuple(r) for r in spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
+    found = QUERIES["op11_structure_repair"](spark, SF)
+    assert shown(found) == expected(damage(rows), {r[0] for r in rows})
+    assert dict(found.dtypes)["cost"] == dict(found.dtypes)["gaps"] == "bigint"
+
+
+def test_nothing_left(spark):
+    empty = spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string")
+    assert repair.repair(empty).count() == 0 and repair.repaired_turns(empty).count() == 0
+    ids = spark.createDataFrame([(1,), (1,), (None,)], "conv_id bigint")
+    nothing = (0, 0, 0, 0, 0, 0, "", hashlib.sha256(b"").hexdigest())
+    assert shown(repair.repair(empty, ids=ids)) == {1: nothing, None: nothing}
+
+
+def test_long_runs_agree_with_the_search():
+    """Ranks over longer and longer audits, where many arcs are equally cheap."""
+    rng = np.random.default_rng(2)
+    for _ in range(60):
+        n = int(rng.integers(0, 40))
+        kinds, fault = rng.integers(0, 4, n), rng.choice([0, 0, 1, 3], n)
+        rows = [("xsua"[k], ["fine.", "", "", "open"][f] + (str(i) + "." if f == 0 else str(i) if f else "")) for i, (k, f) in enumerate(zip(kinds, fault))]
+        rows = [(r, "" if f == 1 else t) for (r, t), f in zip(rows, fault)]
+        runs = lp.Runs((fault * 4 + kinds).astype(np.int64), np.array([n]))
+        paths = lp.least_paths(runs, lp.CLOSING[None, :], np.array([True]))
+        (audit,), (cost,) = paths.audits(np.array([lp.FRESH]))
+        assert (cost, audit.decode()) == brute(rows)[:2]
