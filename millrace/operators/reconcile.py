@@ -50,21 +50,47 @@ def stage_totals(events: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def discrepancies(tolerance_percent: float | Column = 0.0) -> Column:
-    """Array of texts, empty when the four counts of a row agree within the tolerance."""
+def batch_totals(events: DataFrame, keys: list[str]) -> DataFrame:
+    """``stage_totals`` with what batches that lost rows, and batches that doubled some, hold apart.
+
+    So a loss in one batch is not made up for by as many rows too many in another.
+    """
+    batch = F.get_json_object("metadata", "$.batch_id").alias("_batch")
+    each = stage_totals(events.select("*", batch), [*keys, "_batch"])
+    gap = F.col("transformed_count") - F.col("target_written_count")
+    apart = [
+        F.coalesce(F.sum(F.when(which, F.col(count))), F.lit(0)).alias(name)
+        for which, names in ((gap > 0, ("_lag_out", "_lag_held")), (gap < 0, ("_extra_out", "_extra_held")))
+        for count, name in zip(("transformed_count", "target_written_count"), names)
+    ]
+    return each.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in _COUNTS.values()], *apart)
+
+
+def discrepancies(tolerance_percent: float | Column = 0.0, by_batch: bool = False) -> Column:
+    """Array of texts, empty when the four counts of a row agree within the tolerance.
+
+    ``by_batch``: where some batches lost rows and others doubled some, each kind is told of its own batches.
+    """
     read, rejected = F.col("source_read_count"), F.col("schema_rejected_count")
     transformed, written = F.col("transformed_count"), F.col("target_written_count")
     tolerance = F.lit(tolerance_percent).cast("double") if isinstance(tolerance_percent, (int, float)) else tolerance_percent
-    flowed, gap = transformed > 0, transformed - written
-    loss = F.lit(100.0) * gap / F.when(flowed, transformed)
+    lag_out, lag_held, extra_out, extra_held = transformed, written, transformed, written
+    if by_batch:
+        both = (F.col("_lag_out") > 0) & (F.col("_extra_held") > 0)
+        own = lambda name, total: F.when(both, F.col(name)).otherwise(total)
+        lag_out, lag_held = own("_lag_out", transformed), own("_lag_held", written)
+        extra_out, extra_held = own("_extra_out", transformed), own("_extra_held", written)
+    # Of all that was transformed, also where the loss is that of some batches.
+    loss = F.lit(100.0) * (lag_out - lag_held) / F.when(transformed > 0, transformed)
+    flowed = transformed > 0
     return F.array_compact(
         F.array(
             F.when(rejected > 0, F.printf(F.lit(REJECTED_TEXT), rejected)),
             F.when(
-                flowed & (gap > 0) & (loss > tolerance),
-                F.printf(F.lit(LAG_TEXT), transformed, written, loss, tolerance),
+                flowed & (lag_out > lag_held) & (loss > tolerance),
+                F.printf(F.lit(LAG_TEXT), lag_out, lag_held, loss, tolerance),
             ),
-            F.when(flowed & (gap < 0), F.printf(F.lit(DUPLICATION_TEXT), written, transformed)),
+            F.when(flowed & (extra_held > extra_out), F.printf(F.lit(DUPLICATION_TEXT), extra_held, extra_out)),
             F.when(read < rejected, F.printf(F.lit(INVALID_TEXT), rejected, read)),
         )
     )
@@ -78,7 +104,8 @@ def report(
     tolerance_percent: float | Column = 0.0,
 ) -> DataFrame:
     """Report rows from rows of stage totals, with net input and target lag beside."""
-    return totals.withColumn("_found", discrepancies(tolerance_percent)).select(
+    by_batch = "_lag_out" in totals.columns
+    return totals.withColumn("_found", discrepancies(tolerance_percent, by_batch)).select(
         "run_id",
         "job_name",
         window_start.alias("window_start"),
@@ -110,9 +137,9 @@ def window_interval(label: str) -> str:
 
 
 def by_window(events: DataFrame, window: str, tolerance_percent: float = 0.0) -> DataFrame:
-    """One report per run and time window of stage-count events."""
+    """One report per run and time window of stage-count events; a batch belongs to the window of its time."""
     placed = events.withColumn("_w", F.window(F.col("ts"), window_interval(window)))
-    totals = stage_totals(placed, ["run_id", "job_name", "_w"])
+    totals = batch_totals(placed, ["run_id", "job_name", "_w"])
     return report(totals, F.col("_w.start"), F.col("_w.end"), F.lit(window), tolerance_percent)
 
 

@@ -2,8 +2,8 @@
 
 A job without audit, reconciliation and dead letters is one query from its sources to its
 target. Any other job is staged: every source is read and parsed once into classified rows, and the
-result of the query is kept before it is delivered. What a stage holds is what is counted,
-so counts are exact and outlive the process; nothing is read from a query's progress.
+counts of every batch go into a ledger as the batch commits. What was delivered is asked of the target's own
+commit log, batch by batch, so counts are exact, outlive the process, and tell which batch lost rows.
 """
 
 from __future__ import annotations
@@ -13,21 +13,21 @@ import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Observation, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import audit, reconcile
 from ..session import fresh_path, materialize, prepare
 from ..sources import connectors, ingest
 from ..sources.schema import Declared, declared
-from ..streaming import event_time
+from ..streaming import commit_log, event_time
+from ..streaming.ledger import Entry, FileStage, Ledger, observed, watch
 from . import sinks, transform
 from .spec import Job, Kafka, Source, SpecError, Target
 
-#: The time of the micro-batch that staged a row; it is the same when a batch is repeated.
-AT = "_staged_at"
+#: The ledger's name of the query's own stage; a source's is that of its table.
+MAIN, SOURCE = "main", "source"
 #: Seconds between two rounds of counting while a stream is awaited.
 ROUND_SECONDS = 60.0
 
@@ -166,56 +166,88 @@ def _envelopes(taken: Intake, job: Job) -> DataFrame:
 
 @dataclass
 class Trail:
-    """The audit trail of one run: lifecycle events, and counts of what its stages hold.
+    """The audit trail of one run: lifecycle events, and the counts of its batches.
 
-    ``counted`` gives the count events as a table, taken anew from the stages. The driver keeps
-    lifecycle events only, a handful per run.
+    A bounded run is one batch, whose counts are ``entries``; a stream's are in its ``ledger``. The driver
+    keeps lifecycle events, and the counts that are still to be passed on: a handful per batch.
     """
 
     spark: SparkSession
     job: Job
     run_id: str
-    counted: Callable[[], DataFrame | None] = lambda: None
+    ledger: Ledger | None = None
+    entries: list[Entry] = field(default_factory=list)
     events: list[dict] = field(default_factory=list)
-    _told: object = None
-    _reported: object = None
+    _told: bool = False
 
     @property
     def tags(self) -> dict[str, str]:
         return self.job.audit.tags if self.job.audit else {}
 
-    def _emit(self, rows: DataFrame) -> None:
-        if self.job.audit is not None and self.job.audit.enabled:
-            sinks.emit(rows, self.job.audit)
+    def _emit(self, rows: DataFrame) -> bool:
+        return self.job.audit is None or not self.job.audit.enabled or sinks.emit(rows, self.job.audit)
 
     def add(self, event_type: str, stage: str = audit.LIFECYCLE_STAGE, **metadata) -> None:
         note = {k: str(v) for k, v in {**self.tags, **metadata}.items()}
         self.events.append(audit.event(self.run_id, self.job.job_name, event_type, stage, 0, metadata=note))
         self._emit(audit.events_frame(self.spark, self.events[-1:]))
 
-    def counts(self) -> DataFrame | None:
-        """What the stages hold now, taken once."""
-        found = self.counted()
-        return None if found is None else materialize(found, "counts")
+    def _steps(self, stage: str, source: str) -> list[tuple[str, str, str]]:
+        """(event type, stage, count) of the events that a row of the ledger stands for."""
+        if stage == SOURCE:
+            topic = next((s.topic for s in self.job.sources if s.table_name == source), source)
+            at = audit.source_stage(topic)
+            return [(audit.SOURCE_READ, at, "read"), (audit.SOURCE_REJECTED, at, "rejected")]
+        target = audit.target_stage(self.job.target.topic)
+        return [(audit.TRANSFORM_OUTPUT, audit.TRANSFORM_STAGE, "transformed"), (audit.TARGET_WRITTEN, target, "written")]
+
+    def _as_events(self, entries: list[Entry]) -> DataFrame:
+        out = []
+        for e in entries:
+            note = {"batch_id": str(e.batch), **self.tags, **({"source": e.source} if e.source else {})}
+            if e.counts.get("late"):
+                note["late"] = str(e.counts["late"])
+            for kind, stage, count in self._steps(e.stage, e.source):
+                if count in e.counts:
+                    out.append(audit.event(self.run_id, self.job.job_name, kind, stage, e.counts[count], e.at_ms, note))
+        return audit.events_frame(self.spark, out)
+
+    def counted(self) -> DataFrame | None:
+        """All count events of the run, of earlier processes' batches too."""
+        if self.ledger is None:
+            return self._as_events(self.entries) if self.entries else None
+        if self.ledger.empty():
+            return None
+        steps = [(s, t, *step) for s, t in self.ledger.last for step in self._steps(s, t)]
+        counts = F.create_map(*[x for c in ("read", "rejected", "transformed", "written") for x in (F.lit(c), F.col(c))])
+        note = [F.col("batch").cast("string").alias("batch_id"), *[F.lit(v).alias(k) for k, v in self.tags.items()]]
+        note += [F.nullif("source", F.lit("")).alias("source"), F.when(F.col("late") > 0, F.col("late").cast("string")).alias("late")]
+        each = [
+            F.when(
+                (F.col("stage") == s) & (F.col("source") == t),
+                F.struct(F.lit(kind).alias("event_type"), F.lit(at).alias("stage"), counts[count].alias("count")),
+            )
+            for s, t, kind, at, count in steps
+        ]
+        wide = self.ledger.rows().select(
+            F.lit(self.run_id).alias("run_id"), F.lit(self.job.job_name).alias("job_name"),
+            F.timestamp_millis("at_ms").alias("ts"), F.to_json(F.struct(*note)).alias("metadata"),
+            F.inline(F.filter(F.array(*each), lambda e: e["count"].isNotNull())),
+        )
+        return wide.select(*[c.split()[0] for c in audit.EVENT_SCHEMA.split(", ")])
 
-    def close(self) -> None:
-        """From now on nothing is staged any more."""
-        found = self.counts()
-        self.counted = lambda: found
-        self.counts = self.counted
+    def catch_up(self) -> None:
+        """Enters what the stages have committed since the last round."""
+        if self.ledger is not None:
+            self.ledger.catch_up()
 
     def tell(self) -> None:
-        """Passes on the counts of batches that are new, or were not delivered when last told."""
-        if self.job.audit is None or not self.job.audit.enabled or (counts := self.counts()) is None:
-            return
-        if self._told is not None:
-            counts = counts.where(F.col("ts") >= F.lit(self._told))
-        of = lambda kind: F.sum(F.when(F.col("event_type") == kind, F.col("count")))
-        batches = counts.groupBy("ts").agg(of(audit.TRANSFORM_OUTPUT).alias("out"), of(audit.TARGET_WRITTEN).alias("held"))
-        newest, waiting = batches.agg(F.max("ts"), F.min(F.when(F.col("out") > F.col("held"), F.col("ts")))).first()
-        if newest is not None:
-            self._emit(counts)
-            self._told = min(newest, waiting or newest)
+        """Passes on the counts that no sink has taken yet; those that it takes are marked."""
+        if self.ledger is not None:
+            if (waiting := list(self.ledger.untold)) and self._emit(self._as_events(waiting)):
+                self.ledger.told(waiting)
+        elif self.entries and not self._told:
+            self._told = self._emit(self._as_events(self.entries))
 
     def frame(self) -> DataFrame:
         """All events of the run, of earlier processes' batches too; lifecycle of this process."""
@@ -228,7 +260,7 @@ class Trail:
         events = audit.once_per_batch(self.frame())
         keys = ["run_id", "job_name"]
         spans = events.groupBy(*keys).agg(F.min("ts").alias("_from"), F.max("ts").alias("_to"))
-        totals = reconcile.stage_totals(events, keys).join(spans, keys)
+        totals = reconcile.batch_totals(events, keys).join(spans, keys)
         return reconcile.report(
             totals,
             F.col("_from"),
@@ -237,27 +269,31 @@ class Trail:
             config.tolerance_percent if config else 0.0,
         )
 
-    def windows(self) -> DataFrame | None:
+    def windows(self, counts: DataFrame | None = None) -> DataFrame | None:
         """One report per window of the configured length, from the times of the counts."""
-        config, counts = self.job.reconciliation, self.counted()
+        config, counts = self.job.reconciliation, counts if counts is not None else self.counted()
         if counts is None:
             return None
         return reconcile.by_window(audit.once_per_batch(counts), config.window, config.tolerance_percent)
 
     def report_windows(self, closed_at: float | None = None) -> None:
-        """Passes on the reports of windows not yet reported; up to a moment, of closed ones only."""
+        """Passes on the reports of windows not yet reported; up to a moment, of closed ones only.
+
+        Of a stream, the counts that belong to windows still open are at hand: nothing is read.
+        """
         config = self.job.reconciliation
-        if config is None or not config.enabled or (found := self.windows()) is None:
+        if config is None or not config.enabled:
+            return
+        fresh = self.entries if self.ledger is None else self.ledger.open
+        if not fresh:
             return
+        found = self.windows(self._as_events(fresh))
         if closed_at is not None:
             found = found.where(F.col("window_end") <= F.timestamp_seconds(F.lit(closed_at)))
-        if self._reported is not None:
-            found = found.where(F.col("window_end") > F.lit(self._reported))
         found = materialize(found.select(*reconcile.REPORT_COLUMNS), "window-reports")
-        newest = found.agg(F.max("window_end")).first()[0]
-        if newest is not None:
-            sinks.emit(found, config)
-            self._reported = newest
+        newest = found.agg(F.unix_millis(F.max("window_end"))).first()[0]
+        if newest is not None and sinks.emit(found, config) and self.ledger is not None:
+            self.ledger.report_upto(newest)
 
     def reconcile(self) -> DataFrame | None:
         config = self.job.reconciliation
@@ -273,56 +309,6 @@ def _reason(error: Exception) -> str:
     return str(error).splitlines()[0] if str(error) else type(error).__name__
 
 
-# -- counts -------------------------------------------------------------------------
-
-
-def _per_batch(rows: DataFrame, counts: dict[str, object]) -> DataFrame:
-    return rows.groupBy(F.col(AT).alias("ts")).agg(*[c.alias(n) for n, c in counts.items()])
-
-
-def _as_events(trail: Trail, counted: DataFrame, kinds: list[tuple[str, str, str]], source: str | None = None) -> DataFrame:
-    """Count events from rows (ts, counts): ``kinds`` are (event type, stage, count column)."""
-    note = {**trail.tags, **({"source": source} if source else {})}
-    members = [F.col("ts").cast("string").alias("batch_id"), *[F.lit(v).alias(k) for k, v in note.items()]]
-    each = F.array(
-        *[F.struct(F.lit(k).alias("event_type"), F.lit(s).alias("stage"), F.col(c).alias("count")) for k, s, c in kinds]
-    )
-    wide = counted.select(
-        F.lit(trail.run_id).alias("run_id"), F.lit(trail.job.job_name).alias("job_name"), "ts",
-        F.to_json(F.struct(*members)).alias("metadata"), each.alias("_each"),
-    )
-    columns = [c.split()[0] for c in audit.EVENT_SCHEMA.split(", ")]
-    return wide.select("*", F.inline("_each")).select(*columns)
-
-
-def _counts(trail: Trail, intakes: list[tuple[Source, DataFrame]], result: DataFrame, written: int) -> DataFrame:
-    """Count events of everything staged so far, and of the ``written`` rows that the target holds.
-
-    Results reach the target in the order of their batches, so the rows there are those of
-    the oldest batches; what is missing is missing at the end, and what is too many is there too.
-    """
-    target = audit.target_stage(trail.job.target.topic)
-    events = []
-    for source, verdicts in intakes:
-        counts = {"read": F.count(F.lit(1)), "rejected": F.count_if(F.col("error_type").isNotNull())}
-        stage = audit.source_stage(source.topic)
-        kinds = [(audit.SOURCE_READ, stage, "read"), (audit.SOURCE_REJECTED, stage, "rejected")]
-        events.append(_as_events(trail, _per_batch(verdicts, counts), kinds, source.table_name))
-    batches = _per_batch(result, {"transformed": F.count(F.lit(1))})
-    # One row per batch.
-    along = Window.orderBy("ts").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    last = F.lead("ts").over(Window.orderBy("ts")).isNull()
-    placed = batches.select("ts", "transformed", F.sum("transformed").over(along).alias("upto"), last.alias("last"))
-    left = F.lit(written) - (F.col("upto") - F.col("transformed"))
-    held = F.greatest(F.lit(0), F.when(F.col("last"), left).otherwise(F.least(left, F.col("transformed"))))
-    kinds = [(audit.TRANSFORM_OUTPUT, audit.TRANSFORM_STAGE, "transformed"), (audit.TARGET_WRITTEN, target, "written")]
-    events.append(_as_events(trail, placed.withColumn("written", held.cast("bigint")), kinds))
-    out = events[0]
-    for more in events[1:]:
-        out = out.unionByName(more)
-    return out
-
-
 # -- bounded ------------------------------------------------------------------------
 
 
@@ -352,18 +338,27 @@ def _differing(job: Job, delivered: DataFrame) -> DataFrame | None:
 
 
 def deliver(result: DataFrame, target: Target, write: Write = connectors.write_outgoing) -> int:
-    """Writes the rows; how many more the target holds then.
+    """Writes the rows; how many of them the target holds then.
 
-    A topic does not tell whose rows it holds: there, those that the producer has taken count.
+    Of a folder, the files that are new are counted. A topic does not tell whose rows it holds:
+    there, those that the producer has taken count.
     """
-    rows = connectors.outgoing(result, target)
-    if target.type.upper() == "KAFKA":
-        sent = Observation("sent")
-        write(rows.observe(sent, F.count(F.lit(1)).alias("rows")), target)
-        return sent.get["rows"]
-    before = 0 if target.mode == "overwrite" else connectors.held(result.sparkSession, target)
+    rows, kind, spark = connectors.outgoing(result, target), target.type.upper(), result.sparkSession
+    if kind == "KAFKA":
+        return _taken(rows, target, write)
+    if kind == "FILE":
+        before = set() if target.mode == "overwrite" else connectors.files_of(spark, target)
+        write(rows, target)
+        return connectors.rows_in(spark, target, sorted(connectors.files_of(spark, target) - before))
+    before = 0 if target.mode == "overwrite" else connectors.held(spark, target)
     write(rows, target)
-    return connectors.held(result.sparkSession, target) - before
+    return connectors.held(spark, target) - before
+
+
+def _taken(rows: DataFrame, target: Target, write: Write) -> int:
+    sent = Observation("sent")
+    write(rows.observe(sent, F.count(F.lit(1)).alias("rows")), target)
+    return sent.get["rows"]
 
 
 def run_batch(spark: SparkSession, job: Job, write: Write = connectors.write_outgoing) -> BatchRun:
@@ -392,10 +387,7 @@ def run_batch(spark: SparkSession, job: Job, write: Write = connectors.write_out
             trail.add(audit.TARGET_FAILED, audit.target_stage(job.target.topic), error=_reason(error))
             raise
         if _tracked(job):
-            moment = F.current_timestamp().alias(AT)
-            staged = [(t.source, t.verdicts.select("error_type", moment)) for t in intakes]
-            trail.counted = lambda: _counts(trail, staged, result.select(moment), written)
-            trail.close()
+            trail.entries = _batch_entries(intakes, result, written)
             trail.tell()
         trail.add(audit.JOB_COMPLETED)
     except Exception as error:
@@ -404,6 +396,14 @@ def run_batch(spark: SparkSession, job: Job, write: Write = connectors.write_out
     return BatchRun(trail.run_id, trail, trail.reconcile(), _differing(job, result))
 
 
+def _batch_entries(intakes: list[Intake], result: DataFrame, written: int) -> list[Entry]:
+    now, entries = time.time_ns() // 1_000_000, []
+    for taken in intakes:
+        counts = taken.verdicts.agg(*ingest.intake_metrics()).first().asDict()
+        entries.append(Entry(SOURCE, taken.source.table_name, 0, now, 0, counts))
+    return [*entries, Entry(MAIN, "", 0, now, 0, {"transformed": result.count(), "written": written})]
+
+
 # -- streams ------------------------------------------------------------------------
 
 
@@ -411,17 +411,16 @@ def run_batch(spark: SparkSession, job: Job, write: Write = connectors.write_out
 class StreamRun:
     """The queries of a streaming job, in the order in which rows pass them.
 
-    A staged job has one intake per source, one query for a source's dead letters, the main query
-    and, if counts are wanted, the delivery. ``_later`` starts what has to wait: a run over what is
-    available starts a query when the one before it has ended.
+    A staged job has one intake per source, one query for a source's dead letters, and the main query,
+    which delivers.
     """
 
     trail: Trail
     main: StreamingQuery
     intakes: dict[str, StreamingQuery]
     letters: dict[str, StreamingQuery] = field(default_factory=dict)
-    delivery: StreamingQuery | None = None
-    _later: Callable[[], StreamingQuery] | None = None
+    trim: Callable[[], None] = lambda: None
+    in_flight: Callable[[], float] = time.time
     _counted_at: float = 0.0
 
     @property
@@ -429,14 +428,16 @@ class StreamRun:
         return self.trail.run_id
 
     def queries(self) -> list[StreamingQuery]:
-        last = [] if self.delivery is None else [self.delivery]
-        return [*self.intakes.values(), *self.letters.values(), self.main, *last]
+        return [*self.intakes.values(), *self.letters.values(), self.main]
 
     def poll(self) -> None:
-        """Passes on new counts, and the reports of windows that have closed."""
+        """A round: enters and passes on new counts, reports windows that have closed, trims what is done with."""
         self._counted_at = time.time()
+        closed = self.in_flight()
+        self.trail.catch_up()
         self.trail.tell()
-        self.trail.report_windows(closed_at=self._counted_at)
+        self.trail.report_windows(closed_at=closed)
+        self.trim()
 
     def _wait(self, queries: list[StreamingQuery], deadline: float | None) -> bool:
         """False when the time is up. Raises the error of any query at once."""
@@ -463,12 +464,9 @@ class StreamRun:
         try:
             if not self._wait(self.queries(), deadline):
                 return None
-            if self._later is not None:
-                self.delivery, self._later = self._later(), None
-                if not self._wait(self.queries(), deadline):
-                    return None
         except Exception as error:
             self._stop()
+            self.trail.catch_up()
             self.trail.tell()
             self.trail.add(audit.JOB_FAILED, error=_reason(error))
             raise
@@ -483,10 +481,11 @@ class StreamRun:
             query.stop()
 
     def _end(self, event_type: str) -> DataFrame | None:
-        self.trail.close()
+        self.trail.catch_up()
         self.trail.tell()
         self.trail.add(event_type)
         self.trail.report_windows()
+        self.trim()
         return self.trail.reconcile()
 
 
@@ -527,24 +526,67 @@ class _Flow:
     def folder(self, name: str) -> str:
         return f"{self.checkpoint}/staged/{name}"
 
+    def checkpoint_of(self, name: str) -> str:
+        return f"{self.checkpoint}/{name}"
+
     def stage(self, rows: DataFrame, name: str) -> StreamingQuery:
         _make_folder(self.spark, self.folder(name))
-        stamped = rows.withColumn(AT, F.current_timestamp())
-        return self.start(stamped.writeStream.format("parquet").option("path", self.folder(name)), name)
+        return self.start(rows.writeStream.format("parquet").option("path", self.folder(name)), name)
 
     def following(self, rows: DataFrame, name: str) -> DataFrame:
         """What ``stage`` commits of ``rows``, as a stream."""
         return self.spark.readStream.schema(rows.schema).parquet(self.folder(name))
 
-    def committed(self, rows: DataFrame, name: str) -> DataFrame:
-        """What ``stage`` has committed of ``rows`` so far."""
-        schema = T.StructType([*rows.schema.fields, T.StructField(AT, T.TimestampType())])
-        return self.spark.read.schema(schema).parquet(self.folder(name))
 
+class _Trim:
+    """Deletes staged files that every query behind them has committed and the ledger has counted.
 
-def run_stream(spark: SparkSession, job: Job, available_now: bool = False) -> StreamRun:
+    A query with several sources may read one folder twice: its files stay for one more batch, when all
+    its sources have taken them.
+    """
+
+    def __init__(self, flow: _Flow, ledger: Ledger, followers: dict[str, list[str]]):
+        self.flow, self.ledger, self.followers = flow, ledger, followers
+        self.seen: dict[str, int] = {}
+        self.waiting: dict[str, set[str]] = {}
+        self.entered: dict[str, tuple[int, int]] = {}
+        self.counted: set[str] = set()
+
+    def __call__(self) -> None:
+        spark = self.flow.spark
+        for table, followers in self.followers.items():
+            last = self.ledger.last.get((SOURCE, table))
+            if last is None:
+                continue
+            batch, files = self.entered.get(table, (-1, 0))
+            for done in commit_log.sink_batches(spark, self.flow.folder(f"intake-{table}"), batch, files):
+                if done.batch <= last.batch:
+                    self.counted.update(_name(f) for f in done.files)
+                    self.entered[table] = (done.batch, done.upto)
+            own = f"/staged/intake-{table}/"
+            for follower in followers:
+                checkpoint = self.flow.checkpoint_of(follower)
+                upto, mark = commit_log.committed_upto(spark, checkpoint) - 1, f"{table}/{follower}"
+                taken = commit_log.source_files(spark, checkpoint, self.seen.get(mark, -1), upto)
+                for file in taken:
+                    if own in file:
+                        self.waiting.setdefault(file, set()).add(follower)
+                self.seen[mark] = max(upto, self.seen.get(mark, -1))
+            gone = [f for f, by in self.waiting.items() if own in f and len(by) == len(followers) and _name(f) in self.counted]
+            for file in gone:
+                commit_log.delete(spark, file)
+                self.counted.discard(_name(file))
+                del self.waiting[file]
+
+
+def _name(file: str) -> str:
+    return file.rsplit("/", 1)[-1]
+
+
+def run_stream(spark: SparkSession, job: Job, available_now: bool = False, write: Write | None = None) -> StreamRun:
     """Starts the job's streams. ``available_now`` works off what is there and ends; it returns
-    when the sources are staged and the main query has started."""
+    when the sources are staged and the main query has started. ``write`` puts the rows of a batch into
+    the target; whatever it does, the target is asked what it holds of the batch."""
     prepare(spark)
     check_checkpoint(job.engine.checkpoint_dir)
     if not job.engine.checkpoint_dir and not available_now:
@@ -554,7 +596,7 @@ def run_stream(spark: SparkSession, job: Job, available_now: bool = False) -> St
     trail.add(audit.JOB_SUBMITTED)
     flow = _Flow(spark, job, checkpoint, available_now)
     try:
-        run = _start_staged(flow, trail) if _staged(job) else _start_direct(flow, trail)
+        run = _start_staged(flow, trail, write) if _staged(job) else _start_direct(flow, trail)
         trail.add(audit.JOB_RUNNING)
         return run
     except Exception as error:
@@ -569,61 +611,116 @@ def _start_direct(flow: _Flow, trail: Trail) -> StreamRun:
     return StreamRun(trail, flow.start(connectors.stream_writer(result, flow.job.target), "main"), {})
 
 
-def _start_staged(flow: _Flow, trail: Trail) -> StreamRun:
+def _start_staged(flow: _Flow, trail: Trail, write: Write | None) -> StreamRun:
     spark, job = flow.spark, flow.job
-    intakes, letters, staged = {}, {}, []
+    if _tracked(job):
+        watch(spark)
+        trail.ledger = Ledger(spark, f"{flow.checkpoint}/ledger")
+    intakes, letters, staged, followers = {}, {}, [], {}
     for source in job.sources:
         raw = connectors.read(spark, source, streaming=True, parallelism=job.engine.parallelism)
         rows, schema = classified(raw, source)
         name = f"intake-{source.table_name}"
-        intakes[source.table_name] = flow.stage(rows, name)
+        query = flow.stage(_watched(rows, trail), name)
+        intakes[source.table_name] = query
+        followers[source.table_name] = [MAIN]
+        if trail.ledger is not None:
+            recount = _verdicts_by_file(spark)
+            stage = FileStage(SOURCE, source.table_name, flow.folder(name), flow.checkpoint_of(name), recount, query=query)
+            trail.ledger.stages.append(stage)
         taken = Intake(source, _timed(ingest.accepted(flow.following(rows, name)), source), flow.following(rows, name), schema)
         transform.register(source, taken.view)
-        staged.append((source, rows, name, taken))
+        staged.append((source, taken))
     if flow.trigger.get("availableNow"):
         for query in intakes.values():
             query.awaitTermination()
-    for source, _, _, taken in staged:
+    for source, taken in staged:
         if (target := _dlq_target(job, taken)) is not None:
             name = f"letters-{source.table_name}"
             letters[source.table_name] = flow.start(connectors.message_stream(_envelopes(taken, job), target), name)
+            followers[source.table_name].append(name)
     result = transform.run_sql(spark, job.transformation)
-    if not _tracked(job):
-        return StreamRun(trail, flow.start(connectors.stream_writer(result, job.target), "main"), intakes, letters)
-
-    main = flow.stage(result, "main")
-    trail.counted = lambda: _counts(
-        trail,
-        [(source, flow.committed(rows, name)) for source, rows, name, _ in staged],
-        flow.committed(result, "main"),
-        _written(flow, trail, result),
-    )
+    if trail.ledger is None:
+        return StreamRun(trail, flow.start(connectors.stream_writer(result, job.target), MAIN), intakes, letters)
+    main = _start_main(flow, trail, result, write)
+    stages = list(trail.ledger.stages)
+
+    def in_flight() -> float:
+        """Since when a batch may be under way whose counts are not known: windows before that are closed."""
+        since = [time.time()]
+        for checkpoint in [s.checkpoint for s in stages] + [flow.checkpoint_of(MAIN)]:
+            begun = max((int(n) for n in commit_log.names(spark, f"{checkpoint}/offsets") if n.isdigit()), default=-1)
+            if begun > commit_log.committed_upto(spark, checkpoint):
+                since.append((commit_log.batch_time(spark, checkpoint, begun) or 0) / 1000)
+        return min(since)
+
+    return StreamRun(trail, main, intakes, letters, _Trim(flow, trail.ledger, followers), in_flight)
+
+
+def _watched(rows: DataFrame, trail: Trail) -> DataFrame:
+    if trail.ledger is None:
+        return rows
+    return observed(rows, read=F.count(F.lit(1)), rejected=F.count_if(F.col("error_type").isNotNull()))
+
+
+def _verdicts_by_file(spark: SparkSession) -> Callable[[list[str]], DataFrame]:
+    def count(files: list[str]) -> DataFrame:
+        rows = spark.read.schema("error_type string").parquet(*files)
+        return rows.groupBy(F.col("_metadata.file_name").alias("file")).agg(
+            F.count(F.lit(1)).alias("read"), F.count_if(F.col("error_type").isNotNull()).alias("rejected")
+        )
 
-    def deliver_stream() -> StreamingQuery:
-        rows = flow.following(result, "main")
-        return flow.start(connectors.stream_writer(rows, job.target, trail.run_id), "delivery")
+    return count
 
-    if flow.trigger.get("availableNow"):
-        return StreamRun(trail, main, intakes, letters, _later=deliver_stream)
-    return StreamRun(trail, main, intakes, letters, delivery=deliver_stream())
 
+def _start_main(flow: _Flow, trail: Trail, result: DataFrame, write: Write | None) -> StreamingQuery:
+    """The main query, which delivers.
+
+    A folder is written by Spark's file sink, whose log tells the files of every batch. Into any other
+    target, and by a ``write`` of the caller's, batches are put one by one.
+    """
+    spark, target, checkpoint = flow.spark, flow.job.target, flow.checkpoint_of(MAIN)
+    if target.type.upper() == "FILE" and not target.batch_columns and write is None:
+        begun = commit_log.names(spark, f"{checkpoint}/offsets")
+        if not begun and commit_log.names(spark, f"{target.path}/{commit_log.SINK_LOG}"):
+            raise SpecError(f"{target.path} holds the log of another stream: its batches would be taken for this one's")
+        rows = observed(connectors.outgoing(result, target), transformed=F.count(F.lit(1)))
+        query = flow.start(connectors.message_stream(rows, target), MAIN)
+        held = lambda name: lambda files: connectors.rows_by_file(spark, target, files, name)
+        trail.ledger.stages.append(
+            FileStage(MAIN, "", target.path, checkpoint, held("transformed"), held("written"), query)
+        )
+        return query
+    return flow.start(result.writeStream.foreachBatch(_Delivery(flow, trail, write)), MAIN)
 
-def _written(flow: _Flow, trail: Trail, result: DataFrame) -> int:
-    """Rows of this run that the target holds.
 
-    A topic cannot tell: there, the rows of the batches that the delivery has committed count,
-    as its checkpoint has them.
+class _Delivery:
+    """Puts batches into a target that keeps no log of them.
+
+    A batch is kept in the shared folder until the target has taken it and the ledger has its counts, so
+    that its rows are the same when it is repeated. A batch that the ledger has is not sent again.
     """
-    target = flow.job.target
-    if target.type.upper() != "KAFKA":
-        return connectors.held(flow.spark, target, trail.run_id)
-    path = f"{flow.checkpoint}/delivery/commits"
-    if not connectors.folder_exists(flow.spark, path):
-        return 0
-    # A commit's file is written after its batch has been taken by the topic.
-    done = flow.spark.read.text(path).select(F.max(F.col("_metadata.file_modification_time"))).first()[0]
-    rows = flow.committed(result, "main")
-    return 0 if done is None else rows.where(F.col("_metadata.file_modification_time") < F.lit(done)).count()
+
+    def __init__(self, flow: _Flow, trail: Trail, write: Write | None):
+        self.flow, self.trail = flow, trail
+        self.write = write or connectors.write_outgoing
+
+    def __call__(self, batch: DataFrame, number: int) -> None:
+        last = self.trail.ledger.last.get((MAIN, ""))
+        if last is not None and last.batch >= number:
+            return
+        spark, target, folder = batch.sparkSession, self.flow.job.target, self.flow.folder(f"{MAIN}/{number}")
+        batch.write.mode("overwrite").parquet(folder)
+        rows = spark.read.schema(batch.schema).parquet(folder)
+        transformed = rows.count()
+        if target.batch_columns:
+            connectors.write_batch(connectors.outgoing(rows, target), target, self.trail.run_id, number, self.write)
+            written = connectors.held(spark, target, self.trail.run_id, number)
+        else:
+            written = _taken(connectors.outgoing(rows, target), target, self.write)
+        at = commit_log.batch_time(spark, self.flow.checkpoint_of(MAIN), number) or time.time_ns() // 1_000_000
+        self.trail.ledger.append([Entry(MAIN, "", number, at, 0, {"transformed": transformed, "written": written})])
+        commit_log.delete(spark, folder)
 
 
 __all__ = [

@@ -129,7 +129,7 @@ class Target:
     mode: str = "append"
     partition_by: list[str] = field(default_factory=list)
     options: dict[str, str] = field(default_factory=dict)  # of Spark's writer
-    batch_columns: bool = False  # JDBC: the table has run_id and batch_id, and a repeated batch replaces itself
+    batch_columns: bool = False  # JDBC, FILE: rows lie under run_id and batch_id, and a repeated batch replaces itself
 
     @property
     def topic(self) -> str:

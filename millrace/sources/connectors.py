@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import logging
 import re
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from ..functions import serialize
 from ..plans.spec import Auth, Files, Kafka, Source, SpecError, Target, from_environment
+from ..streaming import commit_log
 from .schema import avro_schema
 
 log = logging.getLogger(__name__)
@@ -231,32 +233,65 @@ def write(df: DataFrame, target: Target) -> None:
     write_outgoing(outgoing(df, target), target)
 
 
-def folder_exists(spark: SparkSession, path: str) -> bool:
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+def _stored(spark: SparkSession, target: Target, paths: list[str]) -> DataFrame:
+    """Rows of files as a FILE target stores them, with as few columns as can be counted."""
+    if target.file_format in ("text", "json"):
+        return spark.read.text(paths)
+    if target.file_format == "csv":
+        return spark.read.schema("first string").csv(paths, multiLine=True)
+    # The number of rows is in the footers: no column is read.
+    return spark.read.format(target.file_format).load(paths)
 
 
-def held(spark: SparkSession, target: Target, run_id: str | None = None) -> int:
-    """Rows that the target holds now, asked of the target itself; with ``run_id`` and a table
-    that notes it, those of the run."""
+def files_of(spark: SparkSession, target: Target) -> set[str]:
+    """The files that a FILE target holds."""
+    if not target.path:
+        raise SpecError("a FILE target needs a path")
+    return set(_stored(spark, target, [target.path]).inputFiles()) if _has_rows(spark, target) else set()
+
+
+def _has_rows(spark: SparkSession, target: Target) -> bool:
+    return any(not n.startswith(("_", ".")) for n in commit_log.names(spark, target.path))
+
+
+def rows_in(spark: SparkSession, target: Target, files: list[str]) -> int:
+    """Rows in some files of a FILE target, as ``files_of`` names them."""
+    return _stored(spark, target, [commit_log.decoded(spark, f) for f in files]).count() if files else 0
+
+
+def rows_by_file(spark: SparkSession, target: Target, files: list[str], name: str) -> DataFrame:
+    """(file, ``name``): rows in each of ``files``, without folders; of those that are still there."""
+    there = [f for f in files if commit_log.exists(spark, f)]
+    if not there:
+        return spark.createDataFrame([], f"file string, `{name}` bigint")
+    return _stored(spark, target, there).groupBy(F.col("_metadata.file_name").alias("file")).agg(F.count(F.lit(1)).alias(name))
+
+
+def held(spark: SparkSession, target: Target, run_id: str | None = None, batch_id: int | None = None) -> int:
+    """Rows that the target holds now, asked of the target itself; of a target that notes run and
+    batch, those of the run, or of one of its batches."""
     kind = target.type.upper()
     if kind == "FILE":
-        if not folder_exists(spark, target.path):
-            return 0
-        if target.file_format in ("text", "json"):
-            return spark.read.text(target.path).count()
-        if target.file_format == "csv":
-            return spark.read.schema("first string").csv(target.path, multiLine=True).count()
-        # The number of rows is in the footers: no column is read.
-        return spark.read.format(target.file_format).load(target.path).count()
+        if run_id is not None and target.batch_columns:
+            target = replace(target, path=batch_folder(target, run_id, batch_id))
+        return _stored(spark, target, [target.path]).count() if _has_rows(spark, target) else 0
     if kind == "JDBC":
         rows = spark.read.format("jdbc").options(**jdbc_options(target)).load()
-        return (rows.where(F.col("run_id") == run_id) if run_id and target.batch_columns else rows).count()
+        if run_id and target.batch_columns:
+            rows = rows.where(F.col("run_id") == run_id)
+            rows = rows if batch_id is None else rows.where(F.col("batch_id") == batch_id)
+        return rows.count()
     if kind == "ICEBERG":
         return spark.table(target.table).count()
     raise SpecError(f"a {kind} target does not tell what it holds")
 
 
+def batch_folder(target: Target, run_id: str, batch_id: int | None = None) -> str:
+    """Where a FILE target with batch columns has a run's rows: in folders that its readers see as columns."""
+    run = f"{target.path}/run_id={run_id}"
+    return run if batch_id is None else f"{run}/batch_id={batch_id}"
+
+
 def batch_columns(rows: DataFrame, run_id: str, batch_id: int) -> DataFrame:
     return rows.withColumns({"run_id": F.lit(run_id), "batch_id": F.lit(batch_id).cast("bigint")})
 
@@ -299,14 +334,18 @@ def message_stream(rows: DataFrame, target: Target, run_id: str | None = None) -
     return _where(rows.writeStream, target)
 
 
-def write_batch(rows: DataFrame, target: Target, run_id: str | None, batch_id: int) -> None:
-    """A micro-batch into a table."""
+def write_batch(rows: DataFrame, target: Target, run_id: str | None, batch_id: int, write=None) -> None:
+    """A micro-batch into a target; ``write`` puts the rows there."""
+    write = write or write_outgoing
     if target.batch_columns:
         if run_id is None:
-            raise SpecError("a table with batch columns is written by a run")
+            raise SpecError("a target with batch columns is written by a run")
+        if target.type.upper() == "FILE":
+            write(rows, replace(target, path=batch_folder(target, run_id, batch_id), mode="overwrite", batch_columns=False))
+            return
         _execute(rows.sparkSession, target, forget_batch(target), run_id, batch_id)
         rows = batch_columns(rows, run_id, batch_id)
-    write_outgoing(rows, target)
+    write(rows, target)
 
 
 def stream_writer(df: DataFrame, target: Target, run_id: str | None = None) -> DataStreamWriter:

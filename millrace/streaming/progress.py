@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import threading
-from collections import defaultdict
 
 from pyspark.sql import SparkSession
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
@@ -13,25 +12,28 @@ PATIENCE = 60
 
 
 class LateRows(StreamingQueryListener):
-    """Records what every batch dropped as it ends, by run and batch."""
+    """Sums what the batches of a run dropped, as each ends."""
 
     def __init__(self) -> None:
         self.news = threading.Condition()
-        self.dropped: dict[str, dict[int, int]] = {}
+        #: By run: rows dropped so far, the last batch that reported, and its own rows.
+        self.dropped: dict[str, tuple[int, int, int]] = {}
         self.ended: set[str] = set()
 
     def onQueryStarted(self, event) -> None:
         with self.news:
-            self.dropped.setdefault(str(event.runId), defaultdict(int))
+            self.dropped.setdefault(str(event.runId), (0, -1, 0))
 
     def onQueryProgress(self, event) -> None:
         progress = event.progress
         rows = sum(state.numRowsDroppedByWatermark for state in progress.stateOperators)
         with self.news:
-            batches = self.dropped.get(str(progress.runId))
-            if batches is not None and rows:
+            run = str(progress.runId)
+            if run in self.dropped:
+                total, last, own = self.dropped[run]
                 # An idle trigger may report its last batch once more, without rows.
-                batches[progress.batchId] = max(rows, batches[progress.batchId])
+                more = rows if progress.batchId != last else max(rows - own, 0)
+                self.dropped[run] = (total + more, progress.batchId, max(rows, own) if progress.batchId == last else rows)
 
     def onQueryIdle(self, event) -> None:
         pass
@@ -66,4 +68,4 @@ def dropped_late(query: StreamingQuery) -> int:
             raise ValueError(f"nobody watched run {run}: call progress.watch before the query starts")
         if not query.isActive and not late.news.wait_for(lambda: run in late.ended, PATIENCE):
             raise TimeoutError(f"the records of run {run} are not complete")
-        return sum(late.dropped[run].values())
+        return late.dropped[run][0]
