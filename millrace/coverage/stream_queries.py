@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import serialize
+from ..operators import audit, reconcile
 from ..operators.joins import interval_join
 from ..plans import runner, spec
 from ..session import fresh_path
 from ..sources import connectors, ingest
 from ..streaming import event_time
+from ..streaming.ledger import OBSERVATIONS
 from ..streaming.progress import dropped_late
 from . import messages
 from .messages import CLASSED
@@ -176,11 +178,19 @@ _JOB_ORACLE = f"""WITH {CLASSED}
     FROM classed"""
 
 
-def job_spec(spark: SparkSession, folder: str, files: int | None = None) -> dict:
-    """A whole job over message files that Spark writes from the events table."""
+def _write_messages(rows: DataFrame, path: str, files: int | None) -> None:
+    rows = rows.select("value")
+    (rows.repartition(files) if files else rows).write.mode("append").text(path)
+
+
+def _add_messages(rows: DataFrame, job: spec.Job, files: int | None = None) -> None:
+    _write_messages(rows, job.sources[0].files.path, files)
+
+
+def job_spec(spark: SparkSession, folder: str, files: int | None = None, rows: DataFrame | None = None) -> dict:
+    """A whole job over message files that Spark writes from the events table, or from ``rows`` of it."""
     base = fresh_path(spark, "job")
-    raw = messages.raw_events(spark, folder)
-    (raw.repartition(files) if files else raw).write.text(f"{base}/in")
+    _write_messages(messages.raw_events(spark, folder) if rows is None else rows, f"{base}/in", files)
     return {
         "jobName": "events-job",
         "sources": [
@@ -304,6 +314,87 @@ def job_lossy_target(spark, folder):
     return reports[0].unionByName(reports[1])
 
 
+def _event_parts(spark: SparkSession, folder: str, parts: int) -> DataFrame:
+    """Event messages with the part they arrive in, by their number."""
+    return table(spark, folder, "events").select((F.col("event_id") % parts).alias("part"), messages.event_text().alias("value"))
+
+
+@query(
+    "job_ledger",
+    f"""WITH {CLASSED}
+        SELECT count(*) AS source_read_count, count(*) FILTER (WHERE error_type IS NOT NULL) AS schema_rejected_count,
+               count(*) FILTER (WHERE error_type IS NULL AND value > 20) AS transformed_count,
+               count(*) FILTER (WHERE error_type IS NULL AND value > 20) AS target_written_count,
+               24 AS source_batches, 26 AS ledger_rows
+        FROM classed""",
+)
+def job_ledger(spark, folder):
+    """24 batches, of which the first half was committed by a process that died before it counted any."""
+    form = job_spec(spark, folder, rows=_event_parts(spark, folder, 24).where("part < 12"), files=12)
+    form["sources"][0]["files"]["options"] = {"maxFilesPerTrigger": "1"}
+    job = spec.load(form)
+    for begun in runner.run_stream(spark, job, available_now=True).queries():
+        begun.awaitTermination()
+    # What the queries told is lost with their process.
+    OBSERVATIONS.counts.clear()
+    _add_messages(_event_parts(spark, folder, 24).where("part >= 12"), job, 12)
+    run = runner.run_stream(spark, job, available_now=True)
+    report = run.await_end(timeout=1800)
+    rows = run.trail.ledger.rows().agg(
+        F.count_if(F.col("stage") == "source").cast("int").alias("source_batches"), F.count(F.lit(1)).cast("int").alias("ledger_rows")
+    )
+    counts = report.select(*COUNTS).unionByName(rows, True)
+    return counts.agg(*[F.max(c).alias(c) for c in (*COUNTS, "source_batches", "ledger_rows")])
+
+
+_LOST, _DOUBLED = 40, 40
+
+_LOSS = f"""WITH {CLASSED},
+    kept AS (SELECT event_id % 4 AS part, event_id, row_number() OVER (PARTITION BY event_id % 4 ORDER BY event_id) AS n
+             FROM classed WHERE error_type IS NULL AND value > 20),
+    held AS (SELECT part, count(*) AS transformed,
+                    count(*) - count(*) FILTER (WHERE part = 1 AND n <= {_LOST}) + count(*) FILTER (WHERE part = 2 AND n <= {_DOUBLED}) AS written
+             FROM kept GROUP BY part)
+    SELECT CAST(part AS BIGINT) AS batch, transformed AS transformed_count, written AS target_written_count,
+           written < transformed AS lag, written > transformed AS duplication, transformed = written AS reconciled FROM held"""
+
+
+@query("job_loss_in_window", _LOSS)
+def job_loss_in_window(spark, folder):
+    """A target that loses rows of one batch and doubles as many of another: each shows in its own window."""
+    parts = _event_parts(spark, folder, 4)
+    form = job_spec(spark, folder, rows=parts.where("part = 0"))
+    form["target"] = {"type": "FILE", "path": f"{form['target']['path']}", "fileFormat": "parquet", "batchColumns": True}
+    form["dlq"] = {"enabled": False}
+    job = spec.load(form)
+
+    def write(rows, target):
+        part = F.col("event_id") % 4
+        first = rows.orderBy("event_id").limit(_LOST).select("event_id")
+        lossy = rows.where(part == 1).join(first, "event_id", "left_anti")
+        doubled = rows.where(part == 2).join(first, "event_id", "left_semi")
+        connectors.write_outgoing(rows.where(part != 1).unionByName(lossy).unionByName(doubled), target)
+
+    for number in range(4):
+        if number:
+            _add_messages(parts.where(F.col("part") == number), job)
+        run = runner.run_stream(spark, job, available_now=True, write=write)
+        run.await_end(timeout=1800)
+    rows = run.trail.ledger.rows().where("stage = 'main'")
+    # Every batch in a window of its own: its number stands for the time.
+    placed = rows.withColumn("at_ms", F.col("batch") * 3_600_000)
+    spread = audit.events_from_counts(
+        placed.select(F.lit("run").alias("run_id"), F.lit("job").alias("job_name"), F.lit(0).alias("read"), F.lit(0).alias("rejected"),
+                      "transformed", "written", "at_ms", "batch"),
+        F.lit("s"), F.lit("t"), F.timestamp_millis("at_ms"), F.struct(F.col("batch").cast("string").alias("batch_id")),
+    )
+    found = reconcile.by_window(spread, "1h")
+    return found.select(
+        (F.unix_seconds("window_start") / 3600).cast("bigint").alias("batch"), "transformed_count", "target_written_count",
+        F.col("discrepancies").contains("lag").alias("lag"), F.col("discrepancies").contains("duplication").alias("duplication"), "reconciled",
+    )
+
+
 @query(
     "sink_parquet_roundtrip",
     "SELECT o_orderkey, o_orderstatus, o_totalprice, epoch_us(o_orderdate) AS placed FROM orders",

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.spec import WINDOW_UNITS
+from ..streaming.ledger import Totals
 from . import audit
 
 # Texts of the discrepancies a report lists.
@@ -66,6 +69,18 @@ def batch_totals(events: DataFrame, keys: list[str]) -> DataFrame:
     return each.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in _COUNTS.values()], *apart)
 
 
+def totals_frame(spark: SparkSession, run_id: str, job_name: str, rows: list[tuple[int, int, Totals]]) -> DataFrame:
+    """What ``batch_totals`` gives, from totals that are at hand: (from, to, totals) in epoch milliseconds."""
+    records = []
+    for begin, end, t in rows:
+        sums = dict(zip(_COUNTS.values(), (t.counts[c] for c in ("read", "rejected", "transformed", "written"))))
+        apart = dict(zip(("_lag_out", "_lag_held", "_extra_out", "_extra_held"), (*t.lag, *t.extra)))
+        records.append({"_from": begin, "_to": end, **sums, **apart})
+    kinds = ", ".join(f"{c}: bigint" for c in records[0]) if records else ""
+    found = spark.sql(f"SELECT inline(from_json(:rows, 'array<struct<{kinds}>>'))", args={"rows": json.dumps(records)})
+    return found.select(F.lit(run_id).alias("run_id"), F.lit(job_name).alias("job_name"), "*")
+
+
 def discrepancies(tolerance_percent: float | Column = 0.0, by_batch: bool = False) -> Column:
     """Array of texts, empty when the four counts of a row agree within the tolerance.
 
@@ -128,6 +143,12 @@ def window_label(interval_ms: Column) -> Column:
     return out
 
 
+def window_ms(label: str) -> int:
+    """Milliseconds of a window setting."""
+    window_interval(label)
+    return int(label[:-1]) * {"s": 1000, "m": 60_000, "h": 3_600_000, "d": 86_400_000}[label[-1]]
+
+
 def window_interval(label: str) -> str:
     """Spark interval of a window setting such as ``5m``, ``1h`` or ``1d``."""
     unit = {"s": "seconds", "m": "minutes", "h": "hours", "d": "days"}.get(label[-1:])

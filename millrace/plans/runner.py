@@ -22,7 +22,7 @@ from ..session import fresh_path, materialize, prepare
 from ..sources import connectors, ingest
 from ..sources.schema import Declared, declared
 from ..streaming import commit_log, event_time
-from ..streaming.ledger import Entry, FileStage, Ledger, observed, watch
+from ..streaming.ledger import Entry, FileStage, Ledger, Totals, by_window, observed, totals_of, watch
 from . import sinks, transform
 from .spec import Job, Kafka, Source, SpecError, Target
 
@@ -255,23 +255,23 @@ class Trail:
         counts = self.counted()
         return own if counts is None else own.unionByName(counts)
 
+    def _reports(self, rows: list[tuple[int, int, Totals]], label: str) -> DataFrame:
+        """Report rows from totals and their spans in epoch milliseconds. A handful of numbers: no job is run."""
+        config = self.job.reconciliation
+        found = reconcile.totals_frame(self.spark, self.run_id, self.job.job_name, rows)
+        span = [F.timestamp_millis(c) for c in ("_from", "_to")]
+        return reconcile.report(found, *span, F.lit(label), config.tolerance_percent if config else 0.0)
+
     def report(self) -> DataFrame:
+        """The report of the whole run, over the time of its events."""
         config = self.job.reconciliation
-        events = audit.once_per_batch(self.frame())
-        keys = ["run_id", "job_name"]
-        spans = events.groupBy(*keys).agg(F.min("ts").alias("_from"), F.max("ts").alias("_to"))
-        totals = reconcile.batch_totals(events, keys).join(spans, keys)
-        return reconcile.report(
-            totals,
-            F.col("_from"),
-            F.col("_to"),
-            F.lit(config.window if config else "n/a"),
-            config.tolerance_percent if config else 0.0,
-        )
+        totals = self.ledger.totals if self.ledger is not None else totals_of(self.entries)
+        times = [e["ts_ms"] for e in self.events] + [t for t in (totals.first_ms, totals.last_ms) if t is not None]
+        return self._reports([(min(times), max(times), totals)], config.window if config else "n/a")
 
-    def windows(self, counts: DataFrame | None = None) -> DataFrame | None:
-        """One report per window of the configured length, from the times of the counts."""
-        config, counts = self.job.reconciliation, counts if counts is not None else self.counted()
+    def windows(self) -> DataFrame | None:
+        """One report per window of the configured length, from the times of all counts."""
+        config, counts = self.job.reconciliation, self.counted()
         if counts is None:
             return None
         return reconcile.by_window(audit.once_per_batch(counts), config.window, config.tolerance_percent)
@@ -284,22 +284,18 @@ class Trail:
         config = self.job.reconciliation
         if config is None or not config.enabled:
             return
-        fresh = self.entries if self.ledger is None else self.ledger.open
-        if not fresh:
-            return
-        found = self.windows(self._as_events(fresh))
-        if closed_at is not None:
-            found = found.where(F.col("window_end") <= F.timestamp_seconds(F.lit(closed_at)))
-        found = materialize(found.select(*reconcile.REPORT_COLUMNS), "window-reports")
-        newest = found.agg(F.unix_millis(F.max("window_end"))).first()[0]
-        if newest is not None and sinks.emit(found, config) and self.ledger is not None:
-            self.ledger.report_upto(newest)
+        width = reconcile.window_ms(config.window)
+        open_windows = by_window(self.entries if self.ledger is None else self.ledger.open, width)
+        rows = [(at, at + width, t) for at, t in sorted(open_windows.items()) if closed_at is None or at + width <= closed_at * 1000]
+        if rows and sinks.emit(self._reports(rows, config.window).select(*reconcile.REPORT_COLUMNS), config):
+            if self.ledger is not None:
+                self.ledger.report_upto(rows[-1][1])
 
     def reconcile(self) -> DataFrame | None:
         config = self.job.reconciliation
         if config is None or not config.enabled:
             return None
-        report = materialize(self.report(), "report")
+        report = self.report()
         sinks.emit(report.select(*reconcile.REPORT_COLUMNS), config)
         self.add(audit.RECONCILIATION_COMPLETE)
         return report

@@ -49,16 +49,34 @@ def delete(spark: SparkSession, file: str) -> bool:
     return _system(spark, path).delete(path, True)
 
 
-def _lines(spark: SparkSession, file: str) -> list[str]:
-    """The lines of a log entry after its version."""
+def write_text(spark: SparkSession, file: str, text: str) -> None:
+    """A small file that is there whole or not at all."""
+    folder, name = file.rsplit("/", 1)
+    final, draft = _path(spark, file), _path(spark, f"{folder}/.{name}.draft")
+    system = _system(spark, final)
+    stream = system.create(draft, True)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+    if not system.rename(draft, final):
+        raise OSError(f"cannot write {file}")
+
+
+def read_text(spark: SparkSession, file: str) -> str:
     path = _path(spark, file)
     stream = _system(spark, path).open(path)
     try:
-        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").split("\n")[1:]
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
     finally:
         stream.close()
 
 
+def _lines(spark: SparkSession, file: str) -> list[str]:
+    """The lines of a log entry after its version."""
+    return read_text(spark, file).split("\n")[1:]
+
+
 def _records(spark: SparkSession, file: str) -> list[dict]:
     return [json.loads(line) for line in _lines(spark, file) if line.strip()]
 

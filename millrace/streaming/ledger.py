@@ -11,7 +11,9 @@ sends a row again, under the same run, stage, source and batch.
 
 from __future__ import annotations
 
+import json
 import threading
+import uuid
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
@@ -38,8 +40,46 @@ class Entry:
     files: int = 0
     counts: dict[str, int] = field(default_factory=dict)
 
-    def row(self) -> tuple:
-        return (self.stage, self.source, self.batch, self.at_ms, self.files, *[self.counts.get(c) for c in COUNTS])
+    def text(self) -> str:
+        named = {"stage": self.stage, "source": self.source, "batch": self.batch, "at_ms": self.at_ms, "files": self.files}
+        return json.dumps(named | self.counts)
+
+
+@dataclass
+class Totals:
+    """Counts of many batches, and apart from them those of batches whose target holds fewer or more rows than it was given."""
+
+    counts: dict[str, int] = field(default_factory=lambda: dict.fromkeys(COUNTS, 0))
+    lag: tuple[int, int] = (0, 0)
+    extra: tuple[int, int] = (0, 0)
+    first_ms: int | None = None
+    last_ms: int | None = None
+
+    def add(self, entry: Entry) -> None:
+        for name, value in entry.counts.items():
+            self.counts[name] += value
+        given, held = entry.counts.get("transformed", 0), entry.counts.get("written", 0)
+        if given > held:
+            self.lag = (self.lag[0] + given, self.lag[1] + held)
+        elif given < held:
+            self.extra = (self.extra[0] + given, self.extra[1] + held)
+        self.first_ms = entry.at_ms if self.first_ms is None else min(self.first_ms, entry.at_ms)
+        self.last_ms = entry.at_ms if self.last_ms is None else max(self.last_ms, entry.at_ms)
+
+
+def totals_of(entries: Iterable[Entry]) -> Totals:
+    out = Totals()
+    for entry in entries:
+        out.add(entry)
+    return out
+
+
+def by_window(entries: Iterable[Entry], width_ms: int) -> dict[int, Totals]:
+    """Totals by the start of the window that a batch's time falls into."""
+    out: dict[int, Totals] = {}
+    for entry in entries:
+        out.setdefault(entry.at_ms // width_ms * width_ms, Totals()).add(entry)
+    return out
 
 
 # -- what queries observe -----------------------------------------------------------
@@ -179,11 +219,13 @@ class Ledger:
         #: Entries of windows that may not have been reported yet.
         self.open: list[Entry] = []
         self.reported: int | None = None
+        #: Of the whole run, so that a report reads nothing.
+        self.totals = Totals()
         self._lock = threading.RLock()
         self._recover()
 
     def _read(self) -> DataFrame:
-        return self.spark.read.schema(SCHEMA).parquet(f"{self.folder}/rows")
+        return self.spark.read.schema(SCHEMA).json(f"{self.folder}/rows")
 
     def _recover(self) -> None:
         """Reads the ledger once, when a run starts or restarts."""
@@ -196,6 +238,7 @@ class Ledger:
             counts = {c: values[c] for c in COUNTS if values[c] is not None}
             entry = Entry(row["stage"], row["source"], row["batch"], row["at_ms"], row["files"], counts)
             self.last[entry.stage, entry.source] = entry
+            self.totals.add(entry)
             if told is None or entry.batch > told.get(f"{entry.stage}/{entry.source}", -1):
                 self.untold.append(entry)
             if self.reported is None or entry.at_ms >= self.reported:
@@ -215,12 +258,13 @@ class Ledger:
         """Writes rows in one file, then counts them as known."""
         with self._lock:
             if entries:
-                frame = self.spark.createDataFrame([e.row() for e in entries], SCHEMA)
-                frame.coalesce(1).write.mode("append").parquet(f"{self.folder}/rows")
+                lines = "".join(e.text() + "\n" for e in entries)
+                commit_log.write_text(self.spark, f"{self.folder}/rows/{uuid.uuid4().hex}.json", lines)
                 self.untold += entries
                 self.open += entries
                 for e in entries:
                     self.last[e.stage, e.source] = e
+                    self.totals.add(e)
 
     def catch_up(self) -> list[Entry]:
         """One round: enters the batches that stages have committed since the last."""
@@ -251,21 +295,14 @@ class Ledger:
             name = f"{e.stage}/{e.source}"
             waiting[name] = min(e.batch, waiting.get(name, e.batch))
         upto = {f"{s}/{t}": waiting.get(f"{s}/{t}", e.batch + 1) - 1 for (s, t), e in self.last.items()}
-        rows = [(n, b, self.reported) for n, b in upto.items()] or [("", -1, self.reported)]
-        frame = self.spark.createDataFrame(rows, "stage string, told bigint, reported bigint")
-        number = max((int(n) for n in commit_log.names(self.spark, f"{self.folder}/marks") if n.isdigit()), default=-1) + 1
-        frame.coalesce(1).write.parquet(f"{self.folder}/marks/{number}")
-        # Only the newest mark counts; the one before stays in case this was cut short.
-        if number >= 2:
-            commit_log.delete(self.spark, f"{self.folder}/marks/{number - 2}")
+        number = max(self._numbers(), default=-1) + 1
+        commit_log.write_text(self.spark, f"{self.folder}/marks/{number}", json.dumps({"told": upto, "reported": self.reported}))
+        # Only the newest mark counts.
+        commit_log.delete(self.spark, f"{self.folder}/marks/{number - 1}")
+
+    def _numbers(self) -> list[int]:
+        return [int(n) for n in commit_log.names(self.spark, f"{self.folder}/marks") if n.isdigit()]
 
     def _marks(self) -> dict:
-        found = sorted((int(n) for n in commit_log.names(self.spark, f"{self.folder}/marks") if n.isdigit()), reverse=True)
-        for number in found:
-            if "_SUCCESS" not in commit_log.names(self.spark, f"{self.folder}/marks/{number}"):
-                continue
-            told, reported = {}, None
-            for row in self.spark.read.parquet(f"{self.folder}/marks/{number}").toLocalIterator():
-                told[row["stage"]], reported = row["told"], row["reported"]
-            return {"told": told, "reported": reported}
-        return {}
+        number = max(self._numbers(), default=None)
+        return {} if number is None else json.loads(commit_log.read_text(self.spark, f"{self.folder}/marks/{number}"))
