@@ -165,18 +165,3 @@ def near_duplicates(
     smallest = rooted.groupBy("_root").agg(F.min("_first").alias("component_id"))
     classes = rooted.join(smallest, "_root").select("fingerprint", "component_id")
     return prints.join(classes, "fingerprint").select(key, as_hex(F.col("fingerprint")).alias("fingerprint"), "component_id")
-
-
-def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without near-duplicates: of each component the row with the smallest ``key``.
-
-    Of rows that share that ``key``, the one with the smallest text stays. Null keys come last.
-    """
-    own = free_prefix(docs)
-    found = near_duplicates(docs, key, text)
-    kept = found.where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias(f"{own}kept")).distinct()
-    rows = docs.join(kept, F.col(key).eqNullSafe(F.col(f"{own}kept")), "left_semi")
-    if not docs.groupBy(key).count().where("count > 1").isEmpty():
-        whole = F.min_by(F.struct(*docs.columns), F.coalesce(F.col(text), F.lit("")))
-        rows = rows.groupBy(F.col(key).alias(f"{own}key")).agg(whole.alias(f"{own}row")).select(f"{own}row.*")
-    return rows
