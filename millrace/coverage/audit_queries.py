@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import audit, reconcile
+from ..operators import audit, digests, reconcile
+from ..session import fresh_path
 from ..sources import ingest
 from . import messages
 from .messages import CLASSED
@@ -261,20 +262,18 @@ def audit_latest_status(spark, folder):
     )
 
 
-@query(
-    "recon_records",
-    """SELECT o_orderkey, CASE WHEN o_orderkey % 31 = 0 THEN 'missing' WHEN o_orderkey % 37 = 0 THEN 'changed'
+_RECORDS = """SELECT o_orderkey, CASE WHEN o_orderkey % 31 = 0 THEN 'missing' WHEN o_orderkey % 37 = 0 THEN 'changed'
                                ELSE 'duplicated' END AS status,
               CAST(1 AS BIGINT) AS source_rows,
               CAST(CASE WHEN o_orderkey % 31 = 0 THEN 0 WHEN o_orderkey % 37 = 0 THEN 1 ELSE 2 END AS BIGINT)
                 AS target_rows
        FROM orders WHERE o_orderkey % 31 = 0 OR o_orderkey % 37 = 0 OR o_orderkey % 41 = 0
        UNION ALL
-       SELECT -o_orderkey, 'unexpected', 0, 1 FROM orders WHERE o_orderkey % 43 = 0 AND o_orderkey <> 0""",
-)
-def recon_records(spark, folder):
-    """Orders against a damaged copy: rows dropped, changed, doubled and invented."""
-    orders = table(spark, folder, "orders")
+       SELECT -o_orderkey, 'unexpected', 0, 1 FROM orders WHERE o_orderkey % 43 = 0 AND o_orderkey <> 0"""
+
+
+def _damaged_orders(orders):
+    """A copy with rows dropped, changed, doubled and invented."""
     key = F.col("o_orderkey")
     copies = F.when(key % 31 == 0, 0).when(key % 37 == 0, 1).when(key % 41 == 0, 2).otherwise(1)
     changed = (key % 37 == 0) & (key % 31 != 0)
@@ -284,7 +283,24 @@ def recon_records(spark, folder):
         .drop("_copy")
     )
     invented = orders.where((key % 43 == 0) & (key != 0)).withColumn("o_orderkey", -key)
-    found = reconcile.records(orders, kept.unionByName(invented), ["o_orderkey"])
+    return kept.unionByName(invented)
+
+
+@query("recon_records", _RECORDS)
+def recon_records(spark, folder):
+    """Orders against a damaged copy."""
+    orders = table(spark, folder, "orders")
+    found = reconcile.records(orders, _damaged_orders(orders), ["o_orderkey"])
+    return found.select("o_orderkey", "status", "source_rows", "target_rows")
+
+
+@query("recon_digest_drill", _RECORDS)
+def recon_digest_drill(spark, folder):
+    """The same by snapshots, of which only leaves are read whose digests differ."""
+    orders, base = table(spark, folder, "orders"), fresh_path(spark, "digests")
+    digests.write_snapshot(orders, f"{base}/source", ["o_orderkey"])
+    digests.write_snapshot(_damaged_orders(orders), f"{base}/target", ["o_orderkey"])
+    found = digests.drill(spark, f"{base}/source", f"{base}/target", ["o_orderkey"], orders.schema)
     return found.select("o_orderkey", "status", "source_rows", "target_rows")
 
 

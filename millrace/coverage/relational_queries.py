@@ -121,6 +121,28 @@ def join_range(spark, folder):
     return joined.groupBy("tier", "event_type").agg(F.count(F.lit(1)).alias("events"))
 
 
+@query(
+    "join_overlap",
+    """SELECT s_suppkey, c_custkey
+       FROM (SELECT s_suppkey, s_acctbal AS low, CASE WHEN s_suppkey % 50 = 0 THEN CAST('infinity' AS DOUBLE) ELSE s_acctbal + s_suppkey % 7 END AS high
+             FROM supplier) s
+       JOIN (SELECT c_custkey, CASE WHEN c_custkey % 500 = 0 THEN CAST('-infinity' AS DOUBLE) ELSE c_acctbal END AS low,
+                    c_acctbal + c_custkey % 3 AS high FROM customer) c
+         ON s.low < c.high AND c.low < s.high AND s.low < s.high AND c.low < c.high""",
+)
+def join_overlap(spark, folder):
+    """Balances as ranges of many lengths, some of them empty or without end."""
+    balance, key = F.col("s_acctbal").cast("double"), F.col("s_suppkey")
+    suppliers = table(spark, folder, "supplier").select(
+        "s_suppkey", balance.alias("s_low"), F.when(key % 50 == 0, float("inf")).otherwise(balance + key % 7).alias("s_high")
+    )
+    balance, key = F.col("c_acctbal").cast("double"), F.col("c_custkey")
+    customers = table(spark, folder, "customer").select(
+        "c_custkey", F.when(key % 500 == 0, float("-inf")).otherwise(balance).alias("c_low"), (balance + key % 3).alias("c_high")
+    )
+    return joins.overlap_join(suppliers, customers, "s_low", "s_high", "c_low", "c_high").select("s_suppkey", "c_custkey")
+
+
 def _of_type(spark, folder, kind, prefix):
     events = table(spark, folder, "events").where(F.col("event_type") == kind)
     return events.select(

@@ -11,7 +11,8 @@ from ..operators.joins import interval_join
 from ..plans import runner, spec
 from ..session import fresh_path
 from ..sources import connectors, ingest
-from ..streaming import event_time
+from ..streaming import commit_log, event_time
+from ..streaming.keyed_table import KeyedTable
 from ..streaming.ledger import OBSERVATIONS
 from ..streaming.progress import dropped_late
 from . import messages
@@ -133,6 +134,48 @@ def stream_dedup(spark, folder):
     return _drain(once.select("event_id", "user_id", "event_type"), "dedup")
 
 
+def _in_batches(spark: SparkSession, rows: DataFrame, files: int) -> tuple[DataFrame, str]:
+    """(a stream of ``rows``, a file to a batch; a folder for what it leaves)."""
+    base = fresh_path(spark, "batches")
+    rows.repartition(files, F.pmod(F.xxhash64("event_id"), F.lit(files))).write.parquet(f"{base}/in")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", "1").parquet(f"{base}/in"), base
+
+
+def _followed(keyed: KeyedTable, stream: DataFrame, base: str) -> DataFrame:
+    """Runs the table's stream to its end, gives it its last batch once more, and reads the table."""
+    for _ in range(2):
+        keyed.follow(stream, f"{base}/checkpoint", availableNow=True).awaitTermination()
+        last = commit_log.committed_upto(keyed.spark, f"{base}/checkpoint")
+        commit_log.delete(keyed.spark, f"{base}/checkpoint/commits/{last}")
+    return keyed.read()
+
+
+@query(
+    "stream_keep_last",
+    """SELECT user_id, event_id, event_type, value FROM events
+       QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1""",
+)
+def stream_keep_last(spark, folder):
+    """The latest event of every user, kept up to date over many batches, one of them repeated."""
+    events = table(spark, folder, "events").select("user_id", "event_id", "event_type", "value", "ts")
+    stream, base = _in_batches(spark, events, 6)
+    keyed = KeyedTable(spark, f"{base}/table", events.schema, ["user_id"], ["-ts", "-event_id"], compact_after=3)
+    return _followed(keyed, stream, base).drop("ts")
+
+
+@query(
+    "stream_topn",
+    """SELECT event_type, event_id, value FROM events
+       QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) <= 25""",
+)
+def stream_topn(spark, folder):
+    """The highest values of every type: five keys share all rows."""
+    events = table(spark, folder, "events").select("event_type", "event_id", "value")
+    stream, base = _in_batches(spark, events, 5)
+    keyed = KeyedTable(spark, f"{base}/table", events.schema, ["event_type"], ["-value", "event_id"], n=25, compact_after=2)
+    return _followed(keyed, stream, base)
+
+
 @query(
     "late_rows",
     f"""WITH edge AS (SELECT date_trunc('millisecond', max(ts)) - INTERVAL {_LAG_MS // 60000} MINUTE AS mark

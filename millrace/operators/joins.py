@@ -41,28 +41,68 @@ def interval_join(
     return joined.drop("_slot", "_r_slot", *[f"_r_{k}" for k in keys])
 
 
-def range_join(points: DataFrame, ranges: DataFrame, at: str, low: str, high: str) -> DataFrame:
+#: Parts into which points are dealt to meet ranges without end.
+ENDLESS_PARTS = 16
+_ENDLESS = 1 << 20
+
+
+def levels_of(ranges: DataFrame, low: str, high: str) -> list[int]:
+    """The levels that occur among ranges, for ``range_join``: whole powers of two, so never more than some two thousand."""
+    found = ranges.where(F.col(low) < F.col(high)).select(_level(low, high).alias("_level"))
+    return found.agg(F.sort_array(F.collect_set("_level"))).first()[0]
+
+
+def _level(low: str, high: str) -> Column:
+    width = F.col(high).cast("double") - F.col(low).cast("double")
+    return F.when(width < float("inf"), F.ceil(F.log2(width))).otherwise(_ENDLESS).cast("int")
+
+
+def range_join(
+    points: DataFrame, ranges: DataFrame, at: str, low: str, high: str, levels: list[int] | None = None
+) -> DataFrame:
     """Points with ``low <= at < high``, joined by bins as wide as the ranges.
 
     A range of length up to 2**n lies on at most two bins of width 2**n, whatever its length; a
-    point is looked up once for every n that occurs among the ranges. Ranges that are empty, NULL
-    or endless on a side that holds no bin match nothing.
+    point is looked up once for every n that occurs among the ranges: those are ``levels``, which are
+    counted first if they are not given. A range without end on a side meets the points in parts of equal
+    size. Values compare as in SQL: -Infinity is a point like any other, Infinity lies in no range, NaN is above it
+    and lies in none, but a range up to NaN holds Infinity. Empty ranges and NULL ends match nothing.
     """
-    level = F.ceil(F.log2(F.col(high) - F.col(low))).cast("int")
-    laid = ranges.where(F.col(low) < F.col(high)).withColumn("_level", level)
-    # Widths are powers of two, so there are never more than some two thousand.
-    levels = laid.agg(F.sort_array(F.collect_set("_level"))).first()[0]
+    laid = ranges.where(F.col(low) < F.col(high)).withColumn("_level", _level(low, high))
+    levels = levels_of(ranges, low, high) if levels is None else levels
+    endless = F.col("_level") == _ENDLESS
 
     def bin_of(value: Column) -> Column:
-        return F.floor(value / F.pow(F.lit(2.0), F.col("_level")))
+        # Beyond 2**60 bins from zero there is no range so short: its ends would be one number.
+        quotient = value / F.pow(F.lit(2.0), F.least("_level", F.lit(1100)))
+        return F.when(F.abs(quotient) < float(1 << 60), F.floor(quotient))
 
-    laid = laid.withColumn("_bin", F.explode(F.sequence(bin_of(F.col(low)), bin_of(F.col(high)))))
+    parts = F.sequence(F.lit(0), F.lit(ENDLESS_PARTS - 1)).cast("array<bigint>")
+    bins = F.when(endless, parts).otherwise(F.sequence(bin_of(F.col(low)), bin_of(F.col(high))))
+    laid = laid.withColumn("_bin", F.explode(bins))
     looked = points.withColumn("_level", F.explode(F.array(*[F.lit(n) for n in levels]).cast("array<int>")))
-    looked = looked.withColumn("_bin", bin_of(F.col(at)))
+    part = F.pmod(F.xxhash64(*points.columns), F.lit(ENDLESS_PARTS))
+    looked = looked.withColumn("_bin", F.when(endless, part).otherwise(bin_of(F.col(at))))
     inside = (F.col(at) >= F.col(low)) & (F.col(at) < F.col(high))
     return looked.join(laid, ["_level", "_bin"]).where(inside).drop("_level", "_bin")
 
 
+def overlap_join(
+    left: DataFrame, right: DataFrame, left_low: str, left_high: str, right_low: str, right_high: str,
+    left_levels: list[int] | None = None, right_levels: list[int] | None = None,
+) -> DataFrame:
+    """Pairs of half-open ranges that overlap, each once.
+
+    Of two overlapping ranges, either the right one begins in the left, or the left one begins
+    in the right and after its beginning. Both are joins of points with ranges, and no pair is in both. Ranges
+    that are empty or have a NULL end match nothing; ends may be infinite. All column names differ.
+    """
+    sound = (left.where(F.col(left_low) < F.col(left_high)), right.where(F.col(right_low) < F.col(right_high)))
+    first = range_join(sound[1], sound[0], right_low, left_low, left_high, left_levels)
+    second = range_join(sound[0], sound[1], left_low, right_low, right_high, right_levels)
+    return first.unionByName(second.where(F.col(left_low) > F.col(right_low))).select(*left.columns, *right.columns)
+
+
 def asof_join(
     left: DataFrame,
     right: DataFrame,

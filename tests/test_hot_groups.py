@@ -226,3 +226,59 @@ def test_heat_is_found_once_and_shared(data, hot, monkeypatch):
 def test_ordinary_groups_stay_on_the_plain_path(data):
     cold, heated, rows = groups.by_heat(data, ["k"])
     assert heated is None and rows == 0 and cold is data
+
+
+INF, NAN = float("inf"), float("nan")
+
+
+def below(a, b):
+    """As in SQL: NaN is above everything."""
+    return False if a is None or b is None or a != a else True if b != b else a < b
+
+
+def not_above(a, b):
+    return a is not None and b is not None and (below(a, b) or a == b or (a != a and b != b))
+
+
+ENDS = [None, -INF, -1e308, -5.5, 0.0, 1e-300, 3.0, 4.0, 1e17, 1e300, 1e308, INF, NAN]
+
+
+def test_range_join_without_ends(spark):
+    points = spark.createDataFrame([(x,) for x in [*ENDS, 3.5, -1e200, 2.0**70]], "x double")
+    ranges = [(i, a, b) for i, (a, b) in enumerate((a, b) for a in ENDS for b in ENDS)]
+    laid = spark.createDataFrame(ranges, "r int, lo double, hi double")
+    wanted = sorted((x, r) for (x,) in points.collect() for r, a, b in ranges if not_above(a, x) and below(x, b) and below(a, b))
+    found = joins.range_join(points, laid, "x", "lo", "hi").select("x", "r").collect()
+    assert sorted(map(tuple, found)) == wanted
+    # With the levels at hand nothing is run while the plan is built.
+    levels = joins.levels_of(laid, "lo", "hi")
+    spark.sparkContext.setJobGroup("lazy", "no job")
+    lazy = joins.range_join(points, laid, "x", "lo", "hi", levels)
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("lazy")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert sorted(map(tuple, lazy.select("x", "r").collect())) == wanted
+
+
+def test_overlaps_are_told_once(spark):
+    rng = random.Random(4)
+    ends = [-INF, INF, None, NAN, *[rng.uniform(-50, 50) for _ in range(30)], *range(-5, 6)]
+    side = lambda n: [(i, rng.choice(ends), rng.choice(ends)) for i in range(n)]
+    one, two = side(120) + [(500, 0.0, 3.0)] * 2, side(120) + [(600, 0.0, 3.0), (601, 3.0, 4.0), (602, -1.0, 0.0)]
+    as_double = lambda rows: [(i, *(None if x is None else float(x) for x in r)) for i, *r in rows]
+    left = spark.createDataFrame(as_double(one), "a int, al double, ah double")
+    right = spark.createDataFrame(as_double(two), "b int, bl double, bh double")
+    wanted = sorted(
+        (a, b) for a, al, ah in as_double(one) for b, bl, bh in as_double(two)
+        if below(al, bh) and below(bl, ah) and below(al, ah) and below(bl, bh)
+    )
+    found = joins.overlap_join(left, right, "al", "ah", "bl", "bh").select("a", "b").collect()
+    assert sorted(map(tuple, found)) == wanted
+
+
+def test_a_hot_bin_is_split(spark):
+    """A third of all points in one bin: the join's partitions are cut, and nothing is lost."""
+    points = spark.range(60_000).select(F.when(F.col("id") % 3 == 0, 5.0).otherwise(F.col("id") % 1000 + 0.5).alias("x"))
+    ranges = spark.createDataFrame([(i, float(i), float(i + 1)) for i in range(1000)], "r int, lo double, hi double")
+    joined = joins.range_join(points, ranges, "x", "lo", "hi")
+    assert joined.groupBy("r").count().where("r = 5").first()["count"] == 20_000 + points.where("x > 5 and x < 6").count()
+    assert joined.count() == 60_000
