@@ -10,12 +10,14 @@ from .common import free_prefix
 
 #: A line on more than this share of a site's pages is boilerplate,
 RATIO = 0.1
-#: unless fewer pages than these hold it: on a small site every line would be frequent.
-LEAST_PAGES = 5
+#: unless it is on one page alone: on a small site every line would be frequent.
+LEAST_PAGES = 2
 
 #: For sources of documents, which are larger than web hosts: boilerplate is also a line on more than this share of
 #: a source's different texts, if at least so many of them hold it.
 SOURCE_RATIO, LEAST_TEXTS = 0.01, 10
+#: By ``RATIO``, such a source's lines go from so many documents on.
+LEAST_DOCUMENTS = 5
 #: A line of more words than this is a passage. Of so many different texts or more, of whatever source, that hold
 #: it, one keeps it. In two texts it stays: one of two near-copies without it would not be alike any more.
 PASSAGE_WORDS, PASSAGE_TEXTS = 50, 3
