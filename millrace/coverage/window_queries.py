@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import windows
+from ..operators import collect, extremes, windows
 from ..operators.groups import Heat
 from ..operators.sessions import sessions
 from .registry import query, sql_query, table
@@ -205,3 +205,56 @@ def win_first_last_desc(spark, folder):
         events, ["user_id"], {"first_event": "event_id"}, {"last_type": "event_type"}, ["-value", "event_id"]
     )
     return whole.select("user_id", "event_id", "first_event", "last_type")
+
+
+_FRAMES = (3_600_000_000, 100)
+
+
+@query(
+    "win_moving_extremes",
+    f"""WITH marked AS (
+         SELECT event_id, event_type, CASE WHEN event_id % 5 <> 0 THEN epoch_us(ts) END AS moment,
+                CASE WHEN event_id % 3 = 0 THEN value END AS amount FROM events),
+       counted AS (
+         SELECT event_id, min(amount) OVER w AS low_100, max(amount) OVER w AS high_100 FROM marked
+         WINDOW w AS (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN {_FRAMES[1]} PRECEDING AND CURRENT ROW)),
+       timed AS (
+         SELECT event_id, min(amount) OVER w AS low_1h, max(amount) OVER w AS high_1h FROM marked WHERE moment IS NOT NULL
+         WINDOW w AS (PARTITION BY event_type ORDER BY moment RANGE BETWEEN {_FRAMES[0]} PRECEDING AND CURRENT ROW)),
+       untimed AS (
+         SELECT event_id, min(amount) OVER w AS low_1h, max(amount) OVER w AS high_1h FROM marked WHERE moment IS NULL
+         WINDOW w AS (PARTITION BY event_type))
+       SELECT event_id, low_1h, high_1h, low_100, high_100
+       FROM (SELECT * FROM timed UNION ALL SELECT * FROM untimed) JOIN counted USING (event_id)""",
+)
+def win_moving_extremes(spark, folder):
+    """Least and greatest value of the last hour and of the last rows: five keys share all rows; times and values may be NULL."""
+    marked = table(spark, folder, "events").select(
+        "event_id",
+        "event_type",
+        F.when(F.col("event_id") % 5 != 0, F.unix_micros(F.col("ts").cast("timestamp"))).alias("at"),
+        F.when(F.col("event_id") % 3 == 0, F.col("value")).alias("amount"),
+    )
+    both = lambda over: {f"low_{over}": ("min", F.col("amount")), f"high_{over}": ("max", F.col("amount"))}
+    hour = extremes.range_extremes(marked, ["event_type"], "at", _FRAMES[0], both("1h"))
+    rows = extremes.rows_extremes(hour, ["event_type"], ["event_id"], _FRAMES[1], both("100"))
+    return rows.select("event_id", "low_1h", "high_1h", "low_100", "high_100")
+
+
+@query(
+    "agg_collect_segments",
+    """WITH placed AS (
+         SELECT event_type, event_id, CASE WHEN event_id % 7 <> 0 THEN user_id END AS member,
+                (row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1) // 500 AS segment,
+                row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS place
+         FROM events)
+       SELECT event_type, segment, count(*) AS members, string_agg(member::VARCHAR, ',' ORDER BY place) AS text
+       FROM placed GROUP BY event_type, segment""",
+)
+def agg_collect_segments(spark, folder):
+    """The users of every type in the order of their events: five lists that hold all rows, in pieces of 500."""
+    events = table(spark, folder, "events").select(
+        "event_type", "ts", "event_id", F.when(F.col("event_id") % 7 != 0, F.col("user_id")).alias("member")
+    )
+    listed = collect.joined(collect.segments(events, ["event_type"], ["ts", "event_id"], "member", 500))
+    return listed.select("event_type", "segment", F.size("values").cast("bigint").alias("members"), "text")
