@@ -29,6 +29,7 @@ from ..session import materialize
 #: A candidate, and how far around it its neighbours are looked for.
 CANDIDATE = re.compile(r"[A-Za-z0-9][A-Za-z0-9+/_.\-]{13,}={0,2}")
 AROUND = 40
+BLANK = re.compile(r"\s")
 #: Labelled findings of either class that the forest is fitted on, at most.
 MOST_PER_LABEL = 5_000
 TREES, DEPTH, SEED = 20, 8, 7
@@ -43,8 +44,9 @@ MADE_UP = ("test", "example", "sample", "fixture", "mock", "doc")
 _NAMES = "|".join(CREDENTIAL)
 _SIGN = r"(?:={1,3}>?|:=|:)"
 LEAD = re.compile(rf"(?ai)(?:{_NAMES})(?:[\"'\]]{{0,2}}[ \t]*{_SIGN}[ \t]*|[ \t]*(?=[\"']))")
-#: The value: up to its own quote, or up to white space without the brackets and commas before it.
-VALUE = re.compile(r"""(?a)"((?:\\.|[^"\\\n])+)"|'((?:\\.|[^'\\\n])+)'|["']?([^\s"']\S*?)(?=["',;)\]}]*(?:\s|\Z))""")
+#: The value: up to its own quote, or up to white space, without the brackets and commas before that.
+VALUE = re.compile(r"""(?:"((?:\\.|[^"\\\n])+)"|'((?:\\.|[^'\\\n])+)'|["']?([^\s"']\S*))""")
+CLOSING = "\"',;)]}"
 ANNOUNCED = rf"(?i)({_NAMES})([\"'\]]{{0,2}}\s*{_SIGN}\s*[\"']?|\s*[\"'])$"
 #: An announced number that is shorter than this may be a count as well as a secret.
 LEAST_NUMBER = 14
@@ -102,22 +104,37 @@ def _class(char: str) -> int:
     return 0 if char.isdigit() else 1 if char.islower() else 2 if char.isupper() else 3
 
 
+def announced(content: str) -> Iterator[tuple[int, int]]:
+    """Spans of the announced values. What looks like a lead within an unbroken value is part of it, so
+    the values of a text are together no longer than a few times the text."""
+    inside = 0
+    for lead in LEAD.finditer(content):
+        if lead.end() <= inside:
+            continue
+        value = VALUE.match(content, lead.end())
+        if value is None:
+            continue
+        begin, end = value.span(value.lastindex)
+        if value.lastindex == 3:
+            end = begin + 1 + len(content[begin + 1 : end].rstrip(CLOSING))
+        if not BLANK.search(content, begin, end):
+            inside = max(inside, end)
+        yield begin, end
+
+
 def candidates(content: str) -> list[tuple[int, int]]:
     """Spans of the candidates, in order. A run within an announced value without blanks is part of it."""
-    announced = set()
-    for lead in LEAD.finditer(content):
-        if value := VALUE.match(content, lead.end()):
-            announced.add(value.span(value.lastindex))
-    if not announced:
+    values = set(announced(content))
+    if not values:
         return [m.span() for m in CANDIDATE.finditer(content)]
-    whole = sorted(s for s in announced if not re.search(r"\s", content[slice(*s)]))
+    whole = sorted(s for s in values if not BLANK.search(content, *s))
     alone, last, at = [], -1, 0
     for a, b in (m.span() for m in CANDIDATE.finditer(content)):
         while at < len(whole) and whole[at][0] <= a:
             last, at = max(last, whole[at][1]), at + 1
         if b > last:
             alone.append((a, b))
-    return sorted(announced.union(alone))
+    return sorted(values.union(alone))
 
 
 def described(value: str, before: str, after: str, path: str, known: Dictionary) -> list[float]:
@@ -184,16 +201,22 @@ def by_grammar() -> Column:
     return F.when(vendor | (announced & F.col("value").rlike("[0-9]") & ~count), 1).when(plain & ~announced, 0)
 
 
-def fit(labelled: DataFrame, most_per_label: int = MOST_PER_LABEL):
-    """A forest over (features, label), fitted on at most ``most_per_label`` findings of either
-    class, the first by hash; None unless there are both classes."""
+def sampled(labelled: DataFrame, most_per_label: int = MOST_PER_LABEL) -> DataFrame:
+    """(features, label, weight): at most ``most_per_label`` different findings of either class, the first by
+    hash, each with the number of times it occurs: one that very many rows repeat takes one place."""
+    different = labelled.groupBy("features", "label").agg(F.count(F.lit(1)).cast("double").alias("weight"))
     hashed = F.xxhash64("features", "label")
-    sides = [labelled.where(F.col("label") == n).orderBy(hashed, "features").limit(most_per_label) for n in (0, 1)]
-    sample = sides[0].unionByName(sides[1]).select(F.col("label").cast("double"), array_to_vector("features").alias("vector"))
-    sample = materialize(sample.coalesce(1), "labelled")
+    sides = [different.where(F.col("label") == n).orderBy(hashed, "features").limit(most_per_label) for n in (0, 1)]
+    return sides[0].unionByName(sides[1])
+
+
+def fit(labelled: DataFrame, most_per_label: int = MOST_PER_LABEL):
+    """A forest over (features, label), fitted on the ``sampled`` findings; None unless there are both classes."""
+    vectors = sampled(labelled, most_per_label).select(F.col("label").cast("double"), array_to_vector("features").alias("vector"), "weight")
+    sample = materialize(vectors.coalesce(1), "labelled")
     if sample.select("label").distinct().count() < 2:
         return None
-    forest = RandomForestClassifier(featuresCol="vector", numTrees=TREES, maxDepth=DEPTH, seed=SEED)
+    forest = RandomForestClassifier(featuresCol="vector", weightCol="weight", numTrees=TREES, maxDepth=DEPTH, seed=SEED)
     return forest.fit(sample)
 
 

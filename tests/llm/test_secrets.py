@@ -37,3 +37,34 @@ def test_announced_secrets_are_found(spark):
     assert all(r.secret for r in found.values())
     labels = secret_scan.findings(rows, WORDS).select("doc_id", secret_scan.by_grammar().alias("label")).where(F.col("doc_id") == -1)
     assert labels.first().label is None
+
+
+@pytest.mark.parametrize("unit", ["token=", "token=\xa0", "token='", 'token="x ', "password: token:", "token=,,,,,,", "secret=\\\"", "pwd "])
+def test_long_runs_take_time_in_proportion(unit):
+    """A megabyte of leads, of each kind: what is found is no longer than a few times the text."""
+    text = unit * (1_000_000 // len(unit)) + "a"
+    found = secret_scan.candidates(text)
+    assert sum(b - a for a, b in found) <= 3 * len(text)
+    assert all(text[a:b] for a, b in found)
+    commas = "token=" + "," * 1_000_000 + "a"
+    assert secret_scan.candidates(commas) == [(6, len(commas))]
+
+
+@pytest.mark.parametrize("text, values", [
+    ("secret=a1\xa0token=b2", ["a1", "b2"]),
+    ("see ?token=abc&secret=def, there", ["abc&secret=def"]),
+    ('secret: "one token=abc two"', ["one token=abc two", "abc"]),
+    ("pwd=x'];", ["x"]),
+    ("pwd=;;", [";"]),
+])
+def test_leads_within_values(text, values):
+    assert [text[a:b] for a, b in secret_scan.candidates(text)] == values
+
+
+def test_a_repeated_finding_takes_one_place(spark):
+    rows = [([1.0, 2.0], 0)] * 3000 + [([float(i), 0.0], i % 2) for i in range(100)]
+    labelled = spark.createDataFrame(rows, "features array<double>, label int")
+    found = secret_scan.sampled(labelled, 60).collect()
+    assert len(found) == len({(tuple(r.features), r.label) for r in found}) == 101
+    assert max(r.weight for r in found) == 3000 and sum(r.weight for r in found if r.label == 1) == 50
+    assert sum(r.label == 0 for r in secret_scan.sampled(labelled, 7).collect()) == 7
