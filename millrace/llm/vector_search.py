@@ -20,18 +20,30 @@ from ..session import materialize
 CELLS = 64
 #: Queries and vectors that meet in one task: both sides are dealt into blocks of about this size.
 QUERY_BLOCK, VECTOR_BLOCK = 512, 4096
-#: Components are below this after scaling.
-MOST = 2.0**26
+#: Components are below this after scaling, so that differences of two fit a long.
+MOST = 2.0**62
 #: Products and sums below this are exact as doubles.
 EXACT_DOUBLE = 2.0**52
+#: Sums of products below this fit a long.
+EXACT_LONG = 2.0**62
+#: Doubles up to this become longs without passing their range.
+LAST_DOUBLE = 2.0**63 - 1024
+LEAST_LONG, GREATEST_LONG = -(2**63), 2**63 - 1
 
 
 def whole_numbers(vector: Column, scale: int = 256) -> Column:
-    """floor(scale * x) of each component; null if the vector or a component is null, not finite,
-    or so large that scores would leave the range of a long."""
+    """floor(scale * x) of each component; null if the vector or a component is null or not finite.
+    A component of ``MOST`` or more after scaling raises."""
     doubles = vector.cast("array<double>")
-    finite = F.forall(doubles, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) * scale < F.lit(MOST)))
-    return F.when(F.coalesce(finite, F.lit(False)), F.transform(doubles, lambda x: F.floor(x * scale)))
+    finite = F.forall(doubles, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    beyond = F.raise_error(F.lit("a component is too large for a whole number")).cast("bigint")
+    whole = F.transform(doubles, lambda x: F.when(F.abs(x) * scale < F.lit(MOST), F.floor(x * scale)).otherwise(beyond))
+    return F.when(F.coalesce(finite, F.lit(False)), whole)
+
+
+def _greatest(vector: Column) -> Column:
+    """The largest absolute component, as a double."""
+    return F.coalesce(F.array_max(F.transform(vector, F.abs)), F.lit(0)).cast("double")
 
 
 def top_k(
@@ -46,8 +58,9 @@ def top_k(
     """(query_id, rank, vec_id, score): for each row that ``asked`` selects, the ``k`` other rows
     of the highest integer inner product, ties to the smaller id; all if there are fewer.
 
-    Rows with a null id, a null vector, or null, non-finite or huge (``MOST``) components take no part; empty
-    vectors score 0. Vectors are compared with those of as many dimensions. Of rows that
+    Rows with a null id, a null vector, or null or non-finite components take no part; empty
+    vectors score 0. A component of ``MOST`` or more after scaling raises, and so does a score among the best that a
+    long cannot hold; whatever fits is exact. Vectors are compared with those of as many dimensions. Of rows that
     share an id, the one with the smallest vector takes part. Other columns are not read. An empty
     table, or no query, gives an empty result. Of equal vectors only the k + 1 smallest ids can
     appear in a result, so a vector that very many rows share is searched once.
@@ -60,8 +73,8 @@ def top_k(
     place = F.row_number().over(Window.partitionBy("v").orderBy("id"))
     members = rows.select("id", "v", place.alias("place")).where(F.col("place") <= k + 1)
     classes = members.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    classes = materialize(classes.select(F.element_at("ids", 1).alias("class"), "ids", "v"), "classes")
-    queries = rows.where("asked").select(F.col("id").alias("query_id"), F.col("v").alias("q"))
+    classes = materialize(classes.select(F.element_at("ids", 1).alias("class"), "ids", "v", _greatest(F.col("v")).alias("v_most")), "classes")
+    queries = rows.where("asked").select(F.col("id").alias("query_id"), F.col("v").alias("q"), _greatest(F.col("v")).alias("q_most"))
 
     found = materialize(_scan(classes, queries, k, query_block, vector_block), "candidates")
     scored = _read_in_order(found, classes, queries, k)
@@ -123,6 +136,23 @@ def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a.astype(np.float64) @ b.astype(np.float64)).astype(np.int64) if most < EXACT_DOUBLE else a @ b
 
 
+def _bounds(queries: np.ndarray, least: np.ndarray, spread: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Between what a query's score with any vector of a cell lies: exact ends where longs hold them, else
+    ends in doubles, moved apart by more than their rounding."""
+    most = float(np.abs(queries).max(initial=0)) * (float(np.abs(least).max(initial=0)) + float(spread.max(initial=0)))
+    dimensions = max(queries.shape[1], 1)
+    if most * dimensions < EXACT_LONG:
+        base = _product(queries, least.T)
+        return (base + _product(np.minimum(queries, 0), spread[:, None]), base + _product(np.maximum(queries, 0), spread[:, None]))
+    q, start, wide = (a.astype(np.float64) for a in (queries, least, spread[:, None]))
+    base = q @ start.T
+    slack = 1 + (np.abs(q) @ np.abs(start).T + np.abs(q) @ wide) * (dimensions + 8) * 2.0**-51
+    lower, upper = base + np.minimum(q, 0) @ wide - slack, base + np.maximum(q, 0) @ wide + slack
+    held = [np.clip(end, -LAST_DOUBLE, LAST_DOUBLE).astype(np.int64) for end in (np.floor(lower), np.ceil(upper))]
+    # Beyond the doubles that a long takes, the end of the longs is the bound.
+    return np.where(lower <= -LAST_DOUBLE, LEAST_LONG, held[0]), np.where(upper >= LAST_DOUBLE, GREATEST_LONG, held[1])
+
+
 def block_candidates(block: pd.DataFrame, ask: pd.DataFrame, k: int) -> pd.DataFrame:
     """What of a block of approximations may be among the k best of each query."""
     names = ["query_id", "class", "lower", "upper"]
@@ -130,39 +160,49 @@ def block_candidates(block: pd.DataFrame, ask: pd.DataFrame, k: int) -> pd.DataF
         return pd.DataFrame({n: pd.Series(dtype="int64") for n in names})
     low, width = (np.asarray(ask[c].iloc[0], np.int64) for c in ("low", "width"))
     least = low + _stacked(block["cells"]) * width
-    queries = _stacked(ask["q"])
-    base = _product(queries, least.T)
-    lower = base + _product(np.minimum(queries, 0), (width - 1)[:, None])
-    upper = base + _product(np.maximum(queries, 0), (width - 1)[:, None])
+    lower, upper = _bounds(_stacked(ask["q"]), least, width - 1)
     ids, alone, classes = ask["query_id"].to_numpy(), block["alone"].fillna(-1).to_numpy(np.int64), block["class"].to_numpy()
     own = (ids[:, None] == alone[None, :]) & block["alone"].notna().to_numpy()[None, :]
-    known = np.where(own, np.iinfo(np.int64).min, lower)
-    bar = np.partition(known, -k, axis=1)[:, -k] if known.shape[1] > k else np.full(len(ids), np.iinfo(np.int64).min)
+    known = np.where(own, LEAST_LONG, lower)
+    bar = np.partition(known, -k, axis=1)[:, -k] if known.shape[1] > k else np.full(len(ids), LEAST_LONG)
     query, at = np.nonzero((upper >= bar[:, None]) & ~own)
     return pd.DataFrame(dict(zip(names, (ids[query], classes[at], lower[query, at], upper[query, at]))))
 
 
+def _first(rows: DataFrame, by: str, most: int) -> DataFrame:
+    """Each query's ``most`` rows with the greatest ``by``. Every task cuts its own rows before they are shuffled."""
+    along = Window.partitionBy("query_id").orderBy(F.desc(by), "class")
+    return rows.withColumn("nth", F.row_number().over(along)).where(F.col("nth") <= most)
+
+
+def _last_of(rows: DataFrame, by: str, k: int) -> DataFrame:
+    """(query_id, ``by``): the k-th greatest, of queries with as many rows."""
+    return _first(rows.select("query_id", "class", by), by, k).where(F.col("nth") == k).select("query_id", by)
+
+
 def _read_in_order(found: DataFrame, classes: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, ids, score) of every class that can hold one of a query's k best."""
-    by_lower = Window.partitionBy("query_id").orderBy(F.desc("lower"), "class")
-    by_upper = Window.partitionBy("query_id").orderBy(F.desc("upper"), "class")
-    whole = Window.partitionBy("query_id")
-    placed = found.withColumn("nth", F.row_number().over(by_lower))
-    placed = placed.withColumn("bar", F.max(F.when(F.col("nth") == k, F.col("lower"))).over(whole))
-    placed = placed.where("bar is null or upper >= bar").withColumn("turn", F.row_number().over(by_upper))
-    placed = materialize(placed.select("query_id", "class", "upper", "turn"), "turns")
-
-    first = materialize(_exact(placed.where(F.col("turn") <= 2 * k), classes, queries), "read")
-    by_score = Window.partitionBy("query_id").orderBy(F.desc("score"), "class")
-    sure = first.select("query_id", "score", F.row_number().over(by_score).alias("nth")).where(F.col("nth") == k)
+    turns = _first(found.select("query_id", "class", "upper"), "upper", 2 * k).select("query_id", "class")
+    first = materialize(_exact(turns, classes, queries), "read")
     # Without a k-th score, all candidates have been read.
-    open_ = placed.where(F.col("turn") > 2 * k).join(sure.select("query_id", F.col("score").alias("kth")), "query_id")
-    rest = _exact(open_.where("upper >= kth"), classes, queries)
+    bars = _last_of(found, "lower", k).join(_last_of(first, "score", k), "query_id")
+    bars = bars.select("query_id", F.greatest("lower", "score").alias("bar"))
+    open_ = found.join(bars, "query_id").where("upper >= bar").select("query_id", "class")
+    rest = _exact(open_.join(first.select("query_id", "class"), ["query_id", "class"], "left_anti"), classes, queries)
     return first.unionByName(rest).select("query_id", "ids", "score")
 
 
 def _exact(wanted: DataFrame, classes: DataFrame, queries: DataFrame) -> DataFrame:
-    pairs = F.zip_with("v", "q", lambda x, y: x * y)
-    score = F.aggregate(pairs, F.lit(0).cast("bigint"), lambda total, x: total + x)
+    """Exact scores: in longs where no sum can pass one, else in decimals; a score beyond a long raises."""
+
+    def summed(kind: str, product) -> Column:
+        return F.aggregate(F.zip_with("v", "q", product), F.lit(0).cast(kind), lambda total, x: (total + x).cast(kind))
+
+    narrow = summed("bigint", lambda x, y: x * y)
+    wide = summed("decimal(38,0)", lambda x, y: x.cast("decimal(19,0)") * y.cast("decimal(19,0)"))
+    fits = wide.between(F.lit(LEAST_LONG), F.lit(GREATEST_LONG))
+    beyond = F.raise_error(F.lit("a score is too large for a long")).cast("bigint")
+    short = F.col("v_most") * F.col("q_most") * F.size("v") < F.lit(EXACT_LONG)
+    score = F.when(short, narrow).when(fits, wide.cast("bigint")).otherwise(beyond)
     read = wanted.select("query_id", "class").join(classes, "class").join(queries, "query_id")
     return read.select("query_id", "class", "ids", score.alias("score"))
