@@ -15,13 +15,15 @@ from ..operators.windows import running
 
 #: The marks around a turn.
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
+#: What begins a mark, with the backslashes that escape it already: one more goes before its bar.
+BEGINS, ESCAPED = r"<(\\*)\|", r"<\\$1|"
 #: Turns written into one row of text. A conversation of more turns takes several rows, so
 #: that no row and no group grows with the longest conversation.
 SEGMENT_TURNS = 256
 
 
 def _filled(text: Column) -> Column:
-    return F.coalesce(text, F.lit(""))
+    return F.regexp_replace(F.coalesce(text, F.lit("")), BEGINS, ESCAPED)
 
 
 def _hash(purpose: str) -> Column:
@@ -78,7 +80,9 @@ def chat_texts(
     A conversation of up to ``segment_turns`` turns is one row, segment 0; the texts of a longer
     one, in the order of their segments, make up its whole. Turns are ordered by turn, then role,
     then text, nulls first, so ties have one order and repeated rows are repeated turns. Null
-    roles and texts are written as empty. Rows of a null conversation are one
+    roles and texts are written as empty. What would read as a mark in a role or text is escaped: ``<|`` is written
+    as ``<\\|``, and one backslash more is put where there are some between the two, so no turn can be forged and
+    taking one backslash away restores every text. Rows of a null conversation are one
     conversation, the largest among equal ones. An empty table gives an empty result.
     """
     prefixed = prefixes(turns, conversation, turn, role, text)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .chat import CLOSE, OPEN, SEGMENT_TURNS
+from .chat import BEGINS, CLOSE, OPEN, SEGMENT_TURNS
 from .line_dedup import HIDDEN, HOST, LEAST_PAGES, RATIO, TAG
 from .mixing import BINS, BUDGET, MOST_EPOCHS, SEED, WEIGHTS
 
@@ -31,6 +31,11 @@ SELECT t.page_id, t.host, CASE WHEN t.text IS NOT NULL THEN coalesce(k.text, '')
 FROM texts t LEFT JOIN kept k USING (page_id)
 """
 
+
+def _unmarked(column: str) -> str:
+    return rf"regexp_replace(coalesce({column}, ''), '{BEGINS}', '<\\\1|', 'g')"
+
+
 CHAT = f"""
 WITH placed AS (
   SELECT *, row_number() OVER o AS place, lead(turn) OVER o IS NULL AS last
@@ -43,7 +48,7 @@ WITH placed AS (
 ), whole AS (SELECT min(conv_id) AS conv_id, said FROM prefixed WHERE last GROUP BY said),
 kept AS (SELECT conv_id FROM whole WHERE said NOT IN (SELECT said FROM prefixed WHERE NOT last))
 SELECT conv_id, (place - 1) // {SEGMENT_TURNS} AS segment, count(*) AS n_turns,
-  string_agg('{OPEN}' || coalesce(role, '') || chr(10) || coalesce(text, '') || '{CLOSE}' || chr(10), '' ORDER BY place) AS text
+  string_agg('{OPEN}' || {_unmarked("role")} || chr(10) || {_unmarked("text")} || '{CLOSE}' || chr(10), '' ORDER BY place) AS text
 FROM placed JOIN kept USING (conv_id)
 GROUP BY conv_id, (place - 1) // {SEGMENT_TURNS}
 """
