@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import joins
+from ..operators import distincts, joins
 from ..operators.windows import newest_per_key
+from ..session import materialize
 from .registry import query, sql_query, table
 
 # Sums run over DECIMAL so that the result does not depend on the order of addition; small
@@ -247,6 +248,27 @@ sql_query(
        FROM lineitem GROUP BY l_returnflag""",
 )
 
+@query(
+    "distinct_by_span",
+    """WITH days AS (SELECT DISTINCT CAST(ts AS DATE) AS last_day FROM events),
+       spans AS (SELECT strftime(last_day, '%Y-%m-%d') AS span, last_day - 6 AS first_day, last_day FROM days
+                 UNION ALL SELECT 'all', min(last_day), max(last_day) FROM days)
+       SELECT event_type, span, count(DISTINCT user_id) AS users, true AS near
+       FROM events JOIN spans ON CAST(ts AS DATE) BETWEEN first_day AND last_day GROUP BY event_type, span""",
+)
+def distinct_by_span(spark, folder):
+    """Users of the seven days up to each day, and of all days: merged from sketches per day, and exactly."""
+    events = table(spark, folder, "events")
+    sketches = materialize(distincts.day_sketches(events, ["event_type"], "ts", "user_id"), "day-sketches")
+    days = sketches.select("day").distinct()
+    spans = days.select(F.col("day").cast("string").alias("span"), F.date_sub("day", 6).alias("first_day"), F.col("day").alias("last_day"))
+    spans = spans.unionByName(days.agg(F.lit("all").alias("span"), F.min("day").alias("first_day"), F.max("day").alias("last_day")))
+    counted = distincts.exact(events, ["event_type"], "ts", "user_id", spans)
+    found = distincts.estimated(sketches, ["event_type"], spans)
+    near = distincts.within(F.coalesce("estimate", F.lit(0)), F.col("exact"))
+    return counted.join(found, ["event_type", "span"], "left").select("event_type", "span", F.col("exact").alias("users"), near.alias("near"))
+
+
 sql_query(
     "select_distinct",
     "customer",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import serialize
 from ..operators import audit, reconcile
-from ..operators.joins import interval_join
+from ..operators.joins import asof_within, interval_join
 from ..plans import runner, spec
 from ..session import fresh_path
 from ..sources import connectors, ingest
@@ -90,6 +90,47 @@ def stream_interval_join(spark, folder):
     return _drain(pairs.select("click_id", "purchase_id"), "interval")
 
 
+def _in_order(spark: SparkSession, events: DataFrame, parts: int) -> str:
+    """A folder with the events by time, a file to a part, and after them three of a key that nobody has,
+    each a day later: the watermark passes every event."""
+    base = fresh_path(spark, "in-order")
+    ends = events.agg(F.unix_micros(F.min("ts")).alias("low"), F.unix_micros(F.max("ts")).alias("high")).first()
+    step = (ends.high - ends.low) // parts + 1
+    part = F.floor((F.unix_micros("ts") - ends.low) / step)
+    for number in range(parts):
+        events.where(part == number).coalesce(1).write.parquet(f"{base}/{number}")
+    last = events.orderBy(F.desc("ts")).limit(1).withColumn("user_id", F.lit(-1).cast(events.schema["user_id"].dataType))
+    for number, kinds in ((parts + n, F.array(F.lit("click"), F.lit("purchase"))) for n in range(3)):
+        later = F.col("ts") + F.make_dt_interval(F.lit(number - parts + 1))
+        last.withColumns({"ts": later, "event_type": F.explode(kinds)}).coalesce(1).write.parquet(f"{base}/{number}")
+    return base
+
+
+@query(
+    "stream_asof",
+    """WITH latest AS (
+         SELECT p.event_id, p.user_id, max(c.ts) AS at FROM events p LEFT JOIN events c
+           ON c.event_type = 'click' AND c.user_id = p.user_id AND c.ts BETWEEN p.ts - INTERVAL 6 HOUR AND p.ts
+         WHERE p.event_type = 'purchase' GROUP BY p.event_id, p.user_id)
+       SELECT l.event_id AS purchase_id, coalesce(max(c.event_id), -1) AS click_id
+       FROM latest l LEFT JOIN events c ON c.event_type = 'click' AND c.user_id = l.user_id AND c.ts = l.at
+       GROUP BY l.event_id""",
+)
+def stream_asof(spark, folder):
+    """The last click up to six hours before each purchase: a stream join, then the latest per purchase."""
+    events = table(spark, folder, "events").select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    base = _in_order(spark, events, 4)
+
+    def side(kind: str) -> DataFrame:
+        stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", "1").parquet(f"{base}/*")
+        of_kind = event_time.with_watermark(stream, "ts", _LAG_MS).where(F.col("event_type") == kind)
+        return of_kind.select("user_id", F.col("event_id").alias(f"{kind}_id"), F.col("ts").alias(f"{kind}_ts"))
+
+    found = asof_within(side("purchase"), side("click"), ["user_id"], "purchase_ts", "click_ts", ["click_id"], 6 * 3600)
+    kept = _drain(found.select("user_id", "purchase_id", "click_id"), "asof").where("user_id <> -1")
+    return kept.select("purchase_id", F.coalesce("click_id", F.lit(-1)).alias("click_id"))
+
+
 @query(
     "stream_tumble_closed",
     f"""WITH edge AS (SELECT max(ts) - INTERVAL {_LAG_MS // 60000} MINUTE AS mark FROM events)

@@ -158,3 +158,43 @@ def asof_join(
         result = result.unionByName(filled.select(*result.columns))
     matched = result.where("_side = 1").select(*left.columns, "_carry.*")
     return matched.unionByName(unmatched)
+
+
+def asof_within(
+    left: DataFrame,
+    right: DataFrame,
+    keys: list[str],
+    left_at: str,
+    right_at: str,
+    carry: list[str],
+    seconds: int,
+    tie: list[str] | None = None,
+) -> DataFrame:
+    """``asof_join`` with a lookback: the latest right row of the key from ``seconds`` before a left row up to it.
+
+    For streams as well, in append mode: an interval join, whose state the lookback bounds, and then the latest
+    row per left row, which is emitted when the watermark of both sides has passed it. Both
+    sides need a watermark there. Every left row is also its own candidate with nothing to carry, so those that meet
+    no right row come out with NULLs, and repeated left rows as often as they came. A NULL key or time matches nothing and is
+    passed on at once. Left columns are grouping keys, so none may be a map. Of right rows at the same moment the last by
+    ``tie`` (default: by ``carry``) counts.
+    """
+    known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys]) & F.col(left_at).isNotNull()
+    kinds = {c: right.schema[c].dataType for c in carry}
+    nothing = [F.lit(None).cast(kind).alias(c) for c, kind in kinds.items()]
+    place = F.struct(F.unix_micros(F.col(right_at).cast("timestamp")).alias("at"), *(tie or carry))
+    candidates = right.select(*keys, right_at, F.struct(*carry).alias("_carry"), place.alias("_order"))
+    pairs = interval_join(candidates, left.where(known), keys, right_at, left_at, seconds)
+    own = left.where(known).select(
+        *left.columns,
+        F.lit(None).cast(candidates.schema["_carry"].dataType).alias("_carry"),
+        F.lit(None).cast(candidates.schema["_order"].dataType).alias("_order"),
+        F.lit(1).cast("bigint").alias("_times"),
+    )
+    met = pairs.select(*left.columns, "_carry", "_order", F.lit(0).cast("bigint").alias("_times"))
+    latest = own.unionByName(met).groupBy(*left.columns).agg(
+        F.max_by("_carry", "_order").alias("_carry"), F.sum("_times").alias("_times")
+    )
+    each = latest.withColumn("_time", F.explode(F.sequence(F.lit(1).cast("bigint"), "_times")))
+    found = each.select(*left.columns, *[F.col("_carry")[c].alias(c) for c in carry])
+    return found.unionByName(left.where(~known).select(*left.columns, *nothing))
