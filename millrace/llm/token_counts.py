@@ -4,7 +4,8 @@ A text of ordinary length is encoded as it is. A huge one is encoded chunk by ch
 chunk reaching back into the one before. The encodings of two neighbours agree from the
 first proven boundary on that both have (see ``bytepair``): there they are spliced. Where
 the overlap holds no such place, it is doubled until it does, or until it takes in the
-whole chunk before, which is then encoded together with the next.
+whole chunk before, which is then encoded together with as much again: a run without any boundary, which
+the library as well takes as one word, costs a few encodings of itself, whatever its length.
 """
 
 from __future__ import annotations
@@ -32,8 +33,14 @@ def spliced_count(text: str, encoder: Tokenizer, chunk: int = CHUNK_CHARS, overl
     ends, tokens = _encoded(encoder, text, start, end)
     while end < len(text):
         upto, wide = min(end + chunk, len(text)), overlap
+        # What the chunk before has no boundary in cannot hold a common one.
+        last = int(ends[ends < end].max(initial=start))
         while True:
+            while start < end - wide and last <= end - wide:
+                wide *= 2
             back = max(end - wide, start)
+            if back == start:
+                upto = min(max(upto, 2 * end - start), len(text))
             more_ends, more_tokens = _encoded(encoder, text, back, upto)
             if back == start:
                 break  # no common boundary anywhere: both chunks are one now

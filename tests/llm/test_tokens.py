@@ -1,5 +1,6 @@
 """Token counts and packing against the tokenizer library itself."""
 
+import random
 import zlib
 
 import numpy as np
@@ -135,3 +136,32 @@ def test_costs_are_balanced():
         cost[sequence] = cost.get(sequence, 0) + length + length**2 / 1e3
     found = np.array(list(cost.values()))
     assert found.std() / found.mean() < 0.1
+
+
+RUNS = {
+    "cjk": lambda rng, n: "".join(rng.choice("的一是在不了有和人这，。、1") for _ in range(n)),
+    "base64": lambda rng, n: "".join(rng.choice("ABCDEFGHabcdefgh0123456789+/") for _ in range(n)),
+    "leads": lambda rng, n: ("token=" * (n // 6 + 1))[:n],
+    "contractions": lambda rng, n: "".join(rng.choice(["it's", "we'll", "'", "don't", "''s", "x"]) for _ in range(n // 3)),
+    "specials": lambda rng, n: "".join(rng.choice(["<|endoftext|>", "<|endof", "text|>", "a1", "|"]) for _ in range(n // 6)),
+    "letters": lambda rng, n: "".join(rng.choice("abcdefgh") for _ in range(n)),
+    "mixed": lambda rng, n: "".join(rng.choice(["é", "日本", "😀", "\u0301", "12", "...", " ", "\u3000", "'re"]) for _ in range(n // 2)),
+}
+
+
+@pytest.mark.parametrize("kind", RUNS)
+def test_unbroken_runs(kind):
+    """Counts are the library's, and what is encoded grows with the text."""
+    encoder = tokenizer(PATH)
+    given = []
+
+    class Counting:
+        def boundaries(self, text):
+            given.append(len(text))
+            return encoder.boundaries(text)
+
+    for size in (3_000, 24_000):
+        text = RUNS[kind](random.Random(size), size)
+        given.clear()
+        assert spliced_count(text, Counting(), 1_000, 16) == len(ids(text))
+        assert sum(given) <= 5 * len(text)
