@@ -41,8 +41,10 @@ def interval_join(
     return joined.drop("_slot", "_r_slot", *[f"_r_{k}" for k in keys])
 
 
-#: Parts into which points are dealt to meet ranges without end.
+#: Parts into which points are dealt to meet ranges without end, if neither may be counted; else the rows of a part on
+#: either side, and the pairs that a task compares.
 ENDLESS_PARTS = 16
+ENDLESS_ROWS, ENDLESS_PAIRS = 2048, 1 << 23
 _ENDLESS = 1 << 20
 
 
@@ -64,13 +66,19 @@ def range_join(
 
     A range of length up to 2**n lies on at most two bins of width 2**n, whatever its length; a
     point is looked up once for every n that occurs among the ranges: those are ``levels``, which are
-    counted first if they are not given. A range without end on a side meets the points in parts of equal
-    size. Values compare as in SQL: -Infinity is a point like any other, Infinity lies in no range, NaN is above it
+    counted first if they are not given. A range without end on a side meets the points in parts: of bounded size if
+    levels are counted, else a fixed number. Values compare as in SQL: -Infinity is a point like any other, Infinity lies in no range, NaN is above it
     and lies in none, but a range up to NaN holds Infinity. Empty ranges and NULL ends match nothing.
     """
     laid = ranges.where(F.col(low) < F.col(high)).withColumn("_level", _level(low, high))
-    levels = levels_of(ranges, low, high) if levels is None else levels
+    counted = levels is None
+    levels = levels_of(ranges, low, high) if counted else levels
     endless = F.col("_level") == _ENDLESS
+    inside = (F.col(at) >= F.col(low)) & (F.col(at) < F.col(high))
+    apart = None
+    if counted and _ENDLESS in levels:
+        apart = _endless_join(points.where(F.col(at).isNotNull()), laid.where(endless).drop("_level"), inside)
+        laid, levels = laid.where(~endless), [n for n in levels if n != _ENDLESS]
 
     def bin_of(value: Column) -> Column:
         # Beyond 2**60 bins from zero there is no range so short: its ends would be one number.
@@ -83,8 +91,28 @@ def range_join(
     looked = points.withColumn("_level", F.explode(F.array(*[F.lit(n) for n in levels]).cast("array<int>")))
     part = F.pmod(F.xxhash64(*points.columns), F.lit(ENDLESS_PARTS))
     looked = looked.withColumn("_bin", F.when(endless, part).otherwise(bin_of(F.col(at))))
-    inside = (F.col(at) >= F.col(low)) & (F.col(at) < F.col(high))
-    return looked.join(laid, ["_level", "_bin"]).where(inside).drop("_level", "_bin")
+    found = looked.join(laid, ["_level", "_bin"]).where(inside).drop("_level", "_bin")
+    return found if apart is None else found.unionByName(apart)
+
+
+def _endless_join(points: DataFrame, ranges: DataFrame, inside: Column) -> DataFrame:
+    """Points with the ranges that have no end on a side: about every second pair is one of the result, so their number is
+    that of the work. Points and ranges are dealt into parts of bounded size, and every part of the one meets every part of the
+    other in a cell; the cells are dealt to as many tasks as their pairs need, however few bytes they have.
+    """
+    n, m = points.count(), ranges.count()
+    rows, columns = max(1, -(-n // ENDLESS_ROWS)), max(1, -(-m // ENDLESS_ROWS))
+    tasks = max(1, min(rows * columns, -(-n * m // ENDLESS_PAIRS)))
+
+    def dealt(df: DataFrame, own: str, owns: int, other: str, others: int) -> DataFrame:
+        part = F.pmod(F.xxhash64(*df.columns), F.lit(owns)).cast("int")
+        every = F.explode(F.sequence(F.lit(0), F.lit(others - 1)))
+        cells = df.withColumn(own, part).withColumn(other, every)
+        # A number of partitions that is asked for is not merged by their bytes.
+        return cells.repartition(tasks, "_row", "_column")
+
+    met = dealt(points, "_row", rows, "_column", columns).join(dealt(ranges, "_column", columns, "_row", rows), ["_row", "_column"])
+    return met.where(inside).drop("_row", "_column")
 
 
 def overlap_join(

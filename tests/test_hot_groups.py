@@ -282,3 +282,15 @@ def test_a_hot_bin_is_split(spark):
     joined = joins.range_join(points, ranges, "x", "lo", "hi")
     assert joined.groupBy("r").count().where("r = 5").first()["count"] == 20_000 + points.where("x > 5 and x < 6").count()
     assert joined.count() == 60_000
+
+
+def test_endless_ranges_meet_points_in_bounded_tasks(spark, monkeypatch):
+    """However few bytes they have, the pairs of points and ranges without end are dealt to as many tasks as they need."""
+    monkeypatch.setattr(joins, "ENDLESS_ROWS", 32, raising=False)
+    monkeypatch.setattr(joins, "ENDLESS_PAIRS", 1000, raising=False)
+    points = spark.range(600).select((F.col("id") * 1.0).alias("x"))
+    ranges = spark.range(100).select(F.col("id").alias("r"), (F.col("id") * 5.0).alias("lo"), F.lit(float("inf")).alias("hi"))
+    joined = joins.range_join(points, ranges, "x", "lo", "hi")
+    sizes = [len(part) for part in joined.select("x", "r").rdd.glom().collect()]
+    assert sum(sizes) == sum(600 - 5 * r for r in range(100))
+    assert sum(1 for s in sizes if s) > 20 and max(sizes) < sum(sizes) / 8
