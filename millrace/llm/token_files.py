@@ -79,8 +79,8 @@ def write_token_files(
         part, first, record, held, schema = TaskContext.get().partitionId(), 0, _Record(), 0, None
         for batch in batches:
             schema = schema or _schema(batch.schema.field(0).type)
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = encoder.encode(content) + end
+            for name, coded_text in zip(batch.column(0).to_pylist(), encoder.encode_all(batch.column(1).to_pylist())):
+                ids = coded_text + end
                 record.keys.append(name)
                 record.ids.append(ids)
                 held += len(ids) // ID_BYTES

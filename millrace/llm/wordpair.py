@@ -12,12 +12,14 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import accumulate
 
 import numpy as np
 
+from .common import by_size
+
 ID_BYTES = 4
 #: Runs and parts kept per worker process; beyond that the memory starts afresh.
 KNOWN_RUNS, KNOWN_PARTS = 700_000, 700_000
@@ -49,7 +51,7 @@ class WordTokenizer:
         self._library.no_truncation()
         self._library.no_padding()
         self._runs: dict[bytes, bytes] = {}
-        self._parts: dict[str, bytes] = {}
+        self._parts: dict[str, bytes] = {"": b""}
 
     @staticmethod
     def _check(content: str, path: str) -> None:
@@ -73,41 +75,60 @@ class WordTokenizer:
         """The text's ids as little-endian unsigned 32-bit numbers."""
         out = []
         for segment in _segments(text.encode("utf-8", "surrogatepass")):
-            runs = segment.split()
-            known = self._runs
-            found = [*map(known.get, runs)]
-            longer = ()
-            if None in found:
-                places = [at for at, ids in enumerate(found) if ids is None]
-                longer = self._learn({runs[at] for at in places})
-                for at in places:
-                    found[at] = known[runs[at]]
-            out += found
-            for run in longer:
-                del known[run]
-            if len(known) > KNOWN_RUNS:
-                known.clear()
+            out += self._found([segment.split()])[0]
         return b"".join(out)
 
+    def encode_all(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """``encode`` of every text; what is new in about a segment of them is learnt together."""
+        for some in by_size(enumerate(texts), SEGMENT_BYTES):
+            if len(some[-1][1]) >= SEGMENT_BYTES:
+                yield from (self.encode(text) for _, text in some)
+            else:
+                yield from map(b"".join, self._found([text.encode("utf-8", "surrogatepass").split() for _, text in some]))
+
+    def _found(self, texts: list[list[bytes]]) -> list[list[bytes]]:
+        """The ids of each run of each text."""
+        known = self._runs
+        found = [[*map(known.get, runs)] for runs in texts]
+        holes = [(runs, ids, [at for at, i in enumerate(ids) if i is None]) for runs, ids in zip(texts, found) if None in ids]
+        longer = self._learn({runs[at] for runs, _, places in holes for at in places}) if holes else ()
+        for runs, ids, places in holes:
+            for at in places:
+                ids[at] = known[runs[at]]
+        for run in longer:
+            del known[run]
+        if len(known) > KNOWN_RUNS:
+            known.clear()
+        return found
+
     def _learn(self, new: set[bytes]) -> list[bytes]:
         """Ids of new runs; those that are too long to keep are returned."""
-        plain, texts = {}, {}
+        known, ids, plain = self._runs, self._parts, _PLAIN.fullmatch
+        waiting, unknown = [], set()
         for run in new:
-            text = texts[run] = run.decode("utf-8", "surrogatepass")
-            found = _PLAIN.fullmatch(text)
+            first, then = run.decode("utf-8", "surrogatepass"), ""
+            found = plain(first)
             if found:
-                plain[run] = [p for p in ((found[1] or "").lower(), found[2] or "") if p]
-        parts = {p for ps in plain.values() for p in ps} | {texts[r] for r in new if r not in plain}
-        self._learn_parts([p for p in parts if p not in self._parts])
-        ids = self._parts
-        for run in new:
-            self._runs[run] = b"".join(ids[p] for p in plain[run]) if run in plain else ids[texts[run]]
-        if len(ids) > KNOWN_PARTS:
-            ids.clear()
-        else:
-            for part in parts:
-                if len(part) > KNOWN_RUN_BYTES:
-                    del ids[part]
+                first, then = found.groups("")
+                first = first.lower()
+            one, two = ids.get(first), ids.get(then)
+            if one is None or two is None:
+                waiting.append((run, first, then))
+                unknown.update((first, then))
+            else:
+                known[run] = one + two
+        if waiting:
+            unknown = [part for part in unknown if part not in ids]
+            self._learn_parts(unknown)
+            for run, first, then in waiting:
+                known[run] = ids[first] + ids[then]
+            if len(ids) > KNOWN_PARTS:
+                ids.clear()
+                ids[""] = b""
+            else:
+                for part in unknown:
+                    if len(part) > KNOWN_RUN_BYTES:
+                        del ids[part]
         return [r for r in new if len(r) > KNOWN_RUN_BYTES]
 
     def _learn_parts(self, parts: list[str]) -> None:

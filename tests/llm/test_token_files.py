@@ -73,6 +73,24 @@ ODD = [
 ]
 
 
+def test_what_is_new_in_many_texts_is_learnt_together(monkeypatch):
+    """Texts of a batch take few calls of the library, and give the ids that each gives alone."""
+    many = [*ODD, *(f"new{i}word X{i}y. n{i}, THE the" for i in range(300)), "z" * 3000, " ".join(f"far{i}" for i in range(400)), *ODD]
+    for segment in (50, 2000, 1 << 20):
+        monkeypatch.setattr("millrace.llm.wordpair.SEGMENT_BYTES", segment)
+        found = [np.frombuffer(i, "<u4").tolist() for i in WordTokenizer(PATH).encode_all(many)]
+        assert found == [ids(text) for text in many]
+    tokenizer, calls = WordTokenizer(PATH), []
+
+    class Counted:
+        def encode(self, text, **more):
+            calls.append(text)
+            return LIBRARY.encode(text, **more)
+
+    tokenizer._library = Counted()
+    assert len([*tokenizer.encode_all(many)]) == len(many) and len(calls) < 10
+
+
 @pytest.mark.parametrize("text", ODD)
 def test_ids_of_odd_texts(text):
     assert np.frombuffer(word_tokenizer(PATH).encode(text), "<u4").tolist() == ids(text)
